@@ -532,7 +532,7 @@ def p20(spark, sf):
 
 
 # Vector and covariance algebra: operands from the columns of a line.
-_VEC = "WITH k AS (SELECT *, l_quantity AS ax, l_tax * 100 AS ay, l_discount * 100 AS az, l_discount * 10 AS bx, l_quantity / 4 AS by, l_tax * 7 AS bz, l_quantity + 10 AS xx, l_quantity / 2 + 8 AS yy, l_quantity / 5 + 9 AS zz, l_tax * 30 AS xy, l_discount * 20 - 1 AS zx, l_tax * 10 - l_discount AS yz FROM lineitem) "
+_VEC = "WITH k AS (SELECT *, l_quantity AS ax, l_tax * 100 AS ay, l_discount * 100 AS az, l_discount * 10 AS ux, l_quantity / 4 AS uy, l_tax * 7 AS uz, l_quantity + 10 AS xx, l_quantity / 2 + 8 AS yy, l_quantity / 5 + 9 AS zz, l_tax * 30 AS xy, l_discount * 20 - 1 AS zx, l_tax * 10 - l_discount AS yz FROM lineitem) "
 
 
 def _operands(spark, sf):
@@ -553,7 +553,7 @@ def _spread(col, names, digits=6):
     "p21_vector_sums",
     _VEC
     + f"SELECT {KEY}, "
-    + ", ".join(f"{r(f'a{i} + b{i}')} AS sum_{i}, {r(f'a{i} - b{i}')} AS diff_{i}" for i in "xyz")
+    + ", ".join(f"{r(f'a{i} + u{i}')} AS sum_{i}, {r(f'a{i} - u{i}')} AS diff_{i}" for i in "xyz")
     + " FROM k",
 )
 def p21(spark, sf):

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from legnet.plans.session import tune
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -112,12 +114,14 @@ def register(spark: SparkSession, sf_dir: str, *tables: str) -> None:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived survey table as a DataFrame."""
+    tune(spark)
     source = "orders" if name.startswith("tv2") else "lineitem"
     register(spark, sf_dir, source)
     return spark.sql(VIEWS[name])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

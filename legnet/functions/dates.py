@@ -36,59 +36,78 @@ def parse_partial_date(text: Column) -> Column:
     dotted dates or 'a b' with ISO dates; two-digit years are 19xx; a range
     written backwards is turned round and reported.
     """
-    t = F.trim(text)
     one = r"\d+(?:\.\d+){0,2}"
     iso = r"\d+(?:-\d+){0,2}"
     dotted_range = rf"^({one})-({one})$"
     iso_range = rf"^({iso})\s+({iso})$"
     iso_single = r"^\d+-(0?[1-9]|1[0-2])$|^\d+-\d+-\d+$"
-    is_iso_single = t.rlike(iso_single)
-    is_dotted = t.rlike(dotted_range) & ~is_iso_single
-    is_spaced = t.rlike(iso_range) & ~is_iso_single
-    first = (
-        F.when(is_dotted, F.regexp_extract(t, dotted_range, 1))
-        .when(is_spaced, F.regexp_extract(t, iso_range, 1))
-        .otherwise(t)
-    )
-    second = F.when(is_dotted, F.regexp_extract(t, dotted_range, 2)).when(
-        is_spaced, F.regexp_extract(t, iso_range, 2)
-    )
-    lo1, hi1, bad1 = _bounds(first)
-    lo2, hi2, bad2 = _bounds(second)
-    last = F.when(second.isNotNull(), hi2).otherwise(hi1)
-    bad = F.coalesce(bad1, F.when(second.isNotNull(), bad2))
-    turned = bad.isNull() & (last < lo1)
+
+    def ends(t):
+        """The one or two dates of the text."""
+        return (
+            F.when(t.rlike(iso_single), F.array(t))
+            .when(t.rlike(dotted_range), _groups(t, dotted_range))
+            .when(t.rlike(iso_range), _groups(t, iso_range))
+            .otherwise(F.array(t))
+        )
+
+    def join(e):
+        first, last = e[0], F.element_at(e, -1)
+        bad = F.coalesce(first["bad"], last["bad"])
+        turned = bad.isNull() & (last["hi"] < first["lo"])
+        return F.struct(
+            F.when(bad.isNull(), F.least(first["lo"], last["hi"])).alias("date1"),
+            F.when(bad.isNull(), F.greatest(first["lo"], last["hi"])).alias("date2"),
+            F.coalesce(bad, F.when(turned, "range reversed")).alias("problem"),
+        )
+
+    dates = _let(F.trim(text), ends)
+    return _let(F.transform(F.transform(dates, _parts), _bounds), join)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _groups(text: Column, pattern: str) -> Column:
+    return F.array(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2))
+
+
+def _parts(text: Column) -> Column:
+    shape = r"^(\d+)(?:[.-](\d+))?(?:[.-](\d+))?$"
+    part = [F.regexp_extract(text, shape, i).try_cast("int") for i in (1, 2, 3)]
     return F.struct(
-        F.when(bad.isNull(), F.least(lo1, last)).alias("date1"),
-        F.when(bad.isNull(), F.greatest(lo1, last)).alias("date2"),
-        F.coalesce(bad, F.when(turned, "range reversed")).alias("problem"),
+        F.when(part[0] < 100, part[0] + FIRST_YEAR).otherwise(part[0]).alias("year"),
+        part[1].alias("month"),
+        part[2].alias("day"),
     )
 
 
-def _bounds(text: Column):
-    part = [
-        F.regexp_extract(text, r"^(\d+)(?:[.-](\d+))?(?:[.-](\d+))?$", i).try_cast("int")
-        for i in (1, 2, 3)
-    ]
-    year = F.when(part[0] < 100, part[0] + FIRST_YEAR).otherwise(part[0])
-    month, day = part[1], part[2]
+def _bounds(p: Column) -> Column:
+    year, month, day = p["year"], p["month"], p["day"]
     year_ok = year.between(FIRST_YEAR, LAST_YEAR)
     month_ok = month.isNull() | month.between(1, 12)
-    opening = F.when(
-        year_ok & month_ok,
-        F.make_date(year, F.coalesce(month, F.lit(1)), F.lit(1)),
-    )
-    closing = F.when(
-        year_ok & month_ok,
-        F.last_day(F.make_date(year, F.coalesce(month, F.lit(12)), F.lit(1))),
-    )
-    day_ok = day.isNull() | (day.between(1, F.dayofmonth(closing)))
-    lo = F.when(day.isNull(), opening).otherwise(F.date_add(opening, day - 1))
-    hi = F.when(day.isNull(), closing).otherwise(F.date_add(opening, day - 1))
-    bad = (
-        F.when(part[0].isNull(), "not a date")
-        .when(~year_ok, "invalid year")
-        .when(~month_ok, "invalid month")
-        .when(~day_ok, "invalid day")
+
+    def with_month(m):
+        # m holds the first day and the last day of the months meant.
+        day_ok = day.isNull() | day.between(1, F.dayofmonth(m["closing"]))
+        exact = F.date_add(m["opening"], day - 1)
+        return F.struct(
+            F.coalesce(exact, m["opening"]).alias("lo"),
+            F.coalesce(exact, m["closing"]).alias("hi"),
+            F.when(year.isNull(), "not a date")
+            .when(~year_ok, "invalid year")
+            .when(~month_ok, "invalid month")
+            .when(~day_ok, "invalid day")
+            .alias("bad"),
+        )
+
+    fine = year_ok & month_ok
+    months = F.struct(
+        F.when(fine, F.make_date(year, F.coalesce(month, F.lit(1)), F.lit(1))).alias("opening"),
+        F.when(
+            fine, F.last_day(F.make_date(year, F.coalesce(month, F.lit(12)), F.lit(1)))
+        ).alias("closing"),
     )
-    return lo, hi, bad
+    return _let(months, with_month)

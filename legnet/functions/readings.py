@@ -62,6 +62,17 @@ def classify_clino(token: Column, unit=math.pi / 180, infer_plumbs=False) -> Col
     return F.struct(ctype.alias("ctype"), value.alias("value"))
 
 
+def slope_number(value: Column, infer_plumbs=False) -> Column:
+    """struct(ctype, value) of a slope given as a number of radians or NULL."""
+    ctype = F.when(value.isNull(), "OMIT")
+    if infer_plumbs:
+        ctype = ctype.when(F.abs(F.abs(value) - math.pi / 2) <= EPSILON, "INFERPLUMB")
+    return F.struct(
+        ctype.otherwise("READING").alias("ctype"),
+        F.coalesce(value, F.lit(0.0)).alias("value"),
+    )
+
+
 def _weighted(a, va, b, vb) -> Column:
     # The combined variance below is used as the weight scale on purpose.
     return (a / va + b / vb) * ((va + vb) / 4.0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from legnet.functions import readings as R
 from legnet.functions.units import calibrate, count_length
-from legnet.functions.vec import AXES, cov, vec
+from legnet.functions.vec import AXES, PARTS, cov
 from legnet.schema import DEFAULT_SD
 
 DEG = math.pi / 180
@@ -83,48 +83,60 @@ def with_tape(df: DataFrame, cal: Calibration) -> DataFrame:
         c = cal("count")
         counted = count_length(F.col("from_count"), F.col("to_count"), c["unit"], c["scale"])
         fore = F.coalesce(counted, fore)
-    back = cal.apply("backlength", _mean(df, "backtape"))
-    return df.withColumn(
-        "_tape",
-        R.combine_tape(
-            fore, _variance(df, "tape", cal, "length"),
-            back, _variance(df, "backtape", cal, "backlength"),
-        ),
+    staged = df.withColumns(
+        {
+            "_ft": fore,
+            "_bt": cal.apply("backlength", _mean(df, "backtape")),
+            "_vft": _variance(df, "tape", cal, "length"),
+            "_vbt": _variance(df, "backtape", cal, "backlength"),
+        }
     )
+    parts = [F.col(c) for c in ("_ft", "_vft", "_bt", "_vbt")]
+    return staged.withColumn("_tape", R.combine_tape(*parts)).drop("_ft", "_vft", "_bt", "_vbt")
 
 
 def with_compass(df: DataFrame, cal: Calibration, declination=0.0) -> DataFrame:
     """Adds _comp struct(value, var, disagree) and the normalised raw bearings."""
     fore, back = cal("bearing"), cal("backbearing")
-    raw_f = _mean(df, "compass") * fore["unit"]
-    raw_b = _mean(df, "backcompass") * back["unit"]
-    df = df.withColumn("_raw_comp", R.norm_bearing(raw_f)).withColumn(
-        "_raw_backcomp", R.norm_bearing(raw_b)
+    staged = df.withColumns(
+        {
+            "_fb": _mean(df, "compass") * fore["unit"],
+            "_bb": _mean(df, "backcompass") * back["unit"],
+        }
+    ).withColumns(
+        {
+            "_raw_comp": R.norm_bearing(F.col("_fb")),
+            "_raw_backcomp": R.norm_bearing(F.col("_bb")),
+            "_vfb": _variance(df, "compass", cal, "bearing"),
+            "_vbb": _variance(df, "backcompass", cal, "backbearing"),
+        }
     )
-    return df.withColumn(
-        "_comp",
-        R.combine_compass(
-            (F.col("_raw_comp") - fore["zero"]) * fore["scale"],
-            _variance(df, "compass", cal, "bearing"),
-            (F.col("_raw_backcomp") - back["zero"]) * back["scale"],
-            _variance(df, "backcompass", cal, "backbearing"),
-            declination,
-        ),
+    staged = staged.withColumns(
+        {
+            "_fb": (F.col("_raw_comp") - fore["zero"]) * fore["scale"],
+            "_bb": (F.col("_raw_backcomp") - back["zero"]) * back["scale"],
+        }
+    )
+    parts = [F.col(c) for c in ("_fb", "_vfb", "_bb", "_vbb")]
+    return staged.withColumn("_comp", R.combine_compass(*parts, declination)).drop(
+        "_fb", "_vfb", "_bb", "_vbb"
     )
 
 
 def with_clino(df: DataFrame, cal: Calibration, infer_plumbs=False) -> DataFrame:
     """Adds _fore and _back struct(ctype, value): meaning of the slope readings."""
-    for name, quantity, out in (
-        ("clino", "gradient", "_fore"),
-        ("backclino", "backgradient", "_back"),
-    ):
+    sides = (("clino", "gradient", "_fore"), ("backclino", "backgradient", "_back"))
+    for name, quantity, out in sides:
+        unit = cal(quantity)["unit"]
+        number = _mean(df, name)
+        plain = R.slope_number(number * unit, infer_plumbs)
         token = f"{name}_token"
-        number = _mean(df, name).cast("string")
-        text = F.coalesce(F.col(token), number) if token in df.columns else number
-        df = df.withColumn(
-            out, R.classify_clino(text, cal(quantity)["unit"], infer_plumbs)
-        )
+        if token in df.columns:
+            df = df.withColumn(out, F.when(F.col(token).isNotNull(), R.classify_clino(F.col(token), unit, infer_plumbs)).otherwise(plain))
+        else:
+            df = df.withColumn(out, plain)
+    if not infer_plumbs:
+        return df
     plain_back = (F.col("_fore.ctype") == "INFERPLUMB") & (F.col("_back.ctype") == "READING")
     return df.withColumn(
         "_fore",
@@ -135,34 +147,26 @@ def with_clino(df: DataFrame, cal: Calibration, infer_plumbs=False) -> DataFrame
     )
 
 
-_WORK = ["_tape", "_comp", "_raw_comp", "_raw_backcomp", "_fore", "_back", "_dz", "_clin"]
+_WORK = (
+    "_tape _comp _raw_comp _raw_backcomp _fore _back _clin _t _vt _g _vg _b _vb "
+    "_sg _cg _sb _cb _plumbed _omitted _up _flat _flat2 _along _dx _dy _dz "
+    "_xx _yy _zz _xy _zx _yz"
+).split()
 
 
-def _finish(df, d, v, reject, keep_work):
-    ok = reject.isNull()
-    out = df.withColumn("reject", reject)
-    out = out.withColumn("d", F.when(ok, d)).withColumn("v", F.when(ok, v))
+def _finish(df: DataFrame, reject: Column, keep_work: bool) -> DataFrame:
+    """Packs the working columns into d and v, NULL where the row is rejected."""
+    ok = F.col("reject").isNull()
+    d = F.struct(*[F.col(f"_d{a}").alias(a) for a in AXES])
+    v = F.struct(*[F.col(f"_{p}").alias(p) for p in PARTS])
+    out = df.withColumn("reject", reject).withColumns(
+        {"d": F.when(ok, d), "v": F.when(ok, v)}
+    )
     return out if keep_work else out.drop(*_WORK)
 
 
-def _choose(cases, axes_or_parts):
-    """One struct from [(condition, struct)] cases, the last condition None."""
-    fields = []
-    for name in axes_or_parts:
-        expr = None
-        for cond, value in cases[:-1]:
-            expr = F.when(cond, value[name]) if expr is None else expr.when(cond, value[name])
-        fields.append(expr.otherwise(cases[-1][1][name]).alias(name))
-    return F.struct(*fields)
-
-
-def _columns(names, values):
-    return dict(zip(names, values))
-
-
-_COV = ("xx", "yy", "zz", "xy", "zx", "yz")
-
-
+# Every operator below adds its terms in several small projections. One huge
+# expression would compile to a method too long for the JIT.
 def reduce_normal(
     df: DataFrame,
     cal: Calibration | None = None,
@@ -190,47 +194,57 @@ def reduce_normal(
         ),
     )
     pos = cal.var("position") / 3.0
-    tape, vt = F.col("_tape.value"), F.col("_tape.var")
     ftype, btype = F.col("_fore.ctype"), F.col("_back.ctype")
-    plumbed = ftype.isin("PLUMB", "INFERPLUMB") | btype.isin("PLUMB", "INFERPLUMB")
-    omitted = (ftype == "OMIT") & (btype == "OMIT")
-
-    up = F.when(ftype != "OMIT", F.col("_fore.value") > 0).otherwise(F.col("_back.value") < 0)
-    rise = F.when(up, tape).otherwise(-tape)
-    side = pos + rise * rise * cal.var("plumb")
-
-    g = F.coalesce(F.col("_clin.value"), F.lit(0.0))
-    vg = F.coalesce(F.col("_clin.var"), cal.var("level"))
-    b, vb = F.col("_comp.value"), F.col("_comp.var")
-    flat, dz = tape * F.cos(g), tape * F.sin(g)
-    sin_b, cos_b = F.sin(b), F.cos(b)
-    dx, dy = flat * sin_b, flat * cos_b
+    df = df.withColumns(
+        {
+            "_t": F.col("_tape.value"),
+            "_g": F.coalesce(F.col("_clin.value"), F.lit(0.0)),
+            "_b": F.col("_comp.value"),
+            "_vb": F.col("_comp.var"),
+            "_plumbed": ftype.isin("PLUMB", "INFERPLUMB") | btype.isin("PLUMB", "INFERPLUMB"),
+            "_omitted": (ftype == "OMIT") & (btype == "OMIT"),
+            "_up": F.when(ftype != "OMIT", F.col("_fore.value") > 0).otherwise(
+                F.col("_back.value") < 0
+            ),
+        }
+    )
+    # A plumbed leg is a slope of 90 degrees with the plumb line's error to both
+    # sides; a leg of length 0 has only the position error.
+    plumbed, still = F.col("_plumbed"), F.col("_t") == 0.0
+    df = df.withColumns(
+        {
+            "_sg": F.when(~plumbed, F.sin("_g")).when(F.col("_up"), 1.0).otherwise(-1.0),
+            "_cg": F.when(plumbed, 0.0).otherwise(F.cos("_g")),
+            "_sb": F.when(plumbed, 1.0).otherwise(F.sin("_b")),
+            "_cb": F.when(plumbed, 1.0).otherwise(F.cos("_b")),
+            "_vt": F.when(still & ~plumbed, 0.0).otherwise(F.col("_tape.var")),
+            "_vg": F.when(plumbed, cal.var("plumb")).otherwise(
+                F.coalesce(F.col("_clin.var"), cal.var("level"))
+            ),
+            "_vb": F.when(plumbed, 0.0).otherwise(F.col("_vb")),
+        }
+    )
+    tape, vt, vg, vb = (F.col(c) for c in ("_t", "_vt", "_vg", "_vb"))
+    sin_g, cos_g, sin_b, cos_b = (F.col(c) for c in ("_sg", "_cg", "_sb", "_cb"))
+    df = df.withColumns({"_flat": tape * cos_g, "_dz": tape * sin_g}).withColumns(
+        {"_dx": F.col("_flat") * sin_b, "_dy": F.col("_flat") * cos_b}
+    )
+    flat, dx, dy, dz = (F.col(c) for c in ("_flat", "_dx", "_dy", "_dz"))
     xx, yy, zz, xy, zx, yz = _propagate(
         [
-            (vt, (F.cos(g) * sin_b, F.cos(g) * cos_b, F.sin(g))),
+            (vt, (cos_g * sin_b, cos_g * cos_b, sin_g)),
             (vb, (dy, -dx, F.lit(0.0))),
             (vg, (-dz * sin_b, -dz * cos_b, flat)),
         ]
     )
-    slope_var = F.when(omitted, tape * tape * 0.1).otherwise(zz)
-    zero = F.lit(0.0)
-    still = tape == 0.0
-    d = _choose(
-        [
-            (plumbed, _columns(AXES, (zero, zero, rise))),
-            (still, _columns(AXES, (zero, zero, zero))),
-            (None, _columns(AXES, (dx, dy, dz))),
-        ],
-        AXES,
-    )
-    v = _choose(
-        [
-            (plumbed, _columns(_COV, (side, side, pos + vt, zero, zero, zero))),
-            (still, _columns(_COV, (pos, pos, pos, zero, zero, zero))),
-            (None, _columns(_COV, (pos + xx, pos + yy, pos + slope_var, xy, zx, yz))),
-        ],
-        _COV,
-    )
+    guess = F.col("_omitted") & ~still
+    df = df.withColumns(
+        {
+            "_xx": pos + xx,
+            "_yy": pos + yy,
+            "_zz": pos + F.when(guess, tape * tape * 0.1).otherwise(zz),
+        }
+    ).withColumns({"_xy": F.when(plumbed, 0.0).otherwise(xy), "_zx": zx, "_yz": yz})
     both_given = (ftype != "OMIT") & (btype != "OMIT")
     same_way = (F.col("_fore.value") > 0) == (F.col("_back.value") > 0)
     reject = (
@@ -238,9 +252,9 @@ def reduce_normal(
         .when(ftype.isNull() | btype.isNull(), "clino unreadable")
         .when(both_given & (ftype != btype), "clino types differ")
         .when(plumbed & both_given & same_way, "plumbed in same direction")
-        .when(~plumbed & b.isNull(), "compass missing")
+        .when(~plumbed & F.col("_b").isNull(), "compass missing")
     )
-    return _finish(df, d, v, reject, keep_work)
+    return _finish(df, reject, keep_work)
 
 
 def _depth_change(df: DataFrame, cal: Calibration) -> Column:
@@ -251,6 +265,19 @@ def _depth_change(df: DataFrame, cal: Calibration) -> Column:
     return F.coalesce(cal.apply("depth", F.col("depth_change")), pair)
 
 
+def _with_terms(df: DataFrame, cal: Calibration) -> DataFrame:
+    """Adds the depth change, the combined readings and the bearing's sine and cosine."""
+    return df.withColumns(
+        {
+            "_dz": _depth_change(df, cal),
+            "_t": F.col("_tape.value"),
+            "_vt": F.col("_tape.var"),
+            "_b": F.col("_comp.value"),
+            "_vb": F.col("_comp.var"),
+        }
+    ).withColumns({"_sb": F.sin("_b"), "_cb": F.cos("_b")})
+
+
 def _shift_covariances(parts, compat):
     """Slots of (xy, yz, zx); compat puts each value one slot on."""
     xy, yz, zx = parts
@@ -264,72 +291,64 @@ def reduce_diving(
     """Length, bearing and depths to a leg."""
     cal = cal or Calibration()
     df = with_compass(with_tape(df, cal), cal, declination)
-    df = df.withColumn("_dz", _depth_change(df, cal))
     pos, zero = cal.var("position") / 3.0, F.lit(0.0)
-    tape, vt = F.col("_tape.value"), F.col("_tape.var")
     vd = 2.0 * cal.var("depth")
-    dz = F.col("_dz")
-    b, vb = F.col("_comp.value"), F.col("_comp.var")
-
+    df = _with_terms(df, cal)
+    tape, vt, b, vb = (F.col(c) for c in ("_t", "_vt", "_b", "_vb"))
+    sin_b, cos_b, dz = F.col("_sb"), F.col("_cb"), F.col("_dz")
     still = (tape == 0.0) & (dz == 0.0)
-    plumbed = b.isNull()
-    # Vertical legs: depth and length are two estimates of one number.
-    signed = F.when(dz < 0, -tape).otherwise(tape)
-    blend = dz * vt + signed * vd
-    free_fall = blend / (vt * vd) if compat else blend / (vt + vd)
-    free_side = pos + free_fall * free_fall * cal.var("plumb")
-    free_vz = pos + vt * vd / (vt + cal.var("depth"))
-    signed_steep = F.when(dz > 0, tape).otherwise(-tape)
-    steep_fall = (dz * vt + signed_steep * vd) / (vt + vd)
-    steep_vz = pos + vt * vd / (vt + vd)
-
-    flat2 = tape * tape - dz * dz
-    steep = flat2 <= 0.0
-    flat = F.sqrt(flat2)
-    sin_b, cos_b = F.sin(b), F.cos(b)
-    dx, dy = flat * sin_b, flat * cos_b
-    along = (vt * tape * tape + vd * flat2) / flat2
-    xy, yz, zx = _shift_covariances(
-        (
-            sin_b * cos_b * (along + vb * flat2),
-            -vd * cos_b,
-            -vd * sin_b,
-        ),
-        compat,
+    flat2 = F.col("_flat2")
+    # Without room for a horizontal part, depth and length are two estimates of
+    # one vertical distance.
+    fall = dz * vt + F.when(
+        F.when(b.isNull(), dz >= 0).otherwise(dz > 0), tape
+    ).otherwise(-tape) * vd
+    whole = vt + vd
+    blend = F.when(b.isNull(), fall / (vt * vd if compat else whole)).otherwise(fall / whole)
+    level = ~still & b.isNotNull() & (flat2 > 0.0)
+    df = (
+        df.withColumn("_flat2", tape * tape - dz * dz)
+        .withColumns(
+            {
+                "_plumbed": ~still & b.isNull(),
+                "_omitted": level,
+                "_flat": F.when(level, F.sqrt(flat2)).otherwise(0.0),
+                "_along": F.when(level, (vt * tape * tape + vd * flat2) / flat2),
+            }
+        )
+        .withColumn("_dz", F.when(still | F.col("_omitted"), dz).otherwise(blend))
     )
-    d = _choose(
-        [
-            (still, _columns(AXES, (zero, zero, zero))),
-            (plumbed, _columns(AXES, (zero, zero, free_fall))),
-            (steep, _columns(AXES, (zero, zero, steep_fall))),
-            (None, _columns(AXES, (dx, dy, dz))),
-        ],
-        AXES,
+    level, plumbed, along = F.col("_omitted"), F.col("_plumbed"), F.col("_along")
+    df = df.withColumns(
+        {
+            "_dx": F.when(level, F.col("_flat") * sin_b).otherwise(0.0),
+            "_dy": F.when(level, F.col("_flat") * cos_b).otherwise(0.0),
+        }
     )
-    v = _choose(
-        [
-            (still, _columns(_COV, (pos, pos, pos, zero, zero, zero))),
-            (plumbed, _columns(_COV, (free_side, free_side, free_vz, zero, zero, zero))),
-            (steep, _columns(_COV, (pos, pos, steep_vz, zero, zero, zero))),
-            (
-                None,
-                _columns(
-                    _COV,
-                    (
-                        pos + sin_b * sin_b * along + vb * dy * dy,
-                        pos + cos_b * cos_b * along + vb * dx * dx,
-                        pos + vd,
-                        xy,
-                        zx,
-                        yz,
-                    ),
-                ),
-            ),
-        ],
-        _COV,
+    dx, dy = F.col("_dx"), F.col("_dy")
+    side = pos + F.when(plumbed, dz * dz * cal.var("plumb")).otherwise(0.0)
+    xy, yz, zx = _shift_covariances(
+        (sin_b * cos_b * (along + vb * flat2), -vd * cos_b, -vd * sin_b), compat
+    )
+    df = df.withColumns(
+        {
+            "_xx": F.when(level, pos + sin_b * sin_b * along + vb * dy * dy).otherwise(side),
+            "_yy": F.when(level, pos + cos_b * cos_b * along + vb * dx * dx).otherwise(side),
+            "_zz": pos
+            + F.when(still, 0.0)
+            .when(level, vd)
+            .when(plumbed, vt * vd / (vt + cal.var("depth")))
+            .otherwise(vt * vd / whole),
+        }
+    ).withColumns(
+        {
+            "_xy": F.when(level, xy).otherwise(zero),
+            "_yz": F.when(level, yz).otherwise(zero),
+            "_zx": F.when(level, zx).otherwise(zero),
+        }
     )
     reject = F.when(tape.isNull(), "tape missing").when(dz.isNull(), "depth missing")
-    return _finish(df, d, v, reject, keep_work)
+    return _finish(df, reject, keep_work)
 
 
 def reduce_cartesian(
@@ -339,17 +358,29 @@ def reduce_cartesian(
     """Measured offsets, turned by `rotation` radians to the network's north."""
     cal = cal or Calibration()
     x, y, z = (cal.apply(q, F.col(q)) for q in ("dx", "dy", "dz"))
-    r = F.lit(rotation) if not isinstance(rotation, Column) else rotation
-    s, c = F.sin(r), F.cos(r)
+    turn = F.lit(rotation)
+    df = df.withColumns({"_sb": F.sin(turn), "_cb": F.cos(turn)})
+    s, c = F.col("_sb"), F.col("_cb")
     vx, vy = cal.var("dx"), cal.var("dy")
     cross = -vx if compat else vx
     xy, yz, zx = _shift_covariances(
         ((vx + vy) * s * c, F.lit(0.0), F.lit(0.0)), compat
     )
-    d = vec(x * c + y * s, y * c - x * s, z)
-    v = cov(vx * c * c + vy * s * s, vy * c * c + cross * s * s, cal.var("dz"), xy, zx, yz)
-    reject = F.when(x.isNull() | y.isNull() | z.isNull(), "offset missing")
-    return _finish(df, d, v, reject, keep_work)
+    df = df.withColumns(
+        {
+            "_dx": x * c + y * s,
+            "_dy": y * c - x * s,
+            "_dz": z,
+            "_xx": vx * c * c + vy * s * s,
+            "_yy": vy * c * c + cross * s * s,
+            "_zz": cal.var("dz"),
+            "_xy": xy,
+            "_yz": yz,
+            "_zx": zx,
+        }
+    )
+    missing = F.col("_dx").isNull() | F.col("_dy").isNull() | F.col("_dz").isNull()
+    return _finish(df, F.when(missing, "offset missing"), keep_work)
 
 
 def reduce_cylpolar(
@@ -359,47 +390,35 @@ def reduce_cylpolar(
     """Horizontal length, bearing and depth change to a leg."""
     cal = cal or Calibration()
     df = with_compass(with_tape(df, cal), cal, declination)
-    df = df.withColumn("_dz", _depth_change(df, cal))
     pos, zero = cal.var("position") / 3.0, F.lit(0.0)
-    tape, vt = F.col("_tape.value"), F.col("_tape.var")
-    b, vb = F.col("_comp.value"), F.col("_comp.var")
-    dz, vz = F.col("_dz"), pos + 2.0 * cal.var("depth")
+    df = _with_terms(df, cal)
+    tape, vt, b, vb = (F.col(c) for c in ("_t", "_vt", "_b", "_vb"))
+    sin_b, cos_b, dz = F.col("_sb"), F.col("_cb"), F.col("_dz")
     plumbed = b.isNull()
+    df = df.withColumns(
+        {
+            "_dx": F.when(plumbed, 0.0).otherwise(tape * sin_b),
+            "_dy": F.when(plumbed, 0.0).otherwise(tape * cos_b),
+        }
+    )
+    dx, dy = F.col("_dx"), F.col("_dy")
     side = pos + dz * dz * cal.var("plumb")
-    sin_b, cos_b = F.sin(b), F.cos(b)
-    dx, dy = tape * sin_b, tape * cos_b
     xy, yz, zx = _shift_covariances(
-        ((vt - vb * tape * tape) * sin_b * cos_b, zero, zero), compat
-    )
-    d = _choose(
-        [
-            (plumbed, _columns(AXES, (zero, zero, dz))),
-            (None, _columns(AXES, (dx, dy, dz))),
-        ],
-        AXES,
+        (F.when(plumbed, 0.0).otherwise((vt - vb * tape * tape) * sin_b * cos_b), zero, zero),
+        compat,
     )
-    v = _choose(
-        [
-            (plumbed, _columns(_COV, (side, side, vz, zero, zero, zero))),
-            (
-                None,
-                _columns(
-                    _COV,
-                    (
-                        pos + vt * sin_b * sin_b + vb * dy * dy,
-                        pos + vt * cos_b * cos_b + vb * dx * dx,
-                        vz,
-                        xy,
-                        zx,
-                        yz,
-                    ),
-                ),
-            ),
-        ],
-        _COV,
+    df = df.withColumns(
+        {
+            "_xx": F.when(plumbed, side).otherwise(pos + vt * sin_b * sin_b + vb * dy * dy),
+            "_yy": F.when(plumbed, side).otherwise(pos + vt * cos_b * cos_b + vb * dx * dx),
+            "_zz": pos + 2.0 * cal.var("depth"),
+            "_xy": xy,
+            "_yz": yz,
+            "_zx": zx,
+        }
     )
     reject = F.when(tape.isNull(), "tape missing").when(dz.isNull(), "depth missing")
-    return _finish(df, d, v, reject, keep_work)
+    return _finish(df, reject, keep_work)
 
 
 def override_variance(v: Column, vx: Column, vy: Column, vz: Column) -> Column:
