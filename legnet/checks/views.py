@@ -104,7 +104,24 @@ TV3 = "\n".join(
     ]
 )
 
-VIEWS = {"tv1": TV1, "tv2": TV2, "tv2b": TV2B, "tv3": TV3}
+# Stations of TV3 with their formula positions and some flag bits.
+def _stations(prefix: str, key: str, shift: int, source: str) -> str:
+    pos = ", ".join(f"{position_formula(a, key, shift)} AS {a}" for a in "xyz")
+    return (
+        f"SELECT concat('{prefix}', CAST({key} AS STRING)) AS name, {key} AS k, {pos}, "
+        f"CAST(CASE WHEN {key} % 3 = 0 THEN 1 ELSE 2 END + CASE WHEN {key} % 7 = 0 THEN 4 ELSE 0 END "
+        f"+ CASE WHEN {key} % 5 = 0 THEN 8 ELSE 0 END + CASE WHEN {key} % 11 = 0 THEN 16 ELSE 0 END "
+        f"+ CASE WHEN {key} % 13 = 0 THEN 32 ELSE 0 END AS INT) AS sflags FROM {source}"
+    )
+
+
+TVS = (
+    _stations("p", "p_partkey", 0, "part")
+    + " UNION ALL "
+    + _stations("s", "s_suppkey", 500, "supplier")
+)
+
+VIEWS = {"tv1": TV1, "tv2": TV2, "tv2b": TV2B, "tv3": TV3, "tvs": TVS}
 
 
 def register(spark: SparkSession, sf_dir: str, *tables: str) -> None:
@@ -115,8 +132,8 @@ def register(spark: SparkSession, sf_dir: str, *tables: str) -> None:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived survey table as a DataFrame."""
     tune(spark)
-    source = "orders" if name.startswith("tv2") else "lineitem"
-    register(spark, sf_dir, source)
+    sources = {"tvs": ("part", "supplier"), "tv1": ("lineitem",), "tv3": ("lineitem",)}
+    register(spark, sf_dir, *sources.get(name, ("orders",)))
     return spark.sql(VIEWS[name])
 
 

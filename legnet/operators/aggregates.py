@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legnet.functions import bands as B
@@ -312,11 +312,15 @@ def traverse_polylines(
 
     items: seq, x, y, z, move (start of a walk), flags, survey, style, days1 per
     point. A polyline also holds the point that its first leg comes from, so one
-    point may be in two. One row per polyline with an ordered `points` array.
+    point may be in two. One row per polyline with an ordered `points` array; a
+    polyline longer than a chunk continues in the next `part`, which starts with
+    the last point of the one before, so no array grows without limit.
     """
     marked = ordered_items(items, keys, seq, chunk)
+    marked = marked.withColumn("_piece", F.floor(F.col(seq) / F.lit(chunk)))
+    first = Window.partitionBy(*keys, "polyline").orderBy("_piece")
     return (
-        marked.groupBy(*keys, "polyline")
+        marked.groupBy(*keys, "polyline", "_piece")
         .agg(
             F.first("flags").alias("flags"),
             F.first("survey").alias("survey"),
@@ -326,9 +330,11 @@ def traverse_polylines(
                 F.collect_list(F.struct(F.col(seq).alias("seq"), "prev", "x", "y", "z", "days1"))
             ).alias("legs_in_order"),
         )
+        .withColumn("part", F.row_number().over(first))
         .select(
             *keys,
             "polyline",
+            "part",
             "flags",
             "survey",
             "style",
