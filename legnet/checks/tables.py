@@ -667,15 +667,15 @@ def a8(spark, sf):
 
 @query(
     "a9_declination_range",
-    f"""WITH {_EPOCHS}, {_DECL}, q AS (SELECT o_custkey AS scope, round(declination, 9) AS d, day FROM decl)
- SELECT scope, {r('min(d) + 3.3e-8')} AS min_declination, {r('max(d) + 3.3e-8')} AS max_declination FROM q GROUP BY scope""",
+    f"""WITH {_EPOCHS}, {_DECL}, q AS (SELECT o_custkey AS scope, declination AS d, day FROM decl)
+ SELECT scope, {r('min(d) + 3.3e-8', 4)} AS min_declination, {r('max(d) + 3.3e-8', 4)} AS max_declination FROM q GROUP BY scope""",
 )
 def a9(spark, sf):
     d = declined(spark, sf).select(
         F.col("o_custkey").alias("scope"), "declination", (F.col("days1") + 5).alias("day")
     )
     out = A.declination_range(d)
-    return out.select("scope", r6(F.col("min_declination") + 3.3e-8).alias("min_declination"), r6(F.col("max_declination") + 3.3e-8).alias("max_declination"))
+    return out.select("scope", r6(F.col("min_declination") + 3.3e-8, 4).alias("min_declination"), r6(F.col("max_declination") + 3.3e-8, 4).alias("max_declination"))
 
 
 @query(
