@@ -154,8 +154,11 @@ def default_fix(legs: DataFrame, fixes: DataFrame) -> DataFrame:
     )
 
 
-def spanning_forest(edges: DataFrame) -> Stored:
-    """eids of a spanning forest (Boruvka with hashed weights).
+def spanning_forest(edges: DataFrame, keep: int | None = None) -> Stored:
+    """(c, eid, parent): links of a spanning forest (Boruvka with hashed weights).
+
+    `eid` names the edges of the forest, one per link; a node that never is a `c`
+    is the root of its tree of links, and node `keep` always is one.
 
     In every round each group of nodes picks its edge of least weight; picks link
     groups into trees (only a mutual pick could close a cycle), pointer jumping
@@ -176,29 +179,18 @@ def spanning_forest(edges: DataFrame) -> Stored:
             .groupBy(F.col("p.c").alias("c"))
             .agg(F.min_by("eid", "w").alias("eid"), F.min_by("p.o", "w").alias("o"))
         )
-        pick = store(pick)
-        groups = pick.stats["rows"]
-        back = pick.df.select(F.col("c").alias("o"), F.col("eid").alias("back"))
+        back = pick.select(F.col("c").alias("o"), F.col("eid").alias("back"))
         root = (F.col("back") == F.col("eid")) & (F.col("c") < F.col("o"))
-        linked = lookup(pick.df, "o", back, groups).select(
-            "c", "eid", F.when(root, F.col("c")).otherwise(F.col("o")).alias("parent")
+        if keep is not None:
+            kept_node, kept_other = F.col("c") == F.lit(keep), F.col("o") == F.lit(keep)
+            root = kept_node | (root & ~kept_other)
+        link = store(
+            lookup(pick, "o", back, rows).select(
+                "c", "eid", F.when(root, F.col("c")).otherwise(F.col("o")).alias("parent")
+            )
         )
-        link = store(linked, roots=F.sum((F.col("c") == F.col("parent")).cast("long")))
-        pick.drop()
         picked.append(link)
-        jump = Stored(link.df.select("c", "parent"), link.path, link.stats)
-        moving = True
-        while moving:
-            up = jump.df.select(F.col("c").alias("parent"), F.col("parent").alias("next"))
-            hop = lookup(jump.df, "parent", up, groups).select(
-                "c", F.col("next").alias("parent"),
-                (F.col("next") != F.col("parent")).cast("long").alias("moved"),
-            )
-            step = store(hop, moved=F.sum("moved"))
-            if jump.path != link.path:
-                jump.drop()
-            jump = step
-            moving = bool(step.stats["moved"])
+        jump = _roots(link)
         renamed = live.df
         for side in ("u", "v"):
             to = jump.df.select(F.col("c").alias(side), F.col("parent").alias("to"))
@@ -213,17 +205,47 @@ def spanning_forest(edges: DataFrame) -> Stored:
         jump.drop()
         live = after
     if not picked:
-        return store(edges.select("eid").where(F.lit(False)))
-    every = picked[0].df.select("eid")
+        none = edges.select(F.col("u").alias("c"), "eid", F.col("v").alias("parent"))
+        return store(none.where(F.lit(False)))
+    every = picked[0].df
     for p in picked[1:]:
-        every = every.unionAll(p.df.select("eid"))
-    out = store(every.distinct())
+        every = every.unionAll(p.df)
+    out = store(every.where(F.col("c") != F.col("parent")))
     for p in picked:
         p.drop()
     live.drop()
     return out
 
 
+def _roots(link: Stored, hops: int = 3) -> Stored:
+    """(c, parent): parent moved up to the root of each tree of links."""
+    now = Stored(link.df.select("c", "parent"), link.path, link.stats)
+    while True:
+        up = now.df.select(F.col("c").alias("parent"), F.col("parent").alias("next"))
+        far = now.df
+        for _ in range(hops):
+            far = lookup(far.select("c", "parent"), "parent", up, link.stats["rows"]).select(
+                "c",
+                F.col("next").alias("parent"),
+                (F.col("next") != F.col("parent")).cast("long").alias("moved"),
+            )
+        step = store(far, moved=F.sum("moved"))
+        if now.path != link.path:
+            now.drop()
+        now = Stored(step.df.select("c", "parent"), step.path, step.stats)
+        if not step.stats["moved"]:
+            return now
+
+
+def tree_roots(edges: DataFrame, forest: Stored) -> Stored:
+    """(node, root) of every node of the edges, from the forest's links."""
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("c")).distinct()
+    own = nodes.join(forest.df.select("c"), "c", "left_anti").withColumn("parent", F.col("c"))
+    link = store(forest.df.select("c", "parent").unionByName(own))
+    out = _roots(link)
+    return Stored(out.df.toDF("node", "root"), out.path, out.stats)
+
+
 def list_rank(arcs: DataFrame, next_col="next") -> Stored:
     """(arc, last, dist): the end of each arc's list and the steps to it.
 
@@ -231,40 +253,36 @@ def list_rank(arcs: DataFrame, next_col="next") -> Stored:
     rounds every arc knows the arc 2^k steps on, so the rounds are the logarithm
     of the longest list. Arcs that have reached the end drop out of the joins.
     """
-    done = []
+    end = F.col(next_col).isNull()
     now = store(
         arcs.select(
-            "arc", F.col(next_col).alias("next"), F.lit(1).cast("long").alias("dist")
+            "arc",
+            F.col(next_col).alias("next"),
+            F.when(end, F.col("arc")).alias("last"),
+            F.when(end, 0).otherwise(1).cast("long").alias("dist"),
         ),
         open=F.count("next"),
     )
+    rounds = 0
     while now.stats["open"]:
-        rows = now.stats["rows"]
         ahead = now.df.select(
-            F.col("arc").alias("next"), F.col("next").alias("next2"), F.col("dist").alias("dist2")
+            F.col("arc").alias("next"),
+            F.col("next").alias("next2"),
+            F.col("last").alias("last2"),
+            F.col("dist").alias("dist2"),
         )
-        going = now.df.where(F.col("next").isNotNull())
-        hop = lookup(going, "next", ahead, rows).select(
+        going = now.df.where(F.col("next").isNotNull()).drop("last")
+        hop = lookup(going, "next", ahead, now.stats["open"]).select(
             "arc",
-            F.coalesce("next2", "next").alias("far"),
             F.col("next2").alias("next"),
-            F.when(F.col("next2").isNull(), F.col("dist")).otherwise(
-                F.col("dist") + F.col("dist2")
-            ).alias("dist"),
-        )
-        # An arc whose successor is the last arc is settled: `far` names it.
-        resting = now.df.where(F.col("next").isNull()).select(
-            "arc", F.lit(None).cast("long").alias("far"), "next", "dist"
+            F.col("last2").alias("last"),
+            (F.col("dist") + F.col("dist2")).alias("dist"),
         )
-        if "far" in now.df.columns:
-            resting = now.df.where(F.col("next").isNull()).select("arc", "far", "next", "dist")
+        resting = now.df.where(F.col("next").isNull())
         step = store(hop.unionByName(resting), open=F.count("next"))
         now.drop()
         now = step
-        if len(done) > 128:
+        rounds += 1
+        if rounds > 64:
             raise ValueError("a list does not end")
-        done.append(step.stats["open"])
-    has_far = "far" in now.df.columns
-    last = F.coalesce("far", "arc") if has_far else F.col("arc")
-    steps = F.when(F.col("far").isNull(), 0).otherwise(F.col("dist")) if has_far else F.lit(0)
-    return store(now.df.select("arc", last.alias("last"), steps.cast("long").alias("dist")))
+    return Stored(now.df.select("arc", "last", "dist"), now.path, now.stats)
