@@ -16,6 +16,8 @@ from legnet.plans.skew import lookup
 from legnet.plans.store import Stored, store
 
 NAMES_PER_BUCKET = 500_000
+# Hops per written round of pointer jumping.
+HOPS = 3
 
 
 def node_ids(names: DataFrame) -> Stored:
@@ -103,7 +105,8 @@ def components(edges: DataFrame) -> Stored:
 def component_names(legs: DataFrame, ids: Stored | None = None) -> DataFrame:
     """(name, component): the component is named after its least station id."""
     ids = ids or node_ids(legs.select(F.explode(F.array("from_stn", "to_stn"))))
-    found = components(legs_to_edges(legs, ids.df).select("u", "v"))
+    ends = legs.select("from_stn", "to_stn")
+    found = components(legs_to_edges(ends, ids.df).select("u", "v"))
     return ids.df.join(found.df, ids.df["id"] == found.df["node"]).select(
         "name", "id", "component"
     )
@@ -217,7 +220,7 @@ def spanning_forest(edges: DataFrame, keep: int | None = None) -> Stored:
     return out
 
 
-def _roots(link: Stored, hops: int = 3) -> Stored:
+def _roots(link: Stored, hops: int = 4) -> Stored:
     """(c, parent): parent moved up to the root of each tree of links."""
     now = Stored(link.df.select("c", "parent"), link.path, link.stats)
     while True:
@@ -249,9 +252,10 @@ def tree_roots(edges: DataFrame, forest: Stored) -> Stored:
 def list_rank(arcs: DataFrame, next_col="next") -> Stored:
     """(arc, last, dist): the end of each arc's list and the steps to it.
 
-    arcs: (arc, next), next NULL at the end of a list. Pointer doubling: after k
-    rounds every arc knows the arc 2^k steps on, so the rounds are the logarithm
-    of the longest list. Arcs that have reached the end drop out of the joins.
+    arcs: (arc, next), next NULL at the end of a list. Pointer jumping: a round
+    takes a few hops of the current length, so the length grows fourfold and the
+    rounds are the logarithm of the longest list. Arcs that have reached the end
+    drop out of the joins.
     """
     end = F.col(next_col).isNull()
     now = store(
@@ -271,13 +275,15 @@ def list_rank(arcs: DataFrame, next_col="next") -> Stored:
             F.col("last").alias("last2"),
             F.col("dist").alias("dist2"),
         )
-        going = now.df.where(F.col("next").isNotNull()).drop("last")
-        hop = lookup(going, "next", ahead, now.stats["open"]).select(
-            "arc",
-            F.col("next2").alias("next"),
-            F.col("last2").alias("last"),
-            (F.col("dist") + F.col("dist2")).alias("dist"),
-        )
+        hop = now.df.where(F.col("next").isNotNull())
+        for _ in range(HOPS):
+            # Arcs that reach the end on the way keep what they have.
+            hop = lookup(hop, "next", ahead, now.stats["open"], "left").select(
+                "arc",
+                F.col("next2").alias("next"),
+                F.coalesce("last2", "last").alias("last"),
+                (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"),
+            )
         resting = now.df.where(F.col("next").isNull())
         step = store(hop.unionByName(resting), open=F.count("next"))
         now.drop()
