@@ -44,7 +44,8 @@ def _order(*numbers: Column) -> Column:
 
 
 def _n(fmt: str, *cols: Column) -> Column:
-    return F.format_string(fmt, *[c + F.lit(0.0) for c in cols])
+    # Rounding first clears noise that would print as a negative zero.
+    return F.format_string(fmt, *[F.round(c, 9) + F.lit(0.0) for c in cols])
 
 
 def _xyz(fmt: str) -> Column:

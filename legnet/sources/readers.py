@@ -21,8 +21,9 @@ CORRUPT = "_corrupt_record"
 def read_readings(spark: SparkSession, path: str, fmt="parquet") -> tuple[DataFrame, DataFrame]:
     """(readings, bad rows) of a Parquet, JSON or CSV table of readings.
 
-    In CSV a repeated reading is a list of numbers separated by spaces. A row that
-    does not fit the schema is kept aside with its text.
+    CSV files start with a heading of the column names in the order of the schema;
+    a repeated reading is a list of numbers separated by spaces. A row that does
+    not fit the schema is kept aside with its text.
     """
     if fmt == "parquet":
         df = spark.read.schema(READINGS).parquet(path)
@@ -34,8 +35,15 @@ def read_readings(spark: SparkSession, path: str, fmt="parquet") -> tuple[DataFr
         ]
         + [T.StructField(CORRUPT, T.StringType())]
     )
-    reader = spark.read.schema(flat).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    df = reader.json(path) if fmt == "json" else reader.option("header", True).csv(path)
+    # Parsing lines of text keeps a bad row's text next to the parsed columns.
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if fmt == "json":
+        parsed = F.from_json("value", flat, options)
+    else:
+        lines = lines.where(F.col("value") != ",".join(READINGS.names))
+        parsed = F.from_csv("value", F.lit(flat.simpleString()[7:-1].replace(":", " ")), options)
+    df = lines.select(parsed.alias("r")).select("r.*")
     if fmt == "csv":
         for f in READINGS:
             if isinstance(f.dataType, T.ArrayType):
@@ -73,7 +81,14 @@ def _date(month: Column, day: Column, year: Column) -> Column:
     """Days since 1900 of a month-day-year date; NULL for the 'unknown' date."""
     full = F.when(year < 1900, year + 1900).otherwise(year)
     known = month.between(1, 12) & day.between(1, 31) & ~((full == 1901) & (month == 1) & (day == 1))
-    return F.when(known, days_since_1900(F.try_make_date(full, month, day)))
+    return F.when(
+        known,
+        days_since_1900(
+            F.try_to_timestamp(
+                F.format_string("%04d-%02d-%02d", full, month, day), F.lit("yyyy-MM-dd")
+            ).cast("date")
+        ),
+    )
 
 
 def read_plot_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -150,7 +165,7 @@ def _name(start: int, size: int) -> Column:
 
 def read_xyz_stations(spark: SparkSession, path: str) -> DataFrame:
     """Stations of a fixed-width listing in feet; the first line of a name counts."""
-    rows = _cells(spark, path, 32).select(
+    rows = _cells(spark, path, 37).select(
         _name(1, 6).alias("name"), _cut(7, 9).alias("x"), _cut(16, 9).alias("y"),
         _cut(25, 8).alias("z"), F.col("line_no").alias("seq"),
     )
