@@ -140,10 +140,7 @@ _PLT = """it AS (SELECT cust * 1000 + seq AS seq, false AS move, a + 1e0 AS x, d
 def s3(spark, sf):
     path = _path(spark)
     K.write_lines(K.render_plot_lines(_stream(spark, sf), _labels(spark, sf)), path)
-    # One file per task is not one plot file: read it as one text.
-    whole = _path(spark)
-    spark.read.text(path).coalesce(1).write.text(whole)
-    out = S.read_plot_lines(spark, whole)
+    out = S.read_plot_lines(spark, path, parts=True)
     return out.select("move", *[F.round(a, 2).alias(a) for a in "xyz"], "flags", "section", "days1", "l")
 
 
@@ -215,8 +212,10 @@ def s5(spark, sf):
     df = view(spark, sf, "tv2").where(F.col("leg_id") >= 0)
     cust, seq = F.col("cust"), F.col("seq")
     two = cust % 2 == 0
-    head = df.where(seq == 1).select(
-        "cust",
+    # A record holds at most a thousand shots, however long the chain.
+    record = F.floor((seq - 1) / 1000).alias("record")
+    head = df.where((seq - 1) % 1000 == 0).select(
+        "cust", record,
         F.posexplode(
             F.array(
                 F.lit("\fCave"),
@@ -233,7 +232,7 @@ def s5(spark, sf):
         ).alias("place", "value"),
     )
     shots = df.select(
-        "cust", (seq + 100).cast("int").alias("place"),
+        "cust", record, (seq + 100).cast("int").alias("place"),
         F.concat(
             F.format_string("  f%d t%d %.2f ", seq, seq, F.abs(F.col("dx"))),
             F.when(seq % 3 == 0, "-999.0").otherwise("100.0"), F.format_string(" %.2f ", F.col("dz") + 0.0),
@@ -243,7 +242,8 @@ def s5(spark, sf):
     )
     path = _path(spark)
     lines = head.unionByName(shots)
-    lines.repartition("cust").sortWithinPartitions("cust", "place").select("value").write.text(path)
+    spread = lines.repartition("cust", "record").sortWithinPartitions("cust", "record", "place")
+    spread.select("value").write.text(path)
     out = S.read_survey_blocks(spark, path)
     return out.select(
         "survey", "from_stn", "to_stn", "tape", "compass", "clino", "backcompass", "l", "flags", "declination",

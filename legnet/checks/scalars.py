@@ -95,21 +95,22 @@ def p3(spark, sf):
     )
 
 
+_N4 = "(l_linenumber % 4)"
+
+
 @query(
     "p4_mean_reading",
-    "SELECT l_orderkey, count(*) AS n, "
-    + r("avg(l_quantity)")
-    + " AS mean, "
-    + r("2.5e-3 / sqrt(count(*))")
-    + " AS var FROM lineitem GROUP BY l_orderkey",
+    f"""SELECT {KEY}, CAST({_N4} AS INTEGER) AS n,
+ CASE {_N4} WHEN 1 THEN {r('l_quantity')} WHEN 2 THEN {r('(l_quantity + l_tax) / 2')} WHEN 3 THEN {r('(l_quantity + l_tax + l_discount) / 3')} END AS mean,
+ CASE WHEN {_N4} > 0 THEN {r(f'25e-4 / sqrt({_N4})')} END AS var FROM lineitem""",
 )
 def p4(spark, sf):
-    df = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.collect_list("l_quantity").alias("readings")
-    )
+    every = F.array("l_quantity", "l_tax", "l_discount")
+    readings = F.slice(every, 1, F.col("l_linenumber") % 4)
+    df = table(spark, sf, "lineitem").select(*KEYS, readings.alias("readings"))
     return df.select(
-        "l_orderkey",
-        F.size("readings").cast("bigint").alias("n"),
+        *KEYS,
+        F.size("readings").alias("n"),
         r6(R.mean_reading(F.col("readings"))).alias("mean"),
         r6(R.repeat_variance(0.0025, F.col("readings"))).alias("var"),
     )

@@ -141,7 +141,10 @@ def extend_elevation(
         )
     )
     table.drop()
-    root = ids.df.where(F.col("name") == start).select("id").collect()[0].id
+    known = ids.df.where(F.col("name") == start).select("id").collect()
+    if not known:
+        raise ValueError(f"no station {start}")
+    root = known[0].id
     rooted = Rooted(graph.df.select("eid", "u", "v"), root)
     place = ids.df.join(at, "name").select(F.col("id").alias("real"), "name", "x", "y", "z")
 

@@ -28,7 +28,12 @@ def tune(spark: SparkSession) -> None:
     Methods over 8000 bytes are never compiled by the JVM's JIT. With this limit
     Spark runs such a stage operator by operator instead, in small methods, which
     is several times faster for the wide trigonometry of the reductions.
+
+    Adaptive execution may split the partitions of a heavy join key even where
+    that costs a further shuffle after the join.
     """
     key = "spark.sql.codegen.hugeMethodLimit"
     if int(spark.conf.get(key)) > 8000:
         spark.conf.set(key, "8000")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")

@@ -45,16 +45,14 @@ def lookup(
 ) -> DataFrame:
     """df joined to a table holding at most one row per `key` (same name both sides).
 
-    `rows` is the row count of df where known. Small inputs take a plain join;
-    larger ones salt their heavy keys. The salt is a hash of the `spread` columns
+    `rows` is the row count of df, known in loops that store their tables. Above
+    `floor` rows heavy keys are salted; smaller inputs take a plain join. Without a
+    count the join is left to adaptive execution, which splits the partitions of
+    heavy keys as it finds them (see `session.tune`). The salt is a hash of the `spread` columns
     (all columns by default), so a repeated task puts every row where it was.
     """
-    if rows is not None and rows < floor:
+    if rows is None or rows < floor:
         return df.join(table, key, how)
-    if rows is None:
-        rows = df.count()
-        if rows < floor:
-            return df.join(table, key, how)
     pieces = pieces or pieces_for(df)
     heavy = F.broadcast(heavy_keys(df, key, rows, pieces))
     cells = F.xxhash64(*(spread or df.columns))

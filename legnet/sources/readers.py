@@ -91,14 +91,17 @@ def _date(month: Column, day: Column, year: Column) -> Column:
     )
 
 
-def read_plot_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_plot_lines(spark: SparkSession, path: str, parts=False) -> DataFrame:
     """Points of line-coded plot files, in order.
 
+    With `parts` the files found are consecutive parts of one plot file, in the
+    order of their names, as an ordered write leaves them.
+
     Columns: file, seq, move (starts a walk), section, station ('section name'),
     x, y, z (metres), flags, days1, l, r, u, d (-1 where not given). Points of a
     section that is not open (after X, F or S until the next N) are skipped.
     """
-    lines = numbered_lines(spark, path).where(F.col("value").rlike("^[NXFSMDd]"))
+    lines = numbered_lines(spark, path, parts).where(F.col("value").rlike("^[NXFSMDd]"))
     op, rest = F.substring("value", 1, 1), F.substring("value", 2, 1 << 16)
     head = r"^(\S*)\s*(?:D\s*(\d+)\s+(\d+)\s+(\d+))?"
     part = [F.regexp_extract(rest, head, i) for i in range(1, 5)]

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+# Lines of consecutive parts are numbered this far apart.
+PART_SPAN = 1 << 42
+
+
+def numbered_lines(spark: SparkSession, path: str, parts=False) -> DataFrame:
     """(file, line_no, value): lines with a number that rises along each file.
 
     A file may be read in several splits. A line's number is the byte offset of
     its split plus its place in the split; a line takes at least one byte, so
     numbers never clash and keep the order of the file (they are not dense). Only
-    one row per split is joined back.
+    one row per split is joined back. With `parts` all files count as one, ordered
+    by name.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -21,6 +26,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace("value", r"\r$", "").alias("value"),
     )
     first = raw.groupBy("file", "block").agg(F.min("row").alias("first"))
-    return raw.join(first, ["file", "block"]).select(
-        "file", (F.col("block") + F.col("row") - F.col("first")).alias("line_no"), "value"
-    )
+    number = F.col("block") + F.col("row") - F.col("first")
+    if parts:
+        # One row per file, of which there are as many as tasks wrote the text.
+        names = first.select("file").distinct()
+        rank = F.row_number().over(Window.partitionBy().orderBy("file")) - 1
+        first = first.join(names.withColumn("rank", rank), "file")
+        number = F.col("rank") * F.lit(PART_SPAN) + number
+    lines = raw.join(first, ["file", "block"])
+    file = F.lit(path) if parts else F.col("file")
+    return lines.select(file.alias("file"), number.alias("line_no"), "value")
