@@ -995,6 +995,33 @@ def o1b(spark, sf):
     return O.worst_traverses(e, "per_leg", 25).select("trav_id", *err_columns())
 
 
+@query(
+    "w9_rank_errors",
+    with_views(f"WITH {TRAV} SELECT trav_id, {_ERR} FROM err ORDER BY round(ev, 9) DESC, trav_id LIMIT 40", "tv2"),
+)
+def w9(spark, sf):
+    e = ring_errors(spark, sf).withColumn("V", F.round("V", 9))
+    return O.worst_traverses(e, "V", 40).select("trav_id", *err_columns())
+
+
+@query(
+    "s7_union_inputs",
+    """SELECT concat('p', CAST(p_partkey AS VARCHAR)) AS name, p_retailprice AS x, CAST(NULL AS DOUBLE) AS y FROM part
+ UNION ALL SELECT concat('s', CAST(s_suppkey AS VARCHAR)), NULL, s_acctbal FROM supplier
+ UNION ALL SELECT concat('c', CAST(c_custkey AS VARCHAR)), c_acctbal, c_acctbal FROM customer""",
+)
+def s7(spark, sf):
+    def part(name, prefix, key, **cols):
+        named = F.concat(F.lit(prefix), F.col(key).cast("string")).alias("name")
+        return table(spark, sf, name).select(named, *[F.col(c).alias(n) for n, c in cols.items()])
+
+    return DF.union_inputs(
+        part("part", "p", "p_partkey", x="p_retailprice"),
+        part("supplier", "s", "s_suppkey", y="s_acctbal"),
+        part("customer", "c", "c_custkey", x="c_acctbal", y="c_acctbal"),
+    )
+
+
 @query(
     "o2_sort_names",
     with_views("SELECT to_stn AS name FROM tv2 ORDER BY cust, b, seq LIMIT 500", "tv2"),
