@@ -7,7 +7,10 @@ from legnet.checks.compare import compare
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # Long loops of jobs; they run at a larger scale in the driver's check.
-SLOW = {"g9_adjust_consistent", "g10_adjust_blocks", "g6_peel_dead_ends"}
+SLOW = {
+    "g9_adjust_rings", "g9_adjust_consistent", "g10_adjust_blocks", "g6_peel_dead_ends",
+    "g8_bridges", "g13_extend_elevation",
+}
 
 
 @pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
