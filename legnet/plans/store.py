@@ -16,18 +16,21 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Shared folder of the cluster; a temporary one only where none is set."""
-    folder = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    """Shared folder of the cluster; a temporary one only in a local session without it."""
+    context = spark.sparkContext
+    folder = spark.conf.get(_KEY, None) or context.getConf().get(_KEY)
     if not folder:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isDefined():
-            folder = jsc.getCheckpointDir().get()
+        known = context._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else None
     if not folder:
-        folder = tempfile.mkdtemp(prefix="legnet-")
-        spark.conf.set(_KEY, folder)
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {_KEY} to a folder that all executors share")
+        app = context.applicationId
+        folder = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="legnet-"))
     return folder.rstrip("/")
 
 
