@@ -34,7 +34,7 @@ def r6(col, digits=6):
 
 
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
-KEYS = [F.col(k.strip()) for k in KEY.split(",")]
+KEYS = [k.strip() for k in KEY.split(",")]
 
 SD2 = "2.5e-3"
 ANG2 = "(radians(5e-1) * radians(5e-1))"
