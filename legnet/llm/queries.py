@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from legnet.llm import bpe, pii, sharding
+from legnet.llm import bpe, pii, sharding, syncmers, warc
 from legnet.llm.batches import read_table
 
 QUERIES, SQL = {}, {}
@@ -31,3 +31,13 @@ def op8_word_bpe(spark, sf):
 @query
 def op9_anchor_pii(spark, sf):
     return pii.find(read_table(spark, sf, "documents"))
+
+
+@query
+def op5_closed_syncmers(spark, sf):
+    return syncmers.edited_likeness(read_table(spark, sf, "documents"))
+
+
+@query
+def op7_warc_index(spark, sf):
+    return warc.round_trip(read_table(spark, sf, "pages"))
