@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from legnet.llm import bpe, pii, sharding, syncmers, warc
+from legnet.llm import bpe, pii, quality, quality_sql, sharding, syncmers, warc
 from legnet.llm.batches import read_table
 
 QUERIES, SQL = {}, {}
@@ -41,3 +41,14 @@ def op5_closed_syncmers(spark, sf):
 @query
 def op7_warc_index(spark, sf):
     return warc.round_trip(read_table(spark, sf, "pages"))
+
+
+@query
+def op4_distribution_rules(spark, sf):
+    rows = quality.judge(read_table(spark, sf, "documents"))
+    return rows.withColumns(
+        {c: F.round(c, 6) for c in ("class_distance", "word_distance")}
+    )
+
+
+SQL["op4_distribution_rules"] = quality_sql.SQL
