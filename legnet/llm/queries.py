@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from legnet.llm import bpe, pii, quality, quality_sql, sharding, syncmers, warc
+from legnet.llm import bpe, mixing, pii, quality, quality_sql, sharding, syncmers, warc
 from legnet.llm.batches import read_table
 
 QUERIES, SQL = {}, {}
@@ -52,3 +52,15 @@ def op4_distribution_rules(spark, sf):
 
 
 SQL["op4_distribution_rules"] = quality_sql.SQL
+
+
+@query
+def op1_raked_mixture(spark, sf):
+    rows = mixing.weights(read_table(spark, sf, "documents"))
+    return rows.withColumns({c: F.round(c, 9) for c in ("rate", "probability")}).drop("gap")
+
+
+SQL["op1_raked_mixture"] = f"""WITH {mixing.sql()}
+SELECT doc_id, source, lang, topic, n_tokens, round(rate, 9) AS rate,
+  round(probability, 9) AS probability, sampled
+FROM mixed"""
