@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from legnet.llm import bpe, mixing, pii, quality, quality_sql, sharding, syncmers, warc
+from legnet.llm import bpe, mixing, ngram_join, pii, quality, quality_sql, sharding, syncmers, warc
 from legnet.llm.batches import read_table
 
 QUERIES, SQL = {}, {}
@@ -64,3 +64,8 @@ SQL["op1_raked_mixture"] = f"""WITH {mixing.sql()}
 SELECT doc_id, source, lang, topic, n_tokens, round(rate, 9) AS rate,
   round(probability, 9) AS probability, sampled
 FROM mixed"""
+
+
+@query
+def op3_parity_sketch_join(spark, sf):
+    return ngram_join.join(read_table(spark, sf, "documents"))
