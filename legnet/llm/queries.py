@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from legnet.llm import bpe, mixing, ngram_join, pii, quality, quality_sql, sharding, syncmers, warc
+from legnet.llm import (
+    bpe, html_extract, mixing, ngram_join, pii, quality, quality_sql, sharding, syncmers, warc,
+)
 from legnet.llm.batches import read_table
 
 QUERIES, SQL = {}, {}
@@ -69,3 +71,8 @@ FROM mixed"""
 @query
 def op3_parity_sketch_join(spark, sf):
     return ngram_join.join(read_table(spark, sf, "documents"))
+
+
+@query
+def op6_tree_model_text(spark, sf):
+    return html_extract.extract(read_table(spark, sf, "pages"))
