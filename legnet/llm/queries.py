@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from legnet.llm import (
-    bpe, html_extract, mixing, ngram_join, pii, quality, quality_sql, sharding, syncmers, warc,
+    bpe, html_extract, mixing, ngram_join, phrases, pii, quality, quality_sql, sharding,
+    syncmers, warc,
 )
 from legnet.llm.batches import read_table
 
@@ -76,3 +77,8 @@ def op3_parity_sketch_join(spark, sf):
 @query
 def op6_tree_model_text(spark, sf):
     return html_extract.extract(read_table(spark, sf, "pages"))
+
+
+@query
+def op10_phrase_automata(spark, sf):
+    return phrases.dedup(read_table(spark, sf, "documents"))
