@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legnet.llm.quality import words_of
+from legnet.llm.streams import without_ids
 from legnet.plans.skew import lookup
 from legnet.plans.store import cut, store
 
@@ -173,10 +174,9 @@ def weights(
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents drawn, with all columns."""
-    chosen = weights(docs, id_col, text, **options).where("sampled")
-    chosen = chosen.select(F.col(id_col).alias("_drawn")).distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_drawn"]), "left_semi")
+    """The documents drawn, with all columns; rows without an id stay."""
+    drawn = weights(docs, id_col, text, **options).groupBy(id_col).agg(F.max("sampled").alias("sampled"))
+    return without_ids(docs, id_col, drawn.where(~F.col("sampled")).select(id_col))
 
 
 def sql(source: str = "documents", sweeps: int = SWEEPS, seed: int = 7) -> str:

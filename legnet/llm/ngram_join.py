@@ -1,12 +1,13 @@
 """N-gram Jaccard join by parity sketches.
 
 Two sets of shingles with Jaccard similarity of 0.9 or more differ in at most
-(n + m) / 19 shingles. A parity sketch XORs one bit per shingle into D + 1 words, where D
-is the largest difference in a size band: as every shingle touches one word, two similar
-sets agree in one whole word at least (pigeonhole). So documents meet in buckets of equal
-(band, word number, word). Over a whole sketch the Hamming distance is at most the
-difference of the sets, which rules out most pairs of a bucket; the rest is verified on
-the shingles themselves.
+D = (n + m) / 19 shingles. A sketch XORs the hash of every shingle into one of D + 1 + z
+words per size band: as a shingle touches one word only, two similar sets agree in 1 + z
+words at least (pigeonhole). So documents meet in buckets of equal (band, word number,
+word). A word that no shingle has touched says nothing; a set with at most z such words
+needs none of them, one with more emits them too. A second sketch flips one bit per
+shingle: its Hamming distance is at most the difference of the sets, which rules out most
+pairs of a bucket. The rest is verified on the shingles themselves.
 
 Copies are one class from the start. Inside a bucket or a cluster links are found by
 walking the link graph: a document that has been reached is not compared again, so a
@@ -23,6 +24,8 @@ component; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,7 +68,7 @@ class Similarity:
     def bands(self, upto: int) -> list[int]:
         """First sizes of the bands: partners lie in the same band or the next."""
         firsts = [self.least()]
-        while firsts[-1] <= upto:
+        while firsts[-1] <= upto or len(firsts) < 2:
             firsts.append(self.largest(firsts[-1]) + 1)
         return firsts
 
@@ -103,20 +106,38 @@ def fold(s: np.ndarray, words: int) -> np.ndarray:
     return s if len(s) == words else np.bitwise_xor.reduce(s.reshape(-1, words), axis=0)
 
 
-def band_keys(values: np.ndarray, like: Similarity, firsts: list[int]) -> np.ndarray:
-    """Bucket keys of one set: every sketch word in its own band and in the one before."""
+def layout(like: Similarity, firsts: list[int]) -> list[tuple[int, int]]:
+    """(words, z) of every band: z exceeds the untouched words that nearly all sets have."""
+    out = []
+    for low, nxt in zip(firsts, firsts[1:]):
+        need = like.difference(nxt - 1 + like.largest(nxt - 1)) + 1
+        z = 0
+        while z < low // 8:
+            idle = (need + z) * math.exp(-low / (need + z))
+            if idle + 4 * math.sqrt(idle) <= z:
+                break
+            z += 1
+        out.append((need + z, z))
+    return out
+
+
+def band_keys(values: np.ndarray, firsts: list[int], bands: list[tuple[int, int]]) -> np.ndarray:
+    """Bucket keys of one set: its sketch words in its own band and in the one before."""
     n = len(values)
     if n < firsts[0]:
         return np.zeros(0, np.int64)
     own = int(np.searchsorted(firsts, n, side="right")) - 1
-    keys = []
+    spread, keys = mix(values), []
     for band in (own, own - 1) if own else (own,):
-        top = firsts[band + 1] - 1
-        words = like.difference(top + like.largest(top)) + 1
+        words, z = bands[band]
         place = ((values >> np.uint64(33)) % np.uint64(words)).astype(np.int64)
-        found = parity(values, words, place)
-        at = np.arange(words, dtype=np.uint64) + np.uint64(band << 32)
-        keys.append(mix(mix(found) + mix(at)))
+        found = np.zeros(words, np.uint64)
+        np.bitwise_xor.at(found, place, spread)
+        at = np.arange(words, dtype=np.uint64)
+        used = np.bincount(place, minlength=words) > 0
+        if words - int(used.sum()) <= z:
+            found, at = found[used], at[used]
+        keys.append(mix(found + mix(at + np.uint64(band << 32))))
     return np.concatenate(keys).view(np.int64)
 
 
@@ -252,23 +273,24 @@ def join(
         .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     )
     firsts = like.bands(described.stats["top"] or 0)
+    bands = layout(like, firsts)
     reps = store(classes.where(F.col("n") >= firsts[0]).select("rep").distinct())
 
     def buckets(batches):
         schema = pa.schema([("g", pa.int64()), ("rep", pa.int64())])
         for batch in batches:
             cols = batch.to_pydict()
-            keys = [band_keys(s, like, firsts) for s in shingle_sets(cols["text"], size)]
+            keys = [band_keys(s, firsts, bands) for s in shingle_sets(cols["text"], size)]
             ids = np.repeat(np.array(cols["id"], dtype=np.int64), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], schema=schema)
 
     unique = only_ids(docs, "id", reps.df, reps.stats["rows"])
     index = unique.mapInArrow(buckets, "g long, rep long")
-    met = cut(
+    shared = store(
         index.groupBy("g").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
         .where("a < b").select("g")
     )
-    met = store(index.join(met, "g").distinct())
+    met = store(only_ids(index, "g", shared.df, shared.stats["rows"]).distinct())
     involved = store(met.df.select("rep").distinct())
 
     def contents(batches):

@@ -22,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from legnet.llm.streams import without_ids
 from legnet.plans.store import cut
 
 # Common words of each language.
@@ -208,8 +209,8 @@ def judge(
 def passing(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that are kept, with all columns.
 
-    The verdict is joined by the id, so rows that share one go or stay together: they
-    stay if one of them is kept.
+    The verdict is joined by the id: rows that share one stay together if one of them
+    is kept, and rows without an id stay.
     """
-    good = judge(docs, id_col, text, lang).where("kept").select(F.col(id_col).alias("_good")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(good["_good"]), "left_semi")
+    verdicts = judge(docs, id_col, text, lang).groupBy(id_col).agg(F.max("kept").alias("kept"))
+    return without_ids(docs, id_col, verdicts.where(~F.col("kept")).select(id_col))

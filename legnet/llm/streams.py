@@ -8,11 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from legnet.plans.store import store
+
 #: Lists of ids up to this many rows (8 MB of longs) are sent to every task.
 BROADCAST_IDS = 1_000_000
 
 
-def only_ids(docs: DataFrame, id_col: str, ids: DataFrame, rows: int) -> DataFrame:
+def only_ids(docs: DataFrame, id_col: str, ids: DataFrame, rows: int, how="left_semi") -> DataFrame:
     """The rows of docs whose id is in the first column of ids (`rows` of them, counted).
 
     A list of bounded size is broadcast, so texts stay where they are read; a longer
@@ -21,7 +23,13 @@ def only_ids(docs: DataFrame, id_col: str, ids: DataFrame, rows: int) -> DataFra
     ids = ids.select(F.col(ids.columns[0]).alias("_wanted"))
     if rows <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_col] == ids["_wanted"], "left_semi")
+    return docs.join(ids, docs[id_col] == ids["_wanted"], how)
+
+
+def without_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not in the first column of ids, rows without an id too."""
+    listed = store(ids.where(F.col(ids.columns[0]).isNotNull()).distinct())
+    return only_ids(docs, id_col, listed.df, listed.stats["rows"], "left_anti")
 
 
 def groups(batches, keys: list[str]) -> Iterator[dict[str, list]]:
