@@ -1,9 +1,11 @@
 """Quality rules from distribution divergence, in DataFrame functions only.
 
 Every document gives two histograms: of character classes and of its language's common
-words. The reference of a language is the mean histogram of its documents; a document
-that stands too far from it (Jensen-Shannon distance, 0 to 1) is rejected. Short
-documents are noisy, so either test needs a least length.
+words. The reference of a language is the centre of its documents' histograms: their mean,
+then means with weights that fall with the distance from the centre before, so that a
+share of junk does not draw it away. A document that stands too far from the reference
+(Jensen-Shannon distance, 0 to 1) is rejected. Short documents are noisy, so either test
+needs a least length.
 
 One pass over the texts writes one small row per document; references and verdicts are
 made from these rows.
@@ -36,6 +38,8 @@ COMMON = {
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"\x20\x09-\x0D", r".,;:!?'\"()\-")
 N_CLASSES = len(CLASSES) + 1
 N_COMMON = 17  # sixteen words and all others
+#: Weighted means after the first one; a weight is 1 / (distance + SOFTEN) squared.
+REFINES, SOFTEN = 3, 0.02
 
 #: Least length of each test, and the distance it allows: a + b / sqrt(length), since the
 #: histogram of n draws lies about 1 / sqrt(n) from its source.
@@ -154,6 +158,29 @@ def distance(p: Column, q: Column) -> Column:
     return F.when(total.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), total)))
 
 
+def references(rows: DataFrame) -> DataFrame:
+    """(of, q_class, q_common): one row per language of COMMON and one for the rest."""
+
+    def centre(given: DataFrame, name: str, n: int) -> Column:
+        weight = F.pow(F.col(f"d_{name}") + SOFTEN, F.lit(-2.0))
+        total = F.sum(F.when(F.col(f"p_{name}").isNotNull(), weight))
+        parts = [F.sum(weight * F.col(f"p_{name}")[i]) / total for i in range(n)]
+        return F.when(total > 0, F.array(*parts)).alias(f"q_{name}")
+
+    given = rows.withColumns({"d_class": F.lit(0.0), "d_common": F.lit(0.0)})
+    for turn in range(REFINES + 1):
+        known = given.groupBy(F.col("lang").alias("of")).agg(
+            centre(given, "class", N_CLASSES), centre(given, "common", N_COMMON)
+        )
+        if turn < REFINES:
+            given = rows.join(F.broadcast(known), rows["lang"] == known["of"]).select(
+                "lang", "p_class", "p_common",
+                distance(F.col("p_class"), F.col("q_class")).alias("d_class"),
+                distance(F.col("p_common"), F.col("q_common")).alias("d_common"),
+            )
+    return known
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -175,18 +202,11 @@ def judge(
         }
     )
 
-    def mean(name: str, n: int) -> Column:
-        return F.array(*[F.avg(F.col(name)[i]) for i in range(n)]).alias(f"q_{name}")
-
-    # One row per language of COMMON and one for the rest: a fixed few.
-    known = rows.groupBy(F.col("lang").alias("of")).agg(
-        mean("p_class", N_CLASSES), mean("p_common", N_COMMON)
-    )
-    rows = rows.join(F.broadcast(known), rows["lang"] == known["of"], "left")
+    rows = rows.join(F.broadcast(references(rows)), rows["lang"] == F.col("of"), "left")
     rows = rows.withColumns(
         {
-            "class_distance": distance(F.col("p_class"), F.col("q_p_class")),
-            "word_distance": distance(F.col("p_common"), F.col("q_p_common")),
+            "class_distance": distance(F.col("p_class"), F.col("q_class")),
+            "word_distance": distance(F.col("p_common"), F.col("q_common")),
             "base_failed": (F.col("n_words") < 10)
             | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from legnet.llm.quality import CLASSES, CLASS_LIMIT, COMMON, MIN_CHARS, MIN_WORDS, WORD_LIMIT
+from legnet.llm.quality import (
+    CLASSES, CLASS_LIMIT, COMMON, MIN_CHARS, MIN_WORDS, REFINES, SOFTEN, WORD_LIMIT,
+)
 
 _SQL_CLASSES = [c.replace("'", "''") for c in CLASSES]
 
@@ -20,6 +22,29 @@ def _distance(p: str, q: str) -> str:
     return f"sqrt(greatest(0e0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {terms}))))"
 
 
+def _centres() -> str:
+    """CTEs q0 to q<REFINES>: the reference of each language after each round."""
+    out = []
+    for turn in range(REFINES + 1):
+        sums = []
+        for name, n in (("class", 6), ("common", 17)):
+            d = _distance(f"p_{name}", f"q_{name}") if turn else "0e0"
+            weight = f"CASE WHEN p_{name} IS NOT NULL THEN pow({d} + {SOFTEN}, -2) END"
+            sums.append((name, n, weight))
+        inner = ", ".join(f"{w} AS w_{name}" for name, _, w in sums)
+        lists = ", ".join(
+            "CASE WHEN sum(w_{0}) > 0 THEN [{1}] END AS q_{0}".format(
+                name, ", ".join(f"sum(w_{name} * p_{name}[{i}]) / sum(w_{name})" for i in range(1, n + 1))
+            )
+            for name, n, _ in sums
+        )
+        source = f"p JOIN q{turn - 1} USING (lang)" if turn else "p"
+        out.append(
+            f"q{turn} AS MATERIALIZED (SELECT lang, {lists} FROM (SELECT lang, p_class, p_common, {inner} FROM {source}) GROUP BY lang)"
+        )
+    return ",\n".join(out)
+
+
 def verdicts(source: str = "documents") -> str:
     """CTEs up to `verdict`: doc_id, base counts, distances, base_failed, kept."""
     langs = ", ".join(f"'{x}'" for x in COMMON)
@@ -63,15 +88,12 @@ p AS MATERIALIZED (
     CASE WHEN n_words >= {MIN_WORDS} AND common IS NOT NULL AND n_letters > 0 THEN
       list_transform(list_append(common, n_letters - list_sum(common)), lambda x: x / n_letters::DOUBLE) END AS p_common
   FROM f),
-q AS MATERIALIZED (
-  SELECT lang, [{", ".join(f"avg(p_class[{i}])" for i in range(1, 7))}] AS q_class,
-    [{", ".join(f"avg(p_common[{i}])" for i in range(1, 18))}] AS q_common
-  FROM p GROUP BY lang),
+{_centres()},
 d AS MATERIALIZED (
   SELECT p.*, CASE WHEN p_class IS NOT NULL THEN {_distance("p_class", "q_class")} END AS class_distance,
     CASE WHEN p_common IS NOT NULL THEN {_distance("p_common", "q_common")} END AS word_distance,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
-  FROM p JOIN q USING (lang)),
+  FROM p JOIN q{REFINES} USING (lang)),
 verdict AS MATERIALIZED (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance,
     base_failed, NOT base_failed
