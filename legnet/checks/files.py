@@ -115,7 +115,7 @@ def k1(spark, sf):
 def _stream(spark, sf):
     """The item stream of all chains with one global order."""
     return _items(spark, sf).withColumns(
-        {"seq": F.col("cust") * 1000 + F.col("seq"), "flags": F.when(F.col("move"), 0).otherwise(F.col("flags") * 2)}
+        {"seq": F.col("cust") * 1000000 + F.col("seq"), "flags": F.when(F.col("move"), 0).otherwise(F.col("flags") * 2)}
     )
 
 
@@ -126,8 +126,8 @@ def _labels(spark, sf):
     )
 
 
-_PLT = """it AS (SELECT cust * 1000 + seq AS seq, false AS move, a + 1e0 AS x, dy AS y, dz AS z, CASE WHEN seq % 4 >= 2 THEN 2 ELSE 0 END AS flags FROM tv2
- UNION ALL SELECT cust * 1000, true, 0e0, 0e0, 0e0, 0 FROM tv2 WHERE seq = 1)"""
+_PLT = """it AS (SELECT cust * 1000000 + seq AS seq, false AS move, a + 1e0 AS x, dy AS y, dz AS z, CASE WHEN seq % 4 >= 2 THEN 2 ELSE 0 END AS flags FROM tv2
+ UNION ALL SELECT cust * 1000000, true, 0e0, 0e0, 0e0, 0 FROM tv2 WHERE seq = 1)"""
 
 
 @query(
@@ -158,14 +158,19 @@ def k6(spark, sf):
     return out.where(F.col("value").rlike("^[MD]"))
 
 
+# Names of a listing have six characters: a letter and the number to base 36.
+_SHORT = "concat(substr(name, 1, 1), lower(to_base(k, 36)))"
+
+
 def _listing(spark, sf):
-    return view(spark, sf, "tvs").where(F.length("name") <= 6)
+    short = F.concat(F.substring("name", 1, 1), F.lower(F.conv(F.col("k").cast("string"), 10, 36)))
+    return view(spark, sf, "tvs").withColumn("name", short)
 
 
 @query(
     "s4_read_xyz_stations",
     with_views(
-        "SELECT name, round(round(x, 2) * 3.048e-1, 6) AS x, round(round(y, 2) * 3.048e-1, 6) AS y, round(round(z, 2) * 3.048e-1, 6) AS z FROM tvs WHERE length(name) <= 6", "tvs"
+        f"SELECT {_SHORT} AS name, round(round(x, 2) * 3.048e-1, 6) AS x, round(round(y, 2) * 3.048e-1, 6) AS y, round(round(z, 2) * 3.048e-1, 6) AS z FROM tvs", "tvs"
     ),
 )
 def s4(spark, sf):
@@ -181,14 +186,14 @@ def s4(spark, sf):
 @query(
     "s4_read_xyz_shots",
     with_views(
-        """SELECT concat('a', CAST(k AS VARCHAR)) AS from_stn, concat('b', CAST(k AS VARCHAR)) AS to_stn, round(round(x, 2) * 3.048e-1, 6) AS x, round(round(x, 2) * 3.048e-1 - 25e-1 * 3.048e-1, 6) AS from_x,
- round(round(z, 2) * 3.048e-1 + 125e-2 * 3.048e-1, 6) AS from_z, false AS move FROM tvs WHERE name LIKE 'p%'""",
+        f"""SELECT concat('a', {_SHORT}) AS from_stn, concat('b', {_SHORT}) AS to_stn, round(round(x, 2) * 3.048e-1, 6) AS x, round(round(x, 2) * 3.048e-1 - 25e-1 * 3.048e-1, 6) AS from_x,
+ round(round(z, 2) * 3.048e-1 + 125e-2 * 3.048e-1, 6) AS from_z, false AS move FROM tvs""",
         "tvs",
     ),
 )
 def s4b(spark, sf):
-    s = view(spark, sf, "tvs").where(F.col("name").startswith("p") & (F.col("k") < 1000000))
-    key = F.col("k").cast("string")
+    s = _listing(spark, sf)
+    key = F.col("name")
     line = F.concat(
         F.rpad(F.concat(F.lit("a"), key), 7, " "), F.rpad(F.concat(F.lit("b"), key), 8, " "),
         F.format_string("%9.2f%8.2f%8.2f%10.2f%10.2f%9.2f", F.lit(2.5), F.lit(0.0), F.lit(-1.25), "x", "y", "z"),
@@ -333,7 +338,7 @@ def k5(spark, sf):
 )
 def k7(spark, sf):
     legs = W.pair_points(_items(spark, sf), ["cust"]).withColumns(
-        {"days2": F.col("days1"), "seq": F.col("cust") * 1000 + F.col("seq")}
+        {"days2": F.col("days1"), "seq": F.col("cust") * 1000000 + F.col("seq")}
     )
     stations = view(spark, sf, "tvs").withColumn("seq", F.col("k"))
     return _written(spark, K.dump_items(legs, stations))

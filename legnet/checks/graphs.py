@@ -116,14 +116,14 @@ def _edges(spark, sf, name):
     part = [F.substring_index(F.col(s), ".", -1).cast("long") for s in ("from_stn", "to_stn")]
     return legs.select(
         "cust", "leg_id", "seq",
-        (F.col("cust") * 1000 + F.col("seq")).alias("eid"),
-        (F.col("cust") * 1000 + part[0]).alias("u"),
-        (F.col("cust") * 1000 + part[1]).alias("v"),
+        (F.col("cust") * 1000000 + F.col("seq")).alias("eid"),
+        (F.col("cust") * 1000000 + part[0]).alias("u"),
+        (F.col("cust") * 1000000 + part[1]).alias("v"),
     )
 
 
 def _pinned(edges):
-    return edges.select((F.col("cust") * 1000).alias("id")).distinct()
+    return edges.select((F.col("cust") * 1000000).alias("id")).distinct()
 
 
 @query(
@@ -154,7 +154,7 @@ def g8(spark, sf):
 @query(
     "g7_traverses",
     with_views(
-        f"WITH {CLOSED} SELECT cust * 1000 + seq AS eid, cust * 1000 + 1 AS trav_id, seq, true AS forward, cust * 1000 AS start FROM tv2 WHERE cust IN (SELECT cust FROM closed)",
+        f"WITH {CLOSED} SELECT cust * 1000000 + seq AS eid, cust * 1000000 + 1 AS trav_id, seq, true AS forward, cust * 1000000 AS start FROM tv2 WHERE cust IN (SELECT cust FROM closed)",
         "tv2",
     ),
 )

@@ -219,7 +219,7 @@ def xsects_view(spark, sf):
     df = table(spark, sf, "lineitem")
     return df.select(
         F.col("l_orderkey").alias("tube_id"),
-        (F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("seq"),
+        (F.col("l_linenumber") * 10**17 + F.col("l_partkey") * 10**8 + F.col("l_suppkey")).alias("seq"),
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("station"),
         (F.col("l_quantity") / 10).alias("l"),
         F.when(F.col("l_linenumber") % 3 == 0, -1.0).otherwise(F.col("l_quantity") / 20).alias("r"),
@@ -228,7 +228,7 @@ def xsects_view(spark, sf):
     )
 
 
-XS = "xs AS (SELECT l_orderkey AS tube_id, l_linenumber * CAST(100000000 AS BIGINT) + l_partkey * 1000 + l_suppkey AS seq, l_partkey, concat('p', CAST(l_partkey AS VARCHAR)) AS station, l_quantity / 10 AS l, CASE WHEN l_linenumber % 3 = 0 THEN -1e0 ELSE l_quantity / 20 END AS r, l_tax * 10 AS u, l_discount * 10 AS d FROM lineitem)"
+XS = "xs AS (SELECT l_orderkey AS tube_id, l_linenumber * CAST(100000000000000000 AS BIGINT) + l_partkey * CAST(100000000 AS BIGINT) + l_suppkey AS seq, l_partkey, concat('p', CAST(l_partkey AS VARCHAR)) AS station, l_quantity / 10 AS l, CASE WHEN l_linenumber % 3 = 0 THEN -1e0 ELSE l_quantity / 20 END AS r, l_tax * 10 AS u, l_discount * 10 AS d FROM lineitem)"
 
 
 @query(
@@ -525,14 +525,14 @@ def j13(spark, sf):
     f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem),
  g AS (SELECT *, CASE WHEN lag(l_returnflag) OVER w = l_returnflag THEN 0 ELSE 1 END AS step FROM k WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
  h AS (SELECT *, sum(step) OVER (PARTITION BY l_orderkey ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
- SELECT l_orderkey, l_returnflag AS from_stn, min(l_linenumber * CAST(100000000 AS BIGINT) + l_partkey * 1000 + l_suppkey) AS seq, CAST(count(*) AS BIGINT) AS n, {r('avg(l_quantity)')} AS dx, {r('avg(l_tax)')} AS vxx
+ SELECT l_orderkey, l_returnflag AS from_stn, min(l_linenumber * CAST(100000000000000000 AS BIGINT) + l_partkey * CAST(100000000 AS BIGINT) + l_suppkey) AS seq, CAST(count(*) AS BIGINT) AS n, {r('avg(l_quantity)')} AS dx, {r('avg(l_tax)')} AS vxx
  FROM h GROUP BY l_orderkey, run, l_returnflag""",
 )
 def a1(spark, sf):
     z = F.lit(0.0)
     legs = table(spark, sf, "lineitem").select(
         "l_orderkey",
-        (F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("seq"),
+        (F.col("l_linenumber") * 10**17 + F.col("l_partkey") * 10**8 + F.col("l_suppkey")).alias("seq"),
         F.col("l_returnflag").alias("from_stn"), F.lit("x").alias("to_stn"),
         V.vec(F.col("l_quantity"), z, z).alias("d"), V.cov(F.col("l_tax"), z, z).alias("v"),
     )
@@ -1025,22 +1025,22 @@ def s7(spark, sf):
 
 @query(
     "o2_sort_names",
-    with_views("SELECT to_stn AS name FROM tv2 ORDER BY cust, b, seq LIMIT 500", "tv2"),
+    with_views("SELECT to_stn AS name, row_number() OVER (ORDER BY cust, b, seq) AS rank FROM tv2", "tv2"),
 )
 def o2(spark, sf):
     names = view(spark, sf, "tv2").select(F.col("to_stn").alias("name"))
-    return O.sort_names(names).limit(500)
+    return O.rank_names(names)
 
 
 @query(
     "o3_plot_order",
     with_views(
-        """SELECT name FROM tvs ORDER BY CASE WHEN k % 7 = 0 THEN 0 WHEN k % 11 = 0 THEN 1 WHEN k % 5 = 0 THEN 2 ELSE 3 END, substr(name, 1, 1), k LIMIT 300""",
+        """SELECT name, row_number() OVER (ORDER BY CASE WHEN k % 7 = 0 THEN 0 WHEN k % 11 = 0 THEN 1 WHEN k % 5 = 0 THEN 2 ELSE 3 END, substr(name, 1, 1), k) AS rank FROM tvs""",
         "tvs",
     ),
 )
 def o3(spark, sf):
-    return O.plot_order(view(spark, sf, "tvs")).select("name").limit(300)
+    return O.rank_plot_order(view(spark, sf, "tvs")).select("name", "rank")
 
 
 @query(

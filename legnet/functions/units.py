@@ -91,7 +91,7 @@ def parse_dms(text: Column) -> Column:
 def parse_hemisphere(text: Column) -> Column:
     """'N41:16:42' or 'W3.5' in signed degrees (S and W negative)."""
     t = F.upper(F.trim(text))
-    size = parse_dms(F.substring(t, 2, 64))
+    size = parse_dms(F.substr(t, F.lit(2)))
     head = F.substring(t, 1, 1)
     return F.when(
         t.rlike(r"^[NSEW][\d.]"), F.when(head.isin("S", "W"), -size).otherwise(size)

@@ -24,7 +24,7 @@ def sub_survey(df: DataFrame, name: str, prefix: str, sep=".") -> DataFrame:
         return df
     cut = len(prefix) + len(sep)
     return df.where(in_survey(F.col(name), prefix, sep)).withColumn(
-        name, F.substring(F.col(name), cut + 1, 1 << 20)
+        name, F.substr(F.col(name), F.lit(cut + 1))
     )
 
 

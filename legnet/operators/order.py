@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from legnet.functions.names import leaf, natural_key
 from legnet.operators.filters import has_bit, station_class
 from legnet.operators.joins import degrees_of
+from legnet.plans.rank import ranked
 from legnet.schema import STN_ENTRANCE
 
 ERROR_KEYS = {
@@ -29,6 +30,11 @@ def sort_names(stations: DataFrame, name="name", sep=".") -> DataFrame:
     return stations.orderBy(natural_key(F.col(name), sep), name)
 
 
+def rank_names(stations: DataFrame, name="name", sep=".") -> DataFrame:
+    """stations with `rank`, their place in natural order from 1."""
+    return ranked(stations, natural_key(F.col(name), sep), name)
+
+
 def plot_rank(sflags: Column) -> Column:
     order = F.create_map(
         *[F.lit(v) for kv in (("ENTRANCE", 0), ("FIXED", 1), ("EXPORTED", 2), ("PLAIN", 3)) for v in kv]
@@ -38,13 +44,22 @@ def plot_rank(sflags: Column) -> Column:
 
 def plot_order(stations: DataFrame, sep=".") -> DataFrame:
     """Order in which labels claim space: class, last part, shorter name, name."""
+    return stations.orderBy(*_plot_keys(sep))
+
+
+def rank_plot_order(stations: DataFrame, sep=".") -> DataFrame:
+    """stations with `rank`, their place in `plot_order` from 1."""
+    return ranked(stations, *_plot_keys(sep))
+
+
+def _plot_keys(sep: str) -> list[Column]:
     name = F.col("name")
-    return stations.orderBy(
+    return [
         plot_rank(F.col("sflags")),
         natural_key(leaf(name, sep), sep),
         F.length(name),
         natural_key(name, sep),
-    )
+    ]
 
 
 def pick_start(stations: DataFrame, legs: DataFrame) -> DataFrame:

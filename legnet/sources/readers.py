@@ -102,7 +102,7 @@ def read_plot_lines(spark: SparkSession, path: str, parts=False) -> DataFrame:
     section that is not open (after X, F or S until the next N) are skipped.
     """
     lines = numbered_lines(spark, path, parts).where(F.col("value").rlike("^[NXFSMDd]"))
-    op, rest = F.substring("value", 1, 1), F.substring("value", 2, 1 << 16)
+    op, rest = F.substring("value", 1, 1), F.expr("substring(value, 2)")
     head = r"^(\S*)\s*(?:D\s*(\d+)\s+(\d+)\s+(\d+))?"
     part = [F.regexp_extract(rest, head, i) for i in range(1, 5)]
     section = F.struct(
@@ -208,11 +208,13 @@ def read_survey_blocks(spark: SparkSession, path: str, corrected=False) -> DataF
         F.monotonically_increasing_id().alias("row"),
         F.regexp_replace(F.regexp_replace("value", r"\r", ""), r"^\n+", "").alias("text"),
     ).where(F.col("text").rlike(r"\S"))
+    # The settings end at the first blank line, after a fixed heading of nine lines.
     lines = blocks.withColumn("_l", F.split("text", "\n"))
+    head = F.lit(9)
     number = r"\s*(-?[\d.]+)"
 
     def find(pattern: str, i: int) -> Column:
-        return F.regexp_extract(F.array_join(F.slice("_l", 1, 8), "\n"), pattern, i)
+        return F.regexp_extract(F.array_join(F.slice("_l", 1, head), "\n"), pattern, i)
 
     fmt = find(r"FORMAT:\s*(\S+)", 1)
     mark = F.when(F.length(fmt) >= 15, F.substring(fmt, 14, 1)).when(
@@ -239,7 +241,7 @@ def read_survey_blocks(spark: SparkSession, path: str, corrected=False) -> DataF
         fix(second[0], first[0]).alias("corr_backcompass"),
         fix(second[1], first[1]).alias("corr_backclino"),
         # Name, three header lines, team, settings and a heading between blanks.
-        F.posexplode(F.slice("_l", 10, 1 << 30)).alias("line_no", "line"),
+        F.posexplode(F.expr("slice(_l, 10, greatest(size(_l) - 9, 0))")).alias("line_no", "line"),
     )
     shots = heads.where(F.col("line").rlike(r"\S")).withColumn(
         "_t", F.split(F.trim("line"), r"\s+")

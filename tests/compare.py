@@ -1,4 +1,4 @@
-"""Runs a registered query and its SQL side by side (used by tests)."""
+"""Runs a registered query and its SQL side by side."""
 
 from __future__ import annotations
 

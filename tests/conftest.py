@@ -27,6 +27,6 @@ def sf():
 
 @pytest.fixture(scope="session")
 def duck():
-    from legnet.checks.compare import connect
+    from compare import connect
 
     return connect(SF)
