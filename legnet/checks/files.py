@@ -20,6 +20,12 @@ from legnet.sources import readers as S
 QUERIES, SQL = {}, {}
 
 
+def _z(expr: str, digits: int = 2) -> str:
+    """What would print as a negative zero is zero."""
+    return f"CASE WHEN abs({expr}) < {0.5 / 10**digits!r} THEN 0e0 ELSE ({expr}) + 0e0 END"
+
+
+
 def query(name, sql=None):
     def add(fn):
         QUERIES[name] = fn
@@ -282,7 +288,7 @@ def _poly_order():
 @query(
     "k3_to_json",
     with_views(
-        f"""WITH {_LINES}, j AS (SELECT concat('[', string_agg(printf('[%.2f,%.2f,%.2f]', x + 0e0, z + 0e0, y + 0e0), ',' ORDER BY seq), ']') AS value FROM pp GROUP BY cust, p)
+        f"""WITH {_LINES}, j AS (SELECT concat('[', string_agg(printf('[%.2f,%.2f,%.2f]', {_z('x')}, {_z('z')}, {_z('y')}), ',' ORDER BY seq), ']') AS value FROM pp GROUP BY cust, p)
  SELECT value FROM j UNION ALL SELECT '"traverses":[' UNION ALL SELECT ']}}' UNION ALL SELECT printf('{{"bounds":[%.2f,%.2f,%.2f,%.2f,%.2f,%.2f],', min(x), min(z), min(y), max(x), max(z), max(y)) FROM pp""",
         "tv2",
     ),
@@ -303,7 +309,7 @@ _CLASS = "CASE WHEN k % 7 = 0 THEN '{0}' WHEN k % 11 = 0 THEN '{1}' WHEN k % 5 =
     "k4_to_gpx",
     with_views(
         f"""WITH {_LINES} SELECT concat(printf('<wpt lon="%.8f" lat="%.8f"><ele>%.2f</ele><name>', x / 1000, y / 1000, z), name, '</name>', {_CLASS.format('<sym>Pin, Green</sym>', '<sym>Pin, Red</sym>', '<sym>Pin, Blue</sym>')}, '</wpt>') AS value FROM tvs WHERE k % 13 <> 0
- UNION ALL SELECT concat('<trkseg>', string_agg(printf('<trkpt lon="%.8f" lat="%.8f"><ele>%.2f</ele></trkpt>', (x + 0e0) / 1000, (y + 0e0) / 1000, z + 0e0), '' ORDER BY seq), '</trkseg>') FROM pp GROUP BY cust, p""",
+ UNION ALL SELECT concat('<trkseg>', string_agg(printf('<trkpt lon="%.8f" lat="%.8f"><ele>%.2f</ele></trkpt>', {_z('x / 1000', 8)}, {_z('y / 1000', 8)}, {_z('z')}), '' ORDER BY seq), '</trkseg>') FROM pp GROUP BY cust, p""",
         "tvs", "tv2",
     ),
 )
@@ -331,7 +337,7 @@ def k5(spark, sf):
 @query(
     "k7_dump_items",
     with_views(
-        """SELECT concat(printf('LEG %.2f %.2f %.2f %.2f %.2f %.2f [', a * 1e0, coalesce(lag(dy) OVER w, 0e0), coalesce(lag(dz) OVER w, 0e0), a + 1e0, dy + 0e0, dz + 0e0), 's] STYLE=NORMAL', CASE WHEN seq % 4 >= 2 THEN ' SURFACE' ELSE '' END, ' 1900-01-02') AS value FROM tv2 WINDOW w AS (PARTITION BY cust ORDER BY seq)
+        f"""SELECT concat(printf('LEG %.2f %.2f %.2f %.2f %.2f %.2f [', a * 1e0, {_z('coalesce(lag(dy) OVER w, 0e0)')}, {_z('coalesce(lag(dz) OVER w, 0e0)')}, a + 1e0, {_z('dy')}, {_z('dz')}), 's] STYLE=NORMAL', CASE WHEN seq % 4 >= 2 THEN ' SURFACE' ELSE '' END, ' 1900-01-02') AS value FROM tv2 WINDOW w AS (PARTITION BY cust ORDER BY seq)
  UNION ALL SELECT concat(printf('NODE %.2f %.2f %.2f [', x, y, z), name, ']', CASE WHEN k % 3 = 0 THEN ' SURFACE' ELSE ' UNDERGROUND' END, CASE WHEN k % 7 = 0 THEN ' ENTRANCE' ELSE '' END, CASE WHEN k % 5 = 0 THEN ' EXPORTED' ELSE '' END, CASE WHEN k % 11 = 0 THEN ' FIXED' ELSE '' END, CASE WHEN k % 13 = 0 THEN ' ANON' ELSE '' END) FROM tvs""",
         "tv2", "tvs",
     ),

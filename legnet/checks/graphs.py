@@ -17,7 +17,11 @@ from legnet.operators import adjust as AD
 from legnet.operators import aggregates as A
 from legnet.operators import forest as FO
 from legnet.operators import graph as GR
+from legnet.operators import joins as J
+from legnet.operators import quality as Q
 from legnet.operators import windows as W
+from legnet.plans.skew import lookup
+from legnet.plans.solve import solve_network
 
 QUERIES, SQL = {}, {}
 
@@ -350,3 +354,190 @@ def a10(spark, sf):
     return out.select(
         F.round("min_convergence", 5).alias("min_convergence"), F.round("max_convergence", 5).alias("max_convergence")
     )
+
+
+# ---------------------------------------------------- networks with real unknowns
+
+
+def _theta_sql() -> str:
+    """J is the mean of its chains' sums by inverse variance; chains share their gap."""
+    sums = ", ".join(f"sum(d{a}) AS s{a}, sum(v{a}) AS t{a}" for a in "xyz")
+    mean = ", ".join(f"sum(s{a} / t{a}) / sum(1e0 / t{a}) AS j{a}" for a in "xyz")
+    at = ", ".join(
+        f"{r(f'CASE WHEN k = len THEN j{a} ELSE (sum(d{a}) OVER w) + (sum(v{a}) OVER w) / t{a} * (j{a} - s{a}) END', 3)} AS {a}"
+        for a in "xyz"
+    )
+    return f"""WITH ch AS (SELECT cust, ch, {sums} FROM tv4 GROUP BY cust, ch),
+ jn AS (SELECT cust, {mean} FROM ch GROUP BY cust)
+ SELECT DISTINCT to_stn AS name, {at} FROM tv4 JOIN ch USING (cust, ch) JOIN jn USING (cust)
+ WINDOW w AS (PARTITION BY cust, ch ORDER BY k)
+ UNION ALL SELECT DISTINCT concat('t', CAST(cust AS VARCHAR), '.P'), 0e0, 0e0, 0e0 FROM tv4"""
+
+
+def _mesh_sql() -> str:
+    """Cramer's rule for the three corners, axis by axis."""
+    legs = {1: "oa", 2: "ob", 3: "oc", 4: "ab", 5: "bc", 6: "ca"}
+    cols = []
+    for a in "xyz":
+        for i, n in legs.items():
+            cols.append(f"max(CASE WHEN seq = {i} THEN 1e0 / v{a} END) AS w{n}{a}")
+            cols.append(f"max(CASE WHEN seq = {i} THEN d{a} / v{a} END) AS p{n}{a}")
+    system, answers = [], []
+    for a in "xyz":
+        system += [
+            f"woa{a} + wab{a} + wca{a} AS a1{a}", f"wob{a} + wab{a} + wbc{a} AS b2{a}", f"woc{a} + wbc{a} + wca{a} AS c3{a}",
+            f"-wab{a} AS ab{a}", f"-wca{a} AS ac{a}", f"-wbc{a} AS bc{a}",
+            f"poa{a} - pab{a} + pca{a} AS r1{a}", f"pob{a} + pab{a} - pbc{a} AS r2{a}", f"poc{a} + pbc{a} - pca{a} AS r3{a}",
+        ]
+    def det(m, a):
+        (p, q, s), (t, u, v), (x, y, z) = [[f"{c}{a}" for c in line] for line in m]
+        return f"({p} * ({u} * {z} - {v} * {y}) - {q} * ({t} * {z} - {v} * {x}) + {s} * ({t} * {y} - {u} * {x}))"
+    full = [["a1", "ab", "ac"], ["ab", "b2", "bc"], ["ac", "bc", "c3"]]
+    for column, corner in enumerate("ABC"):
+        parts = []
+        for a in "xyz":
+            m = [list(line) for line in full]
+            for line in range(3):
+                m[line][column] = f"r{line + 1}"
+            parts.append(f"{r(f'{det(m, a)} / {det(full, a)}', 3)} AS {a}")
+        answers.append(f"SELECT concat('m', CAST(cust AS VARCHAR), '.{corner}') AS name, {', '.join(parts)} FROM eq")
+    return f"""WITH g AS (SELECT cust, {', '.join(cols)} FROM tv5 GROUP BY cust),
+ eq AS (SELECT cust, {', '.join(system)} FROM g)
+ {' UNION ALL '.join(answers)} UNION ALL SELECT DISTINCT concat('m', CAST(cust AS VARCHAR), '.O'), 0e0, 0e0, 0e0 FROM tv5"""
+
+
+def _solved(spark, sf, name, prefix, centre, solver, **options):
+    legs = tv2_like(spark, sf, name)
+    z = F.lit(0.0)
+    pinned = legs.select(
+        F.concat(F.lit(prefix), F.col("cust").cast("string"), F.lit(f".{centre}")).alias("name"),
+        z.alias("x"), z.alias("y"), z.alias("z"),
+    ).distinct()
+    out = solver(legs.select("from_stn", "to_stn", "d", "v"), pinned, **options)
+    return out, out.positions.select(
+        "name", *[F.round(F.round(a, 3) + 0.0, 3).alias(a) for a in "xyz"]
+    )
+
+
+def tv2_like(spark, sf, name):
+    return view(spark, sf, name).select(
+        "cust", "from_stn", "to_stn",
+        V.vec(F.col("dx"), F.col("dy"), F.col("dz")).alias("d"),
+        V.cov(F.col("vx"), F.col("vy"), F.col("vz")).alias("v"),
+    )
+
+
+def _unknowns(out, rows):
+    if out.iterations < 1:
+        raise AssertionError("the solver took no step")
+    return rows
+
+
+@query("g9_adjust_theta", with_views(_theta_sql(), "tv4"))
+def g9_theta(spark, sf):
+    return _unknowns(*_solved(spark, sf, "tv4", "t", "P", AD.adjust, tol=1e-10))
+
+
+@query("g9_adjust_mesh", with_views(_mesh_sql(), "tv5"))
+def g9_mesh(spark, sf):
+    return _unknowns(*_solved(spark, sf, "tv5", "m", "O", AD.adjust, tol=1e-10))
+
+
+@query("g10_blocks_theta", with_views(_theta_sql(), "tv4"))
+def g10_theta(spark, sf):
+    return _solved(spark, sf, "tv4", "t", "P", AD.adjust_blocks)[1]
+
+
+@query("g10_blocks_mesh", with_views(_mesh_sql(), "tv5"))
+def g10_mesh(spark, sf):
+    return _solved(spark, sf, "tv5", "m", "O", AD.adjust_blocks)[1]
+
+
+# ------------------------------------------------------------- the whole solution
+
+
+def _network_sql() -> str:
+    """A chain from an exact fix to an uncertain one of variance 1e-2, as one traverse."""
+    goal = {"x": "1e2", "y": "0e0", "z": "-5e0"}
+    at = ", ".join(
+        f"{r(f'(sum(d{a}) OVER w) + (sum(v{a}) OVER w) * ({goal[a]} - (sum(d{a}) OVER p)) / ((sum(v{a}) OVER p) + 1e-2)', 3)} AS {a}"
+        for a in "xyz"
+    )
+    return f"""WITH c AS (SELECT * FROM tv2 WHERE leg_id >= 0)
+ SELECT to_stn AS name, {at} FROM c WINDOW w AS (PARTITION BY cust ORDER BY seq), p AS (PARTITION BY cust)
+ UNION ALL SELECT DISTINCT concat('c', CAST(cust AS VARCHAR), '.0'), 0e0, 0e0, 0e0 FROM c
+ UNION ALL SELECT DISTINCT concat('e', CAST(cust AS VARCHAR)), 0e0, 0e0, 0e0 FROM c"""
+
+
+@query("z1_solve_network", with_views(_network_sql(), "tv2"))
+def z1(spark, sf):
+    """Legs, equates, an exact fix given twice and an uncertain one, to positions."""
+    legs = tv2_legs(spark, sf).where(F.col("leg_id") >= 0).withColumn("flags", F.lit(0))
+    cust = F.col("cust").cast("string")
+    ends = legs.groupBy("cust").agg(F.max_by("to_stn", "seq").alias("station"))
+    none, zero = F.lit(None).cast("double"), F.lit(0.0)
+
+    def fix(df, seq, place, sd):
+        return df.select(
+            "station", F.lit(seq).cast("long").alias("seq"), *[F.lit(v).alias(a) for a, v in zip("xyz", place)],
+            *[F.lit(sd).cast("double").alias(f"sd{a}") for a in "xyz"],
+            none.alias("cxy"), none.alias("cyz"), none.alias("czx"), F.lit(False).alias("is_reference"),
+        )
+
+    starts = ends.select(F.concat(F.lit("e"), cust).alias("station"))
+    fixes = (
+        fix(starts, 1, (0.0, 0.0, 0.0), None)
+        .unionByName(fix(starts, 2, (7.0, 7.0, 7.0), None))
+        .unionByName(fix(ends.select("station"), 3, (100.0, 0.0, -5.0), 0.1))
+    )
+    equates = ends.select(F.concat(F.lit("e"), cust).alias("a"), F.concat(F.lit("c"), cust, F.lit(".0")).alias("b"))
+    out = solve_network(legs.drop("cust", "date1"), fixes, equates)
+    return out.stations.select("name", *[F.round(F.round(a, 3) + zero, 3).alias(a) for a in "xyz"])
+
+
+@query(
+    "g9_exact_leg",
+    with_views(
+        "SELECT 'Q26' AS rule, CASE WHEN seq % 10 = 0 THEN 'warning' ELSE 'error' END AS severity, from_stn AS station, concat(from_stn, ' ', to_stn) AS detail FROM tv2 WHERE seq % 5 = 0", "tv2",
+    ),
+)
+def g9_exact(spark, sf):
+    """Legs without a variance are reported; the adjustment refuses them."""
+    zero = F.lit(0.0)
+    exact = F.col("seq") % 5 == 0
+    legs = tv2_legs(spark, sf)
+    legs = legs.withColumns(
+        {
+            "v": F.when(exact, V.cov(zero, zero, zero)).otherwise(F.col("v")),
+            "d": F.when(F.col("seq") % 10 == 0, V.vec(zero, zero, zero)).otherwise(F.col("d")),
+        }
+    )
+    return Q.exact_legs(legs).select("rule", "severity", "station", "detail")
+
+
+@query(
+    "j5_fixed_twice",
+    """SELECT concat('c', CAST(o_custkey AS VARCHAR)) AS name, min_by(o_totalprice, o_orderkey) AS x FROM orders GROUP BY o_custkey""",
+)
+def j5_twice(spark, sf):
+    """Every customer is fixed once per order: the first fix counts."""
+    none = F.lit(None).cast("double")
+    fixes = table(spark, sf, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("station"), F.col("o_orderkey").alias("seq"),
+        F.col("o_totalprice").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"),
+        *[none.alias(c) for c in ("sdx", "sdy", "sdz", "cxy", "cyz", "czx")],
+    )
+    legs = tv2_legs(spark, sf).select("from_stn", "to_stn", "d", "v")
+    return J.apply_fixes(legs, fixes)[1].select("name", "x")
+
+
+@query(
+    "j1_salted_lookup",
+    with_views("SELECT reading_id, from_stn, to_stn, x FROM tv1 JOIN tvs ON name = to_stn", "tv1", "tvs"),
+)
+def j1_salted(spark, sf):
+    """The lookup with salts for the heavy keys, as large tables take it."""
+    places = view(spark, sf, "tvs").select(F.col("name").alias("to_stn"), "x")
+    legs = view(spark, sf, "tv1").select("reading_id", "from_stn", "to_stn", "l_linenumber", "l_suppkey")
+    out = lookup(legs, "to_stn", places, rows=legs.count(), floor=0)
+    return out.select("reading_id", "from_stn", "to_stn", "x")

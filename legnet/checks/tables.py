@@ -331,6 +331,30 @@ def j6b(spark, sf):
     return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "j6_moved_repeats",
+    """WITH o AS (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) AS gone FROM orders GROUP BY o_custkey)
+ SELECT CAST(sum(n - gone) AS BIGINT) AS n, 'Same' AS status FROM o UNION ALL SELECT CAST(sum(gone) AS BIGINT), 'Deleted' FROM o""",
+)
+def j6c(spark, sf):
+    """Repeated labels that all move by half to the whole threshold, along several axes."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name"), k.alias("seq"),
+        (k * 1.0 + 0.004).alias("x"), (k % 3 * 0.5).alias("y"), (k % 7 * 0.25).alias("z"),
+    )
+    moved = o.where(F.col("seq") % 11 != 0).withColumns(
+        {
+            "x": F.col("x") + 0.0095 * F.when(F.col("seq") % 2 == 0, 1).otherwise(-1),
+            "y": F.col("y") - 0.006,
+            "z": F.col("z") + F.when(F.col("seq") % 3 == 0, 0.0099).otherwise(0.005),
+            "seq": -F.col("seq"),
+        }
+    )
+    out = DF.position_diff(o, moved)
+    return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def settings_view(spark, sf):
     """Length calibration events: per nation survey and, for some, per customer."""
     c = table(spark, sf, "customer")
@@ -972,7 +996,7 @@ def w7(spark, sf):
     ends = legs.select("trav_id").distinct().select(
         "trav_id", V.vec(z, z, z).alias("start"), V.vec(z, z, z).alias("finish")
     )
-    out = W.distribute_misclosure(legs, ends)
+    out = W.distribute_misclosure(legs, ends, rows=legs.count())
     return out.select("trav_id", "seq", "name", *[F.round(a, 4).alias(a) for a in "xyz"])
 
 

@@ -121,7 +121,32 @@ TVS = (
     + _stations("s", "s_suppkey", 500, "supplier")
 )
 
-VIEWS = {"tv1": TV1, "tv2": TV2, "tv2b": TV2B, "tv3": TV3, "tvs": TVS}
+_LEGS_OF = TV2[TV2.index("WITH o AS (") : TV2.index("open_legs AS (")].rstrip().rstrip(",")
+_VARIANCES = "1e-3 + 1e-4 * abs(dx) AS vx, 1e-3 + 1e-4 * abs(dy) AS vy, 1e-3 + 2e-4 * abs(dz) AS vz"
+
+# Three chains per customer with three or more orders, from a pinned station P to a
+# free one J; their sums differ, so J is a real unknown.
+TV4 = _LEGS_OF + f""",
+c AS (
+  SELECT *, seq % 3 AS ch, row_number() OVER (PARTITION BY cust, seq % 3 ORDER BY seq) AS k,
+         count(*) OVER (PARTITION BY cust, seq % 3) AS len
+  FROM o WHERE n >= 3)
+SELECT cust, leg_id, ch, k, len, dx, dy, dz, {_VARIANCES},
+       concat('t', CAST(cust AS STRING), CASE WHEN k = 1 THEN '.P' ELSE concat('.', CAST(ch AS STRING), '.', CAST(k - 1 AS STRING)) END) AS from_stn,
+       concat('t', CAST(cust AS STRING), CASE WHEN k = len THEN '.J' ELSE concat('.', CAST(ch AS STRING), '.', CAST(k AS STRING)) END) AS to_stn
+FROM c
+"""
+
+# A triangle with its centre per customer with six or more orders: the centre O is
+# pinned, the corners A, B and C are free and no loop closes.
+TV5 = _LEGS_OF + f"""
+SELECT cust, leg_id, seq, dx, dy, dz, {_VARIANCES},
+       concat('m', CAST(cust AS STRING), '.', CASE seq WHEN 4 THEN 'A' WHEN 5 THEN 'B' WHEN 6 THEN 'C' ELSE 'O' END) AS from_stn,
+       concat('m', CAST(cust AS STRING), '.', CASE seq WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'B' WHEN 5 THEN 'C' ELSE 'A' END) AS to_stn
+FROM o WHERE n >= 6 AND seq <= 6
+"""
+
+VIEWS = {"tv4": TV4, "tv5": TV5, "tv1": TV1, "tv2": TV2, "tv2b": TV2B, "tv3": TV3, "tvs": TVS}
 
 
 def register(spark: SparkSession, sf_dir: str, *tables: str) -> None:

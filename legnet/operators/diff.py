@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legnet.plans.scan import CHUNK, ordered_scan
+from legnet.plans.store import store
 
 # Default threshold and the slack added to it (metres).
 DEFAULT_THRESHOLD = 0.01
@@ -30,26 +33,66 @@ def _occurrence(df: DataFrame, keys: list[str], seq: str, chunk: int) -> DataFra
     return ordered_scan(df, keys, seq, running={"_occ": F.lit(1).cast("long")}, chunk=chunk)
 
 
-def _cell(side: str, threshold: float, shift: float) -> list[Column]:
-    size = threshold if threshold > 0 else SLACK
+def _cell(side: str, threshold: float, shift: tuple[int, ...]) -> list[Column]:
+    """Cells of twice the threshold, each axis shifted by half a cell or not.
+
+    Two places within the threshold on every axis share a cell in one at least of
+    the eight grids.
+    """
+    size = 2.002 * (max(threshold, 0.0) + SLACK)
     return [
-        F.floor(F.col(f"{side}_{c}") / size + shift).alias(f"_{c}") for c in "xyz"
+        F.floor(F.col(f"{side}_{c}") / size + half / 2).alias(f"_{c}")
+        for c, half in zip("xyz", shift)
     ]
 
 
+def _pair_repeated(o: DataFrame, n: DataFrame, threshold: float, chunk: int, columns) -> DataFrame:
+    """Pairs of places of repeated names, unpaired places on either side included.
+
+    Places within the threshold are paired first, grid by grid by their order in a
+    cell, until no grid finds a pair more; what is left is paired by order.
+    """
+    found = []
+    old, new = store(o), store(n)
+    keys = ["name", "_x", "_y", "_z"]
+    grids, idle = list(product((0, 1), repeat=3)), 0
+    while idle < len(grids) and old.stats["rows"] and new.stats["rows"]:
+        grid = grids[0]
+        grids = [*grids[1:], grid]
+        left = _occurrence(old.df.select("*", *_cell("old", threshold, grid)), keys, "old_seq", chunk)
+        right = _occurrence(new.df.select("*", *_cell("new", threshold, grid)), keys, "new_seq", chunk)
+        both = left.join(right, [*keys, "_occ"]).where(within("new", "old", threshold))
+        hit = store(both.select(*columns))
+        idle += 1
+        if hit.stats["rows"]:
+            idle = 0
+            found.append(hit.df)
+            rest_old = store(old.df.join(hit.df.select("name", "old_seq"), ["name", "old_seq"], "left_anti"))
+            rest_new = store(new.df.join(hit.df.select("name", "new_seq"), ["name", "new_seq"], "left_anti"))
+            old.drop()
+            new.drop()
+            old, new = rest_old, rest_new
+    left = _occurrence(old.df, ["name"], "old_seq", chunk)
+    right = _occurrence(new.df, ["name"], "new_seq", chunk)
+    out = left.join(right, ["name", "_occ"], "full").select(*columns)
+    for pairs in found:
+        out = out.unionByName(pairs)
+    return out
+
+
 def position_diff(
     old: DataFrame, new: DataFrame, threshold: float = DEFAULT_THRESHOLD, chunk: int = CHUNK
 ) -> DataFrame:
     """Every station as Same, Moved, Added or Deleted, with the move.
 
     Inputs: name, seq, x, y, z. A name that occurs once on both sides is compared
-    directly. A repeated name is paired first with a place in the same cell of a
-    grid of the threshold's size (two shifted grids), then by order of occurrence,
-    so that it prefers a partner that did not move. Each pass is an equality join
-    on a numbered occurrence: a name repeated many times never forms all pairs.
+    directly. Places of a repeated name are paired with a partner within the
+    threshold where there is one, else by order of occurrence. Every pass is an
+    equality join on a numbered occurrence: a name repeated many times never forms
+    all pairs.
     """
     o, n = _side(old, "old"), _side(new, "new")
-    repeated = (
+    repeated = store(
         old.select("name", F.lit(1).alias("a"), F.lit(0).alias("b"))
         .unionAll(new.select("name", F.lit(0).alias("a"), F.lit(1).alias("b")))
         .groupBy("name")
@@ -57,25 +100,17 @@ def position_diff(
         .where((F.col("a") > 1) | (F.col("b") > 1))
         .select("name")
     )
-    single = o.join(repeated, "name", "left_anti").join(
-        n.join(repeated, "name", "left_anti"), "name", "full"
-    )
-    o, n = o.join(repeated, "name", "left_semi"), n.join(repeated, "name", "left_semi")
-    out = single
-    for shift in (0.0, 0.5, None):
-        keys = ["name"] + ([] if shift is None else ["_x", "_y", "_z"])
-        if shift is not None:
-            left = _occurrence(o.select("*", *_cell("old", threshold, shift)), keys, "old_seq", chunk)
-            right = _occurrence(n.select("*", *_cell("new", threshold, shift)), keys, "new_seq", chunk)
-        else:
-            left = _occurrence(o, keys, "old_seq", chunk)
-            right = _occurrence(n, keys, "new_seq", chunk)
-        both = left.join(right, [*keys, "_occ"], "full" if shift is None else "inner")
-        both = both.select(*single.columns)
-        out = out.unionByName(both)
-        if shift is not None:
-            o = o.join(both.select("name", "old_seq"), ["name", "old_seq"], "left_anti")
-            n = n.join(both.select("name", "new_seq"), ["name", "new_seq"], "left_anti")
+    if not repeated.stats["rows"]:
+        out = o.join(n, "name", "full")
+    else:
+        names = repeated.df
+        out = o.join(names, "name", "left_anti").join(n.join(names, "name", "left_anti"), "name", "full")
+        out = out.unionByName(
+            _pair_repeated(
+                o.join(names, "name", "left_semi"), n.join(names, "name", "left_semi"),
+                threshold, chunk, out.columns,
+            )
+        )
     status = (
         F.when(F.col("old_seq").isNull(), "Added")
         .when(F.col("new_seq").isNull(), "Deleted")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legnet.functions.geometry import measure
@@ -14,6 +14,10 @@ from legnet.schema import LEG_SPLAY, LEG_SURFACE, STN_ENTRANCE, STN_EXPORTED
 from legnet.schema import STN_FIXED, STN_SURFACE, STN_UNDERGROUND
 
 
+#: Days and epochs (two numbers each) that one scan window holds.
+DAYS_PER_CHUNK = 4000
+
+
 def _ends(positions: DataFrame, side: str) -> DataFrame:
     return positions.select(
         F.col("name").alias(f"{side}_stn"), vec(*[F.col(a) for a in "xyz"]).alias(f"{side}_pos")
@@ -45,16 +49,26 @@ def anchor_name(station: Column) -> Column:
     return F.concat(F.lit("\u0000anchor:"), station)
 
 
+def first_fixes(fixes: DataFrame, key: str = "station") -> DataFrame:
+    """One fix per station: the first by `seq`.
+
+    Equal numbers, or a table without them, are put in order by the place, so the
+    choice never changes between runs.
+    """
+    turn = [F.col(c) for c in ("seq", "x", "y", "z") if c in fixes.columns]
+    rest = [c for c in fixes.columns if c != key]
+    return fixes.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*turn)).alias("_f")).select(key, "_f.*")
+
+
 def apply_fixes(legs: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(legs with anchor legs for uncertain fixes, pinned points).
 
     An exact fix pins its station. An uncertain one pins an unnamed anchor at the
     given place and ties the station to it by a leg of length zero that has the
-    covariance of the fix. Of several fixes of one station the first counts.
+    covariance of the fix. Of several fixes of one station the first counts
+    (`quality.fixed_twice` reports the others).
     """
-    first = fixes.groupBy("station").agg(
-        F.min_by(F.struct(*[c for c in fixes.columns if c != "station"]), "seq").alias("f")
-    ).select("station", "f.*") if "seq" in fixes.columns else fixes
+    first = first_fixes(fixes)
     exact = F.coalesce(F.col("sdx"), F.lit(0.0)) == 0.0
     sure = first.where(exact).select(F.col("station").alias("name"), "x", "y", "z")
     unsure = first.where(~exact)
@@ -133,18 +147,23 @@ def declination_at(
     middle = F.col(days1) + F.floor((F.col(days2) - F.col(days1)) / 2).cast("int")
     dated = readings.withColumn("_day", middle)
     days = dated.where(F.col("_day").isNotNull()).select("_day").distinct()
-    marks = table.select(
-        F.col("epoch").alias("_day"), F.col("declination").alias("d0"), F.col("rate").alias("r0")
+    marks = (
+        table.groupBy(F.col("epoch").alias("_day"))
+        .agg(F.min(F.struct("declination", "rate")).alias("e"))
+        .select("_day", F.col("e.declination").alias("d0"), F.col("e.rate").alias("r0"))
     )
     every = days.withColumns(
         {"d0": F.lit(None).cast("double"), "r0": F.lit(None).cast("double"), "_ask": F.lit(1)}
     ).unionByName(marks.withColumn("_ask", F.lit(0)))
-    # Days and epochs number a few thousand a year, whatever the readings.
-    order = Window.partitionBy().orderBy("_day", "_ask")
+    # One row per day and kind, scanned forwards and backwards in chunks of days.
     here = F.when(F.col("_ask") == 0, F.struct("_day", "d0", "r0"))
-    past = F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(here, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    known = every.withColumns({"p": past, "n": after}).where(F.col("_ask") == 1)
+    ordered = every.withColumns(
+        {"_all": F.lit(0), "_seq": F.col("_day").cast("long") * 2 + F.col("_ask")}
+    )
+    scanned = ordered_scan(ordered, ["_all"], "_seq", carry={"p": here}, chunk=DAYS_PER_CHUNK)
+    scanned = scanned.withColumn("_back", -F.col("_seq"))
+    known = ordered_scan(scanned, ["_all"], "_back", carry={"n": here}, chunk=DAYS_PER_CHUNK)
+    known = known.where(F.col("_ask") == 1)
     p, n = F.col("p"), F.col("n")
     share = (F.col("_day") - p["_day"]) / (n["_day"] - p["_day"])
     value = (

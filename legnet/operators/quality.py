@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from legnet.functions import readings as R
 from legnet.functions.names import ancestors
+from legnet.functions.vec import is_exact
+from legnet.operators.joins import first_fixes
 from legnet.operators.reduce import Calibration, reduce_diving, reduce_normal
 
 WARNING, ERROR = "warning", "error"
@@ -83,7 +85,7 @@ def fixed_twice(fixes: DataFrame) -> DataFrame:
 
 def equated_fixes(fixes: DataFrame, classes: DataFrame) -> DataFrame:
     """Q4: fixed stations equated to each other; an error if the places differ."""
-    once = fixes.select("station", "x", "y", "z").dropDuplicates(["station"])
+    once = first_fixes(fixes).select("station", "x", "y", "z")
     groups = once.join(classes, "station").groupBy("class").agg(*_spans())
     return _several_places(groups, "class", "Q4")
 
@@ -298,6 +300,17 @@ def infer_equates(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return readings.where(~hit), equates
 
 
+def exact_legs(legs: DataFrame) -> DataFrame:
+    """Q26: a leg without a variance, which the adjustment refuses.
+
+    A warning for one of length zero (its stations should be equated), else an error.
+    """
+    length2 = sum((F.col(f"d.{a}") * F.col(f"d.{a}") for a in "yz"), F.col("d.x") * F.col("d.x"))
+    severity = F.when(length2 == 0.0, WARNING).otherwise(ERROR)
+    detail = F.concat(F.col("from_stn"), F.lit(" "), F.col("to_stn"))
+    return _rows(legs.where(is_exact(F.col("v"))), "Q26", severity, F.col("from_stn"), detail=detail)
+
+
 def report(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

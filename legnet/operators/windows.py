@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legnet.functions.vec import AXES, PARTS, cov, sinv, smul_vec, vadd, vec
+from legnet.plans.skew import lookup
 from legnet.plans.scan import CHUNK, ordered_scan
 
 
@@ -57,7 +58,7 @@ def carry_previous(
 
 
 def distribute_misclosure(
-    legs: DataFrame, ends: DataFrame, chunk: int = CHUNK
+    legs: DataFrame, ends: DataFrame, chunk: int = CHUNK, rows: int | None = None
 ) -> DataFrame:
     """Positions along traverses whose two ends are known.
 
@@ -65,7 +66,8 @@ def distribute_misclosure(
     ends: trav_id, start and finish as struct<x,y,z>. The gap left by the legs is
     spread in proportion to the covariance passed so far:
     position = start + sum d + (sum v) * V^-1 * gap. The last station of a
-    traverse is its known end and is not repeated.
+    traverse is its known end and is not repeated. With `rows`, the number of legs,
+    the rows of a long traverse are salted for the join with its totals.
     """
     run = {f"_d{a}": F.col(f"d.{a}") for a in AXES}
     run |= {f"_v{p}": F.col(f"v.{p}") for p in PARTS}
@@ -85,14 +87,16 @@ def distribute_misclosure(
     moved = smul_vec(cov(*[F.col(f"_v{p}") for p in PARTS]), F.col("_k"))
     so_far = vec(*[F.col(f"_d{a}") for a in AXES])
     return (
-        walked.join(per_traverse, "trav_id")
+        lookup(walked, "trav_id", per_traverse, rows, spread=["trav_id", "seq"])
         .where(F.col("seq") < F.col("_n"))
         .withColumn("p", vadd(vadd(F.col("start"), so_far), moved))
         .select("trav_id", "seq", F.col("to_stn").alias("name"), "p.x", "p.y", "p.z")
     )
 
 
-def walk_from(legs: DataFrame, starts: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def walk_from(
+    legs: DataFrame, starts: DataFrame, chunk: int = CHUNK, rows: int | None = None
+) -> DataFrame:
     """Positions along open chains: start plus the running sum of the legs.
 
     legs: trav_id, seq, to_stn, d. starts: trav_id, start.
@@ -100,6 +104,6 @@ def walk_from(legs: DataFrame, starts: DataFrame, chunk: int = CHUNK) -> DataFra
     run = {f"_d{a}": F.col(f"d.{a}") for a in AXES}
     walked = ordered_scan(legs, ["trav_id"], "seq", running=run, chunk=chunk)
     at = [(F.col(f"start.{a}") + F.col(f"_d{a}")).alias(a) for a in AXES]
-    return walked.join(starts, "trav_id").select(
+    return lookup(walked, "trav_id", starts, rows, spread=["trav_id", "seq"]).select(
         "trav_id", "seq", F.col("to_stn").alias("name"), *at
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from legnet.functions.names import survey_of
 from legnet.operators.adjust import Adjustment, adjust, adjusted_legs
 from legnet.operators.graph import canonical_legs, default_fix, equate_classes
-from legnet.operators.joins import apply_fixes, station_flags
+from legnet.operators.joins import apply_fixes, first_fixes, station_flags
 from legnet.plans.skew import lookup
 from legnet.plans.store import cut
 
@@ -45,7 +45,8 @@ def solve_network(
         work = canonical_legs(work, classes).where(F.col("from_stn") != F.col("to_stn"))
         held = lookup(fixes, "station", classes, how="left").withColumn(
             "station", F.coalesce("class", "station")
-        ).drop("class").dropDuplicates(["station"])
+        ).drop("class")
+        held = first_fixes(held)
     tied, pinned = apply_fixes(work, held)
     pinned = default_fix(work, pinned).select("name", "x", "y", "z")
     result = adjust(tied, pinned, max_nodes=max_nodes)

@@ -75,7 +75,7 @@ READINGS = _fields(
 )
 SETTINGS = _fields("scope:s seq:l quantity:s unit:d zero:d scale:d sd:d")
 FIXES = _fields(
-    "station:s x:d y:d z:d sdx:d sdy:d sdz:d cxy:d cyz:d czx:d is_reference:b"
+    "station:s seq:l x:d y:d z:d sdx:d sdy:d sdz:d cxy:d cyz:d czx:d is_reference:b"
 )
 LEGS = _fields(
     "leg_id:l from_stn:s to_stn:s survey:s d:V v:C flags:i style:s days1:i days2:i"

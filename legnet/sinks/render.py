@@ -7,6 +7,8 @@ write is a range partitioning, so no task holds the whole file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +45,20 @@ def _order(*numbers: Column) -> Column:
     return F.concat(*[F.lpad(n.cast("string"), 20, "0") for n in numbers])
 
 
+def _zero(col: Column, digits: int) -> Column:
+    """col, with what would print as a (negative) zero set to zero."""
+    return F.when(F.abs(col) < 0.5 / 10**digits, F.lit(0.0)).otherwise(col)
+
+
 def _n(fmt: str, *cols: Column) -> Column:
-    # Rounding first clears noise that would print as a negative zero.
-    return F.format_string(fmt, *[F.round(c, 9) + F.lit(0.0) for c in cols])
+    """The numbers formatted, never with a negative zero."""
+    digits = [int(d) for d in re.findall(r"%[0-9]*\.([0-9])f", fmt)]
+    return F.format_string(fmt, *[_zero(c, d) for c, d in zip(cols, digits, strict=True)])
+
+
+def _somewhere(*cols: str) -> Column:
+    """Text key without a meaning of its own, so rows without a name spread over tasks."""
+    return F.format_string("%016x", F.xxhash64(*cols))
 
 
 def _xyz(fmt: str) -> Column:
@@ -62,7 +75,7 @@ def render_csv(stations: DataFrame, sep=".") -> DataFrame:
     return _union(
         _line(spark, 0, "Easting,Northing,Altitude,Station Name"),
         _part(keep, 1, natural_key(name, sep), lines),
-        _part(anon, 2, F.lit(""), _xyz("%.2f,%.2f,%.2f,")),
+        _part(anon, 2, _somewhere("x", "y", "z"), _xyz("%.2f,%.2f,%.2f,")),
     )
 
 
@@ -75,7 +88,7 @@ def render_pos(stations: DataFrame, sep=".") -> DataFrame:
     return _union(
         _line(spark, 0, "( Easting, Northing, Altitude )"),
         _part(keep, 1, natural_key(F.col("name"), sep), F.concat(at, F.lit(" "), F.col("name"))),
-        _part(anon, 2, F.lit(""), at),
+        _part(anon, 2, _somewhere("x", "y", "z"), at),
     )
 
 
@@ -87,7 +100,7 @@ def render_json(polylines: DataFrame, order: Column) -> DataFrame:
     spark = polylines.sparkSession
     df = polylines.withColumn("_k", order)
     p = F.col("points")
-    point = F.transform(p, lambda q: F.format_string("[%.2f,%.2f,%.2f]", q["x"] + 0.0, q["z"] + 0.0, q["y"] + 0.0))
+    point = F.transform(p, lambda q: _n("[%.2f,%.2f,%.2f]", q["x"], q["z"], q["y"]))
     body = F.concat(F.lit("["), F.array_join(point, ","), F.lit("]"))
     lim = [
         f(F.expr(f"array_{f.__name__}(transform(points, q -> q.{a}))"))
@@ -125,7 +138,7 @@ def render_gpx(stations: DataFrame, polylines: DataFrame, title: str, to_lonlat,
     spark = stations.sparkSession
     ll = stations.where(named(F.col("sflags"))).withColumn("_ll", to_lonlat(F.col("x"), F.col("y")))
     wpt = F.concat(
-        F.format_string(
+        _n(
             '<wpt lon="%.8f" lat="%.8f"><ele>%.2f</ele><name>', F.col("_ll.lon"), F.col("_ll.lat"), F.col("z")
         ),
         xml_escape(F.col("name")),
@@ -136,7 +149,7 @@ def render_gpx(stations: DataFrame, polylines: DataFrame, title: str, to_lonlat,
     track = F.array_join(
         F.transform(
             "points",
-            lambda q: F.format_string(
+            lambda q: _n(
                 '<trkpt lon="%.8f" lat="%.8f"><ele>%.2f</ele></trkpt>',
                 to_lonlat(q["x"], q["y"])["lon"], to_lonlat(q["x"], q["y"])["lat"], q["z"],
             ),
@@ -161,7 +174,7 @@ def render_gpx(stations: DataFrame, polylines: DataFrame, title: str, to_lonlat,
 def _coords(points: Column, to_lonlat, xyz=("x", "y", "z"), glue="\n") -> Column:
     def one(q):
         ll = to_lonlat(q[xyz[0]], q[xyz[1]])
-        return F.format_string("%.8f,%.8f,%.2f", ll["lon"], ll["lat"], q[xyz[2]])
+        return _n("%.8f,%.8f,%.2f", ll["lon"], ll["lat"], q[xyz[2]])
 
     return F.array_join(F.transform(points, one), glue)
 
@@ -221,7 +234,7 @@ def render_kml(
     ll = stations.withColumn("_ll", to_lonlat(F.col("x"), F.col("y")))
     at = F.concat(
         F.lit("<Placemark><Point><coordinates>"),
-        F.format_string("%.8f,%.8f,%.2f", F.col("_ll.lon"), F.col("_ll.lat"), F.col("z")),
+        _n("%.8f,%.8f,%.2f", F.col("_ll.lon"), F.col("_ll.lat"), F.col("z")),
         F.lit("</coordinates></Point>"),
     )
     label = F.concat(
@@ -230,7 +243,7 @@ def render_kml(
     )
     parts.append(_part(ll.where(named(F.col("sflags"))), 5, natural_key(F.col("name")), label))
     anon = ll.where(has_bit(F.col("sflags"), STN_ANON))
-    parts.append(_part(anon, 6, F.lit(""), F.concat(at, F.lit("</Placemark>"))))
+    parts.append(_part(anon, 6, _somewhere("x", "y", "z"), F.concat(at, F.lit("</Placemark>"))))
     parts.append(_line(spark, 7, "</Document></kml>"))
     return _union(*parts)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks, and so files, of one outermost survey.
+PIECES = 16
+
 TABLES = ("stations", "legs", "traverses", "xsects")
 
 
@@ -15,7 +18,11 @@ def top_survey(name, sep="."):
 
 
 def write_network(path: str, sep=".", **tables: DataFrame) -> None:
-    """Writes the given tables as Parquet; stations and legs by outermost survey."""
+    """Writes the given tables as Parquet; stations and legs by outermost survey.
+
+    Rows are dealt by survey first, and a survey to PIECES tasks at most, so there
+    are few files per survey and no task has a whole large one.
+    """
     for name, df in tables.items():
         if name not in TABLES:
             raise ValueError(f"unknown table {name}")
@@ -23,7 +30,8 @@ def write_network(path: str, sep=".", **tables: DataFrame) -> None:
         key = {"stations": "name", "legs": "from_stn"}.get(name)
         if key:
             df = df.withColumn("top", top_survey(F.col(key), sep))
-            writer = df.write.mode("overwrite").partitionBy("top")
+            piece = F.pmod(F.xxhash64(*df.columns[:2]), F.lit(PIECES))
+            writer = df.repartition("top", piece).write.mode("overwrite").partitionBy("top")
         writer.parquet(f"{path}/{name}")
 
 
