@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str | int = "*", app: str = "legnet") -> SparkSession:
+def local_session(
+    cores: str | int = "*", app: str = "legnet", checkpoint_dir: str | None = None
+) -> SparkSession:
+    """A local session; checkpoint_dir is where written tables go."""
     n = 8 if cores == "*" else int(cores)
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
@@ -18,8 +21,11 @@ def local_session(cores: str | int = "*", app: str = "legnet") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+        builder = builder.config("spark.sql.warehouse.dir", f"{checkpoint_dir}/warehouse")
+    return builder.getOrCreate()
 
 
 def tune(spark: SparkSession) -> None:

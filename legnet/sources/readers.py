@@ -1,4 +1,10 @@
-"""Readers: readings tables, positions, plot files, listings, survey blocks."""
+"""Readers: readings tables, positions, plot files, listings, survey blocks.
+
+A line that looks like data but does not parse is left out of the result. With
+`bad=True` a reader returns these lines instead, as (file, line_no, value), so none
+vanishes without a word. With `survey` only that sub-survey is read, under names
+relative to it.
+"""
 
 from __future__ import annotations
 
@@ -53,24 +59,36 @@ def read_readings(spark: SparkSession, path: str, fmt="parquet") -> tuple[DataFr
     return good, df.where(F.col(CORRUPT).isNotNull()).select("reading_id", CORRUPT)
 
 
-def read_pos(spark: SparkSession, path: str, survey: str = "") -> DataFrame:
+def _sound(rows: DataFrame, needed: list[str], bad: bool) -> DataFrame:
+    """Rows whose needed columns all parsed, or the lines of the others."""
+    ok = F.lit(True)
+    for c in needed:
+        ok = ok & F.col(c).isNotNull()
+    if bad:
+        return rows.where(~ok).select("file", "line_no", "value")
+    return rows.where(ok).drop("file", "line_no", "value")
+
+
+def read_pos(spark: SparkSession, path: str, survey: str = "", bad=False) -> DataFrame:
     """Stations of a position listing: `(E, N, A ) name` per line.
 
-    Lines of another form (the heading) are skipped. A line without a name is an
-    unnamed station.
+    The heading is skipped. A line without a name is an unnamed station.
     """
     number = r"\s*([-+]?[\d.]+(?:[eE][-+]?\d+)?)\s*"
     shape = rf"^\({number},{number},{number}\)[ \t]*(.*)$"
-    lines = numbered_lines(spark, path).where(F.col("value").rlike(shape))
+    heading = F.col("value").rlike(r"^\(\s*Easting\s*,\s*Northing\s*,\s*Altitude\s*\)")
+    lines = numbered_lines(spark, path).where(~heading & (F.trim("value") != ""))
     part = [F.regexp_extract("value", shape, i) for i in range(1, 5)]
     name = F.regexp_replace(part[3], r"^\\", "")
     out = lines.select(
         name.alias("name"),
-        *[part[i].cast("double").alias(a) for i, a in enumerate("xyz")],
+        *[part[i].try_cast("double").alias(a) for i, a in enumerate("xyz")],
         F.when(name == "", STN_UNDERGROUND | STN_ANON).otherwise(STN_UNDERGROUND).alias("sflags"),
         F.col("line_no").alias("seq"),
+        "file", "line_no", "value",
     )
-    return sub_survey(out, "name", survey) if survey else out
+    out = _sound(out, ["x", "y", "z"], bad)
+    return sub_survey(out, "name", survey) if survey and not bad else out
 
 
 def _feet(text: Column) -> Column:
@@ -91,7 +109,9 @@ def _date(month: Column, day: Column, year: Column) -> Column:
     )
 
 
-def read_plot_lines(spark: SparkSession, path: str, parts=False) -> DataFrame:
+def read_plot_lines(
+    spark: SparkSession, path: str, parts=False, survey: str = "", bad=False
+) -> DataFrame:
     """Points of line-coded plot files, in order.
 
     With `parts` the files found are consecutive parts of one plot file, in the
@@ -99,7 +119,8 @@ def read_plot_lines(spark: SparkSession, path: str, parts=False) -> DataFrame:
 
     Columns: file, seq, move (starts a walk), section, station ('section name'),
     x, y, z (metres), flags, days1, l, r, u, d (-1 where not given). Points of a
-    section that is not open (after X, F or S until the next N) are skipped.
+    section that is not open (after X, F or S until the next N) are skipped. A
+    `survey` is the name of one section.
     """
     lines = numbered_lines(spark, path, parts).where(F.col("value").rlike("^[NXFSMDd]"))
     op, rest = F.substring("value", 1, 1), F.expr("substring(value, 2)")
@@ -129,7 +150,8 @@ def read_plot_lines(spark: SparkSession, path: str, parts=False) -> DataFrame:
         return F.when((v >= 0) & (v <= 900), v * METRES_PER_FOOT).otherwise(-1.0)
 
     points = points.select(
-        "file",
+        "file", "line_no", "value",
+        F.col("file").alias("_file"),
         F.col("line_no").alias("seq"),
         (F.col("op") == "M").alias("move"),
         F.col("_at.name").alias("section"),
@@ -146,6 +168,13 @@ def read_plot_lines(spark: SparkSession, path: str, parts=False) -> DataFrame:
         size(7).alias("d"),
     )
     # A file may start with a draw; its first point is a move all the same.
+    if bad:
+        return _sound(points, ["x", "y", "z"], True)
+    points = _sound(points, ["x", "y", "z"], False).withColumnRenamed("_file", "file")
+    if survey:
+        points = points.where(F.col("section") == survey).withColumn(
+            "station", F.substr("station", F.lit(len(survey) + 2))
+        )
     first = ordered_scan(points, ["file"], "seq", lag={"_before": F.lit(1)})
     return first.withColumn("move", F.col("move") | F.col("_before").isNull()).drop("_before")
 
@@ -158,6 +187,11 @@ def _cells(spark: SparkSession, path: str, least: int) -> DataFrame:
     )
 
 
+def _heading() -> Column:
+    """Title, column names and rules of a listing: lines without a digit."""
+    return ~F.col("value").rlike("[0-9]")
+
+
 def _cut(start: int, size: int) -> Column:
     return _feet(F.trim(F.substring("value", start, size)))
 
@@ -166,17 +200,21 @@ def _name(start: int, size: int) -> Column:
     return F.substring_index(F.substring("value", start, size), " ", 1)
 
 
-def read_xyz_stations(spark: SparkSession, path: str) -> DataFrame:
+def read_xyz_stations(spark: SparkSession, path: str, survey: str = "", bad=False) -> DataFrame:
     """Stations of a fixed-width listing in feet; the first line of a name counts."""
     rows = _cells(spark, path, 37).select(
         _name(1, 6).alias("name"), _cut(7, 9).alias("x"), _cut(16, 9).alias("y"),
-        _cut(25, 8).alias("z"), F.col("line_no").alias("seq"),
+        _cut(25, 8).alias("z"), F.col("line_no").alias("seq"), "file", "line_no", "value",
     )
+    rows = _sound(rows.where(~_heading()), ["x", "y", "z"], bad)
+    if bad:
+        return rows
+    rows = sub_survey(rows, "name", survey) if survey else rows
     first = rows.groupBy("name").agg(F.min_by(F.struct("x", "y", "z", "seq"), "seq").alias("r"))
     return first.select("name", "r.*", F.lit(STN_UNDERGROUND).alias("sflags"))
 
 
-def read_xyz_shots(spark: SparkSession, path: str) -> DataFrame:
+def read_xyz_shots(spark: SparkSession, path: str, survey: str = "", bad=False) -> DataFrame:
     """Shots of a fixed-width listing in feet, with both end points.
 
     A shot from a station to itself only places that station (move = true).
@@ -185,7 +223,13 @@ def read_xyz_shots(spark: SparkSession, path: str) -> DataFrame:
         F.col("line_no").alias("seq"), _name(1, 7).alias("from_stn"), _name(8, 7).alias("to_stn"),
         _cut(16, 9).alias("dx"), _cut(25, 8).alias("dy"), _cut(33, 8).alias("dz"),
         _cut(41, 10).alias("x"), _cut(51, 10).alias("y"), _cut(61, 9).alias("z"),
+        "file", "line_no", "value",
     )
+    rows = _sound(rows.where(~_heading()), ["x", "y", "z", "dx", "dy", "dz"], bad)
+    if bad:
+        return rows
+    if survey:
+        rows = sub_survey(sub_survey(rows, "from_stn", survey), "to_stn", survey)
     return rows.withColumns(
         {f"from_{a}": F.col(a) - F.col(f"d{a}") for a in "xyz"}
         | {"move": F.col("from_stn") == F.col("to_stn")}
@@ -195,7 +239,9 @@ def read_xyz_shots(spark: SparkSession, path: str) -> DataFrame:
 _MISSING = 999.0 - 360.0
 
 
-def read_survey_blocks(spark: SparkSession, path: str, corrected=False) -> DataFrame:
+def read_survey_blocks(
+    spark: SparkSession, path: str, corrected=False, survey: str = "", bad=False
+) -> DataFrame:
     """Shots of form-feed separated survey records, with their survey's settings.
 
     Lengths stay in feet and angles in degrees; corr_* are the corrections to add
@@ -263,6 +309,12 @@ def read_survey_blocks(spark: SparkSession, path: str, corrected=False) -> DataF
     letters = F.regexp_extract(F.get("_t", flag_at), r"^#\|([A-Z]*)#", 1)
     back = F.col("backsights")
     shots = shots.withColumn("_f", map_shot_flags(letters))
+    if survey:
+        shots = shots.where(F.col("survey") == survey)
+    tape = num(2)
+    if bad:
+        return shots.where(tape.isNull()).select("file", "line_no", F.col("line").alias("value"))
+    shots = shots.where(tape.isNotNull())
     return shots.select(
         "file", "block", "row", "line_no", "survey", "days1", "declination", "recorded_style",
         *[f"corr_{c}" for c in ("compass", "clino", "tape", "backcompass", "backclino")],

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from legnet.plans.session import local_session, tune
 
-    session = local_session(8, "tests")
+    folder = tempfile.mkdtemp(prefix="legnet-tests-")
+    session = local_session(8, "tests", checkpoint_dir=folder)
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     tune(session)
