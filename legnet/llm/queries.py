@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from legnet.llm import (
-    bpe, html_extract, mixing, ngram_join, phrases, pii, quality, quality_sql, sharding,
+    bpe, corpus_sql, html_extract, mixing, ngram_join, phrases, pii, quality, quality_sql, sharding,
     syncmers, warc,
 )
 from legnet.llm.batches import read_table
@@ -82,3 +82,8 @@ def op6_tree_model_text(spark, sf):
 @query
 def op10_phrase_automata(spark, sf):
     return phrases.dedup(read_table(spark, sf, "documents"))
+
+
+SQL["op3_parity_sketch_join"] = corpus_sql.JACCARD
+SQL["op7_warc_index"] = corpus_sql.ARCHIVE
+SQL["op10_phrase_automata"] = corpus_sql.PHRASES
