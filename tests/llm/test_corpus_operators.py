@@ -129,7 +129,7 @@ def test_raking(spark):
     docs = documents(spark, rows)
     got = mixing.weights(docs, topic="id").toPandas()
     assert got.gap.max() < 1e-9 and got.probability.between(0, 1).all()
-    for dim, power in (("source", 0.5), ("lang", 0.7)):
+    for dim, power in mixing.TEMPER.items():
         base = got.groupby(dim).n_tokens.sum() ** power
         mass = (got.n_tokens * got.rate).groupby(got[dim]).sum()
         assert ((mass / mass.sum()) - (base / base.sum())).abs().max() < 1e-9
