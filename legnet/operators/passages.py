@@ -6,13 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legnet.functions.vec import vec
-from legnet.plans.scan import CHUNK, ordered_scan
-
-
-def _reverse_lag(df: DataFrame, keys: list[str], seq: str, what, out: str, chunk: int) -> DataFrame:
-    """Value of the following row: a lag in descending order."""
-    back = df.withColumn("_back", -F.col(seq))
-    return ordered_scan(back, keys, "_back", lag={out: what}, chunk=chunk).drop("_back")
+from legnet.plans.scan import CHUNK, large_groups, ordered_scan
 
 
 def _unit_right(a, b):
@@ -35,8 +29,10 @@ def tube_frames(xsects: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """
     keys = ["tube_id"]
     here = F.struct("x", "y", "z")
-    df = ordered_scan(xsects, keys, "seq", lag={"_prev": here}, chunk=chunk)
-    df = _reverse_lag(df, keys, "seq", here, "_next", chunk)
+    large = large_groups(xsects, keys, chunk)
+    df = ordered_scan(
+        xsects, keys, "seq", lag={"_prev": here}, lead={"_next": here}, chunk=chunk, large=large
+    )
     df = df.where(F.col("_prev").isNotNull() | F.col("_next").isNotNull())
     zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     r1 = F.when(F.col("_prev").isNotNull(), _unit_right(F.col("_prev"), here)).otherwise(zero)
@@ -52,7 +48,7 @@ def tube_frames(xsects: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.struct((F.col("_rx") / F.col("_size")).alias("x"), (F.col("_ry") / F.col("_size")).alias("y")),
     )
     df = df.withColumn("_own", own)
-    df = ordered_scan(df, keys, "seq", carry={"_right": F.col("_own")}, chunk=chunk)
+    df = ordered_scan(df, keys, "seq", carry={"_right": F.col("_own")}, chunk=chunk, large=large)
     east = F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))
     df = df.withColumn("right", F.coalesce("_right", east))
     return df.withColumn(

@@ -1,9 +1,10 @@
 """Ordered scans over groups of any size.
 
-A window over a whole group runs in one task, so one long group would hold up a
-job. These scans cut every group into chunks of consecutive sequence numbers:
-windows run inside a chunk, and a second, far smaller window carries totals and
-last values from chunk to chunk.
+A window over a whole group runs in one task, which is right for most groups and
+wrong for a long one. Groups are counted first: those that fit a window are scanned
+by plain windows. The rows of the few longer ones are numbered densely and cut into
+chunks; windows run inside a chunk, and a second, far smaller window carries totals,
+last and first values from chunk to chunk.
 """
 
 from __future__ import annotations
@@ -11,7 +12,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from legnet.plans.rank import ranked
+from legnet.plans.store import store
+
 CHUNK = 200_000
+_COUNT = object()
+
+
+def large_groups(df: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame | None:
+    """(_k0, _k1, ...): keys of the groups with more than `chunk` rows, None without any.
+
+    There are fewer than rows / chunk of them.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
+    found = store(sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
+    return found.df if found.stats["rows"] else None
+
+
+def _same(left: DataFrame, right: DataFrame, cells: list[str]) -> Column:
+    # Keys may be NULL, so rows join with null-safe equality.
+    on = F.lit(True)
+    for i, c in enumerate(cells):
+        on = on & left[c].eqNullSafe(right[f"_k{i}"])
+    return on
+
+
+def _windows(cells, seq, lag, lead, carry, running) -> dict[str, Column]:
+    """The scans inside the groups given by cells; lag and lead as one-field structs."""
+    at = Window.partitionBy(*cells).orderBy(seq)
+    upto = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = {f"_lag_{n}": F.lag(F.struct(c.alias("col1"))).over(at) for n, c in lag.items()}
+    out |= {f"_led_{n}": F.lead(F.struct(c.alias("col1"))).over(at) for n, c in lead.items()}
+    out |= {f"_car_{n}": F.last(c, ignorenulls=True).over(upto) for n, c in carry.items()}
+    return out | {f"_run_{n}": F.sum(c).over(upto) for n, c in running.items()}
 
 
 def ordered_scan(
@@ -22,54 +55,70 @@ def ordered_scan(
     carry: dict[str, Column] | None = None,
     running: dict[str, Column] | None = None,
     chunk: int = CHUNK,
+    lead: dict[str, Column] | None = None,
+    large=_COUNT,
 ) -> DataFrame:
     """Adds columns computed along each group in order of an integer `seq`.
 
-    lag: value of the previous row. carry: last value that is not NULL, up to and
-    with this row. running: sum up to and with this row. `seq` must be unique in
-    a group; it need not be dense.
+    lag, lead: value of the previous and of the next row. carry: last value that is
+    not NULL, up to and with this row. running: sum up to and with this row. `seq`
+    must be unique in a group; it need not be dense. `large` may name the long
+    groups as `large_groups` gives them, where they are known already.
     """
-    lag, carry, running = lag or {}, carry or {}, running or {}
-    cells = [*keys, "_chunk"]
-    at = Window.partitionBy(*cells).orderBy(seq)
-    upto = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)))
-    inner = {f"_lag_{n}": F.lag(F.struct(c.alias("col1"))).over(at) for n, c in lag.items()}
-    inner |= {f"_car_{n}": F.last(c, ignorenulls=True).over(upto) for n, c in carry.items()}
-    inner |= {f"_run_{n}": F.sum(c).over(upto) for n, c in running.items()}
-    rows = df.withColumns(inner)
+    lag, carry, running, lead = lag or {}, carry or {}, running or {}, lead or {}
+    if large is _COUNT:
+        large = large_groups(df, keys, chunk)
+    made = {*lag, *lead, *carry, *running}
+    names = [c for c in df.columns if c not in made]
 
+    def whole(rows: DataFrame) -> DataFrame:
+        done = rows.withColumns(_windows(keys, seq, lag, lead, carry, running))
+        out = {n: F.col(f"_lag_{n}.col1") for n in lag} | {n: F.col(f"_led_{n}.col1") for n in lead}
+        out |= {n: F.col(f"_car_{n}") for n in carry}
+        out |= {n: F.coalesce(F.col(f"_run_{n}"), F.lit(0)) for n in running}
+        return done.withColumns(out).select(*names, *out)
+
+    if large is None:
+        return whole(df)
+    on = _same(df, large, keys)
+    short = whole(df.join(large, on, "left_anti"))
+    long = ranked(df.join(large, on, "left_semi"), *keys, seq, name="_place")
+    long = long.withColumn("_chunk", F.floor(F.col("_place") / F.lit(chunk))).drop("_place")
+    return short.unionByName(_chunked(long, keys, seq, names, lag, lead, carry, running))
+
+
+def _chunked(df, keys, seq, names, lag, lead, carry, running) -> DataFrame:
+    """The scans over rows with a `_chunk`: rows of a chunk stand together in `seq`."""
+    cells = [*keys, "_chunk"]
+    rows = df.withColumns(_windows(cells, seq, lag, lead, carry, running))
     ends = [F.max_by(F.struct(c.alias("col1")), seq).alias(f"_el_{n}") for n, c in lag.items()]
+    ends += [F.min_by(F.struct(c.alias("col1")), seq).alias(f"_ed_{n}") for n, c in lead.items()]
     ends += [
         F.max_by(c, F.when(c.isNotNull(), F.col(seq))).alias(f"_ec_{n}")
         for n, c in carry.items()
     ]
     ends += [F.sum(c).alias(f"_er_{n}") for n, c in running.items()]
+    ends = ends or [F.count(F.lit(1)).alias("_e_n")]
     before = Window.partitionBy(*keys).orderBy("_chunk")
     past = before.rowsBetween(Window.unboundedPreceding, -1)
     heads = df.groupBy(*cells).agg(*ends).withColumns(
         {f"_el_{n}": F.lag(f"_el_{n}").over(before) for n in lag}
+        | {f"_ed_{n}": F.lead(f"_ed_{n}").over(before) for n in lead}
         | {f"_ec_{n}": F.last(f"_ec_{n}", ignorenulls=True).over(past) for n in carry}
         | {f"_er_{n}": F.sum(f"_er_{n}").over(past) for n in running}
     )
-    # Keys may be NULL, so the chunk heads join with null-safe equality.
     heads = heads.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cells)], *[
         c for c in heads.columns if c not in cells
     ])
-    on = None
-    for i, c in enumerate(cells):
-        same = rows[c].eqNullSafe(heads[f"_k{i}"])
-        on = same if on is None else on & same
-    joined = rows.join(heads, on, "left")
+    joined = rows.join(heads, _same(rows, heads, cells), "left")
     out = {n: F.coalesce(f"_lag_{n}", f"_el_{n}").getField("col1") for n in lag}
+    out |= {n: F.coalesce(f"_led_{n}", f"_ed_{n}").getField("col1") for n in lead}
     out |= {n: F.coalesce(f"_car_{n}", f"_ec_{n}") for n in carry}
     out |= {
         n: F.coalesce(F.col(f"_run_{n}"), F.lit(0)) + F.coalesce(F.col(f"_er_{n}"), F.lit(0))
         for n in running
     }
-    work = [f"_k{i}" for i in range(len(cells))] + ["_chunk", *inner]
-    work += [f"_el_{n}" for n in lag] + [f"_ec_{n}" for n in carry] + [f"_er_{n}" for n in running]
-    return joined.withColumns(out).drop(*work)
+    return joined.withColumns(out).select(*names, *out)
 
 
 def segment(
@@ -77,9 +126,10 @@ def segment(
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Adds a group number that steps whenever a `change` column changes."""
+    large = large_groups(df, keys, chunk)
     marked = ordered_scan(
         df, keys, seq, lag={f"_was_{c}": F.col(c) for c in change} | {"_was": F.lit(1)},
-        chunk=chunk,
+        chunk=chunk, large=large,
     )
     step = F.col("_was").isNull()
     for c in change:
@@ -88,5 +138,5 @@ def segment(
         "_was", *[f"_was_{c}" for c in change]
     )
     return ordered_scan(
-        marked, keys, seq, running={out: F.col("_step")}, chunk=chunk
+        marked, keys, seq, running={out: F.col("_step")}, chunk=chunk, large=large
     ).drop("_step")

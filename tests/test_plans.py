@@ -1,5 +1,6 @@
 """Skew-safe joins and chunked scans give what plain joins and windows give."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -38,21 +39,23 @@ def test_salted_rows_are_spread(spark):
     assert plan.count() == 900
 
 
-def test_scan_across_chunks(spark):
+@pytest.mark.parametrize("chunk", [7, 1000])
+def test_scan_across_chunks(spark, chunk):
     df = spark.range(60).select(
         F.when(F.col("id") % 2 == 0, "a").alias("g"), F.col("id").alias("seq"),
         F.when(F.col("id") % 5 == 0, F.col("id")).alias("mark"),
     )
     got = ordered_scan(
         df, ["g"], "seq", lag={"prev": F.col("seq")}, carry={"held": F.col("mark")},
-        running={"total": F.col("seq")}, chunk=7,
+        running={"total": F.col("seq")}, chunk=chunk, lead={"following": F.col("mark")},
     )
     w = Window.partitionBy("g").orderBy("seq")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumns(
-        {"prev": F.lag("seq").over(w), "held": F.last("mark", True).over(upto), "total": F.sum("seq").over(upto)}
+        {"prev": F.lag("seq").over(w), "held": F.last("mark", True).over(upto), "total": F.sum("seq").over(upto),
+         "following": F.lead("mark").over(w)}
     )
-    cols = ["g", "seq", "mark", "prev", "held", "total"]
+    cols = ["g", "seq", "mark", "prev", "held", "total", "following"]
     assert sorted(map(tuple, got.select(cols).collect()), key=repr) == sorted(
         map(tuple, want.select(cols).collect()), key=repr
     )
