@@ -20,6 +20,10 @@ from legnet.sources import readers as S
 QUERIES, SQL = {}, {}
 
 
+# Bounds of a plot file in feet, north before east.
+_BOX = ", ".join(f"{f}({a}) / 3.048e-1" for a in "yxz" for f in ("min", "max"))
+
+
 def _z(expr: str, digits: int = 2) -> str:
     """What would print as a negative zero is zero."""
     return f"CASE WHEN abs({expr}) < {0.5 / 10**digits!r} THEN 0e0 ELSE ({expr}) + 0e0 END"
@@ -155,13 +159,14 @@ def s3(spark, sf):
     with_views(
         f"""WITH {_PLT}, lb AS (SELECT x, y, z, min(seq) AS s FROM it WHERE seq % 3 <> 0 GROUP BY x, y, z)
  SELECT concat(CASE WHEN move THEN 'M ' ELSE 'D ' END, printf('%.3f %.3f %.3f ', round(it.y / 3.048e-1, 6) + 0e0, round(it.x / 3.048e-1, 6) + 0e0, round(it.z / 3.048e-1, 6) + 0e0), 'S', CASE WHEN s IS NULL THEN concat('^', CAST(seq AS VARCHAR)) ELSE concat('n^_', CAST(s AS VARCHAR)) END,
-   ' P -9 -9 -9 -9', CASE WHEN flags = 2 THEN ' FL' ELSE '' END) AS value FROM it LEFT JOIN lb ON lb.x = it.x AND lb.y = it.y AND lb.z = it.z""",
+   ' P -9 -9 -9 -9', CASE WHEN flags = 2 THEN ' FL' ELSE '' END) AS value FROM it LEFT JOIN lb ON lb.x = it.x AND lb.y = it.y AND lb.z = it.z
+ UNION ALL SELECT 'NX D 1 1 1 CX'
+ UNION ALL SELECT concat(op, printf(' %.3f %.3f %.3f %.3f %.3f %.3f', {_BOX})) FROM it, (VALUES ('Z'), ('X')) v(op) GROUP BY op""",
         "tv2",
     ),
 )
 def k6(spark, sf):
-    out = _written(spark, K.render_plot_lines(_stream(spark, sf), _labels(spark, sf)))
-    return out.where(F.col("value").rlike("^[MD]"))
+    return _written(spark, K.render_plot_lines(_stream(spark, sf), _labels(spark, sf)))
 
 
 # Names of a listing have six characters: a letter and the number to base 36.
@@ -309,13 +314,14 @@ _CLASS = "CASE WHEN k % 7 = 0 THEN '{0}' WHEN k % 11 = 0 THEN '{1}' WHEN k % 5 =
     "k4_to_gpx",
     with_views(
         f"""WITH {_LINES} SELECT concat(printf('<wpt lon="%.8f" lat="%.8f"><ele>%.2f</ele><name>', x / 1000, y / 1000, z), name, '</name>', {_CLASS.format('<sym>Pin, Green</sym>', '<sym>Pin, Red</sym>', '<sym>Pin, Blue</sym>')}, '</wpt>') AS value FROM tvs WHERE k % 13 <> 0
- UNION ALL SELECT concat('<trkseg>', string_agg(printf('<trkpt lon="%.8f" lat="%.8f"><ele>%.2f</ele></trkpt>', {_z('x / 1000', 8)}, {_z('y / 1000', 8)}, {_z('z')}), '' ORDER BY seq), '</trkseg>') FROM pp GROUP BY cust, p""",
+ UNION ALL SELECT concat('<trkseg>', string_agg(printf('<trkpt lon="%.8f" lat="%.8f"><ele>%.2f</ele></trkpt>', {_z('x / 1000', 8)}, {_z('y / 1000', 8)}, {_z('z')}), '' ORDER BY seq), '</trkseg>') FROM pp GROUP BY cust, p
+ UNION ALL SELECT unnest(['<?xml version="1.0" encoding="UTF-8"?>', '<gpx version="1.0" creator="legnet" xmlns="http://www.topografix.com/GPX/1/0">',
+   '<name>all &amp; more</name>', '<trk><name>all &amp; more</name>', '</trk>', '</gpx>'])""",
         "tvs", "tv2",
     ),
 )
 def k4(spark, sf):
-    out = _written(spark, K.render_gpx(view(spark, sf, "tvs"), _polylines(spark, sf), "all & more", _flat_lonlat, _poly_order()))
-    return out.where(F.col("value").rlike("^<(wpt|trkseg)"))
+    return _written(spark, K.render_gpx(view(spark, sf, "tvs"), _polylines(spark, sf), "all & more", _flat_lonlat, _poly_order()))
 
 
 @query(
