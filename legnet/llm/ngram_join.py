@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legnet.llm.batches import shuffle_partitions
-from legnet.llm.streams import bits, groups, only_ids
+from legnet.llm.streams import KeyFilter, bits, groups, only_ids
 from legnet.llm.words import gram_hashes, mix, split_words, word_hashes
 from legnet.operators.graph import components
 from legnet.plans.store import Stored, cut, store
 
-#: Documents of a block; a group with more is cut.
-BLOCK = 512
+#: Documents of a block in a cluster (with their shingles) and in a bucket (with their
+#: sketches); a group with more is cut.
+BLOCK, BUCKET_BLOCK = 256, 2048
 
 
 class Similarity:
@@ -97,8 +98,8 @@ def parity(values: np.ndarray, words: int, place: np.ndarray) -> np.ndarray:
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """A whole sketch with four bits or more per shingle, foldable to half its size."""
-    words = 1 << max(0, (len(values) - 1) // 16).bit_length()
+    """A whole sketch with a bit or more per shingle, foldable to half its size."""
+    words = 1 << max(0, (len(values) - 1) // 64).bit_length()
     return parity(values, words, (values & np.uint64(words - 1)).astype(np.int64))
 
 
@@ -203,10 +204,11 @@ def linked(rows: DataFrame, like: Similarity, exact: bool) -> Stored:
             lambda batches: _walk(batches, ["g", "block"], like, exact, arrow), "u long, v long"
         )
 
+    most = BLOCK if exact else BUCKET_BLOCK
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("pivot"))
     large = store(
-        sizes.where(F.col("m") > BLOCK).select(
-            "g", "pivot", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("blocks")
+        sizes.where(F.col("m") > most).select(
+            "g", "pivot", F.ceil(F.col("m") / F.lit(most)).cast("int").alias("blocks")
         )
     )
     if not large.stats["rows"]:
@@ -276,21 +278,25 @@ def join(
     bands = layout(like, firsts)
     reps = store(classes.where(F.col("n") >= firsts[0]).select("rep").distinct())
 
-    def buckets(batches):
+    def buckets(batches, known=None):
         schema = pa.schema([("g", pa.int64()), ("rep", pa.int64())])
         for batch in batches:
             cols = batch.to_pydict()
             keys = [band_keys(s, firsts, bands) for s in shingle_sets(cols["text"], size)]
             ids = np.repeat(np.array(cols["id"], dtype=np.int64), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], schema=schema)
+            keys = np.concatenate(keys)
+            if known is not None:
+                keep = known.may_hold(keys)
+                keys, ids = keys[keep], ids[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], schema=schema)
 
     unique = only_ids(docs, "id", reps.df, reps.stats["rows"])
+    # Keys are counted first; the second pass sends on only what the filter lets pass.
     index = unique.mapInArrow(buckets, "g long, rep long")
-    shared = store(
-        index.groupBy("g").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-        .where("a < b").select("g")
-    )
-    met = store(only_ids(index, "g", shared.df, shared.stats["rows"]).distinct())
+    shared = store(index.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"))
+    known_keys = KeyFilter(shared.df, shared.stats["rows"])
+    index = unique.mapInArrow(lambda batches: buckets(batches, known_keys), "g long, rep long")
+    met = store(index.join(shared.df, "g"))
     involved = store(met.df.select("rep").distinct())
 
     def contents(batches):
@@ -307,14 +313,16 @@ def join(
             }
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    known = cut(
+    known = store(
         only_ids(docs, "id", involved.df, involved.stats["rows"]).mapInArrow(
             contents, "rep long, n long, sketch binary, shingles binary"
         )
     )
-    near = linked(met.df.join(known.drop("shingles"), "rep"), like, exact=False)
+    near = linked(met.df.join(known.df.drop("shingles"), "rep"), like, exact=False)
     clusters = components(near.df).df.select(F.col("node").alias("rep"), F.col("component").alias("g"))
-    links = linked(known.join(clusters, "rep"), like, exact=True)
+    links = linked(known.df.join(clusters, "rep"), like, exact=True)
+    for table in (shared, met, involved, known, near, reps):
+        table.drop()
     # Rows with one id are one document, whatever their texts.
     found = components(links.df).df.select(F.col("node").alias("rep"), "component")
 

@@ -32,6 +32,39 @@ def without_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return only_ids(docs, id_col, listed.df, listed.stats["rows"], "left_anti")
 
 
+class KeyFilter:
+    """A Bloom filter of 64-bit keys, made by Spark and sent to every task.
+
+    A key sets three bits of one 64-bit word. There are as many words as half the keys,
+    up to MOST_WORDS (32 MB): with more keys the filter lets more others pass, which the
+    join behind it drops, and it never drops a key.
+    """
+
+    MOST_WORDS = 1 << 22
+
+    def __init__(self, keys: DataFrame, rows: int):
+        column = keys.columns[0]
+        self.words = min(self.MOST_WORDS, 1 << max(6, (rows // 2).bit_length()))
+        bit = [f"shiftleft(1L, cast(shiftrightunsigned({column}, {s}) & 63L as int))" for s in (32, 40, 48)]
+        found = (
+            keys.select(F.expr(f"{column} & {self.words - 1}L").alias("at"), F.expr(" | ".join(bit)).alias("mask"))
+            .groupBy("at")
+            .agg(F.bit_or("mask").alias("mask"))
+            .toArrow()
+        )
+        table = np.zeros(self.words, np.uint64)
+        table[found["at"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+        self.table = keys.sparkSession.sparkContext.broadcast(table)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """False only for keys that are not in the filter."""
+        k = keys.view(np.uint64)
+        mask = np.zeros(len(k), np.uint64)
+        for s in (32, 40, 48):
+            mask |= np.uint64(1) << ((k >> np.uint64(s)) & np.uint64(63))
+        return self.table.value[(k & np.uint64(self.words - 1)).astype(np.int64)] & mask == mask
+
+
 def groups(batches, keys: list[str]) -> Iterator[dict[str, list]]:
     """Columns of each run of rows with equal keys, from batches sorted by the keys.
 

@@ -56,6 +56,7 @@ def test_words_and_grams():
 
 @pytest.mark.parametrize("size, num, den", [(3, 9, 10), (5, 4, 5)])
 def test_jaccard_join(spark, sf, size, num, den, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", 16)
     monkeypatch.setattr(ngram_join, "BLOCK", 16)  # large groups take the blocked way too
     rows = [r[:2] for r in awkward() if r[0] is not None] + near_copies(60, 150, 7, 2000)
     rows += near_copies(30, 12, 2, 3000) + near_copies(40, 600, 30, 4000)
