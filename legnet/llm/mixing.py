@@ -79,31 +79,34 @@ def rake(
     """
     # Sums of shares, so that targets and weights have the same total.
     whole = cells.agg(F.sum("tokens").alias("whole"))
-    state = store(
-        cells.crossJoin(whole).select(
-            *DIMS, (F.col("tokens") / F.col("whole")).alias("share"), F.lit(1.0).alias("rate")
-        )
+    start = cells.crossJoin(whole).select(
+        *DIMS, (F.col("tokens") / F.col("whole")).alias("share"), F.lit(1.0).alias("rate")
     )
-    goals = {dim: cut(t) for dim, t in targets.items()}
+    for dim, goal in targets.items():
+        start = start.join(goal.select(dim, F.col("target").alias(f"_t_{dim}")), dim, "left")
+    state = store(start)
     n, gap = state.stats["rows"], 0.0
     for _ in range(sweeps if n else 0):
         now, factors = state.df, []
-        for dim, goal in goals.items():
-            mass = now.groupBy(dim).agg(F.sum(F.col("share") * F.col("rate")).alias("mass"))
-            factor = mass.join(goal, dim).where("mass > 0").select(
-                dim, (F.col("target") / F.col("mass")).alias(f"_{dim}")
-            )
-            now = now.join(factor, dim, "left").withColumn(
-                "rate", F.col("rate") * F.coalesce(f"_{dim}", F.lit(1.0))
+        for dim in targets:
+            mass = now.groupBy(dim).agg(F.sum(F.col("share") * F.col("rate")).alias("_mass"))
+            # Hashed on the executors: a broadcast a sweep would pile up on the driver.
+            now = now.join(mass.hint("shuffle_hash"), dim, "left").withColumn(
+                f"_f_{dim}",
+                F.when((F.col("_mass") > 0) & F.col(f"_t_{dim}").isNotNull(), F.col(f"_t_{dim}") / F.col("_mass"))
+                .otherwise(F.lit(1.0)),
             )
-            factors.append(F.abs(F.coalesce(f"_{dim}", F.lit(1.0)) - 1))
-        step = now.select(*DIMS, "share", "rate", F.greatest(*factors).alias("off"))
+            now = now.withColumn("rate", F.col("rate") * F.col(f"_f_{dim}")).drop("_mass")
+            factors.append(F.abs(F.col(f"_f_{dim}") - 1))
+        step = now.select(
+            *DIMS, "share", "rate", *[f"_t_{dim}" for dim in targets], F.greatest(*factors).alias("off")
+        )
         new = store(step, off=F.max("off"))
         state.drop()
         state, gap = new, new.stats["off"]
         if gap < tolerance:
             break
-    return state.df.drop("off"), gap, n
+    return state.df.select(*DIMS, "share", "rate"), gap, n
 
 
 def measured(docs: DataFrame, id_col: str, text: str, topic: str | None) -> DataFrame:
