@@ -13,8 +13,11 @@ Copies are one class from the start. Inside a bucket or a cluster links are foun
 walking the link graph: a document that has been reached is not compared again, so a
 group of near copies costs about one comparison each, and only a spanning forest leaves
 the task, never all pairs. Large groups are cut into blocks: each block is walked
-with the group's first document, then the documents outside the largest component
-found so far visit the other blocks.
+with the group's first document. The documents outside the largest component found so
+far are then dealt into blocks anew, and every pair of such a block and another block of
+the group is a cell of its own: a task holds two blocks, and two documents meet in one
+cell. Cells, and so copied rows, still grow with the square of a group that has many
+documents outside.
 
 Defined results: a missing or empty text has no shingles and is linked with nothing;
 texts are read whole; a text of fewer words than a shingle is one shingle; equal sets
@@ -143,7 +146,11 @@ def band_keys(values: np.ndarray, firsts: list[int], bands: list[tuple[int, int]
 
 
 def _walk(batches, keys: list[str], like: Similarity, exact: bool, arrow: pa.Schema):
-    """Spanning forests of the link graphs of all groups, as (u, v) rows."""
+    """Spanning forests of the link graphs of all groups, as (u, v) rows.
+
+    Where rows have a `side`, those of side 0 are compared with those of side 1 only,
+    unless all have one side.
+    """
     for g in groups(batches, keys):
         m = len(g["rep"])
         if m < 2:
@@ -155,6 +162,8 @@ def _walk(batches, keys: list[str], like: Similarity, exact: bool, arrow: pa.Sch
         table = np.stack([fold(s, words) for s in sketches])
         sets = [bits(s) for s in g["shingles"]] if exact else None
         labels = np.array(g["label"], dtype=np.int64) if "label" in g else reps
+        sides = np.array(g["side"], dtype=np.int64) if "side" in g else np.zeros(m, np.int64)
+        across = sides.min() != sides.max()
         left = np.ones(m, dtype=bool)
         us, vs = [], []
         for first in range(m):
@@ -167,9 +176,9 @@ def _walk(batches, keys: list[str], like: Similarity, exact: bool, arrow: pa.Sch
                 same = np.flatnonzero(left & (labels == labels[x]))
                 left[same] = False
                 todo.extend(same.tolist())
-                rest = np.flatnonzero(left)
+                rest = np.flatnonzero(left & (sides != sides[x]) if across else left)
                 if not len(rest):
-                    break
+                    continue
                 sums = sizes[rest] + sizes[x]
                 near = np.bitwise_count(table[rest] ^ table[x]).sum(axis=1, dtype=np.int64)
                 hits = rest[near <= like.difference(sums)]
@@ -190,6 +199,29 @@ def _walk(batches, keys: list[str], like: Similarity, exact: bool, arrow: pa.Sch
             yield pa.RecordBatch.from_pydict({"u": us, "v": vs}, schema=arrow)
 
 
+def cells_of(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of large groups copied to their cells (`block`), with their `side` of the cell.
+
+    rows: g, rep, label, main (the label of most documents of g), k (how many those are)
+    and m (documents of g). Documents with another label fill the first blocks, the
+    others the rest; a cell is a pair of blocks of which the first is of the first kind.
+    """
+    outer = F.ceil((F.col("m") - F.col("k")) / F.lit(most)).cast("long")
+    every = outer + F.ceil(F.col("k") / F.lit(most)).cast("long")
+    hashed = F.xxhash64("rep", F.lit(1))
+    own = F.when(F.col("label") != F.col("main"), F.pmod(hashed, F.col("_outer"))).otherwise(
+        F.col("_outer") + F.pmod(hashed, F.col("_every") - F.col("_outer"))
+    )
+    placed = rows.withColumns({"_outer": outer, "_every": every}).withColumn("_own", own)
+    # The other block of each cell: any for a document outside, else one of the first kind.
+    last = F.when(F.col("_own") < F.col("_outer"), F.col("_every")).otherwise(F.col("_outer")) - 1
+    spread = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    return spread.withColumns(
+        {"block": low * F.col("_every") + high, "side": (F.col("_own") > F.col("_other")).cast("int")}
+    ).drop("_outer", "_every", "_own", "_other", "main", "k", "m")
+
+
 def linked(rows: DataFrame, like: Similarity, exact: bool) -> Stored:
     """(u, v): a spanning forest of the links inside every group `g` of rows.
 
@@ -233,12 +265,11 @@ def linked(rows: DataFrame, like: Similarity, exact: bool) -> Stored:
     )
     counts = big.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k"))
     main = counts.groupBy("g").agg(
-        F.max(F.struct(F.col("k"), F.col("label"))).alias("most"), F.count(F.lit(1)).alias("labels")
-    ).where(F.col("labels") > 1).select("g", F.col("most.label").alias("main"))
-    open_ = big.join(cut(main), "g")
-    away = F.col("label") != F.col("main")
-    spots = F.when(away, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
-    second = walk(open_.withColumn("block", F.explode(spots)).drop("blocks", "main"))
+        F.max(F.struct(F.col("k"), F.col("label"))).alias("most"),
+        F.count(F.lit(1)).alias("labels"),
+        F.sum("k").alias("m"),
+    ).where(F.col("labels") > 1).select("g", F.col("most.label").alias("main"), F.col("most.k").alias("k"), "m")
+    second = walk(cells_of(big.drop("blocks").join(cut(main), "g"), most))
     return store(first.df.unionByName(second).distinct())
 
 

@@ -77,6 +77,37 @@ def test_jaccard_join_edges(spark):
     ) or len(got) == 5
 
 
+def test_jaccard_cells_are_bounded(spark, tmp_path, monkeypatch):
+    """A bucket of documents that are mostly not linked: no task holds the whole bucket."""
+    import numpy as np
+
+    real, folder, most = ngram_join._walk, str(tmp_path), 16
+
+    def spy(batches, keys, like, exact, arrow):
+        import uuid
+        from collections import Counter
+
+        rows = list(batches)
+        seen = Counter(k for b in rows for k in zip(*(b.to_pydict()[c] for c in keys)))
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(" ".join(map(str, seen.values())))
+        yield from real(iter(rows), keys, like, exact, arrow)
+
+    monkeypatch.setattr(ngram_join, "_walk", spy)
+    monkeypatch.setattr(ngram_join, "BUCKET_BLOCK", most)
+    rnd = np.random.default_rng(3)
+    sketches = rnd.integers(0, 1 << 63, (400, 4), dtype=np.uint64)
+    for i in range(0, 400, 10):  # pairs far apart in the table, one bit away from each other
+        sketches[(i + 205) % 400] = sketches[i] ^ np.uint64(1)
+    rows = [(7, i, 200, s.tobytes()) for i, s in enumerate(sketches)]
+    frame = spark.createDataFrame(rows, "g long, rep long, n long, sketch binary")
+    got = ngram_join.linked(frame, ngram_join.Similarity(), exact=False).df.collect()
+    assert {frozenset((r.u, r.v)) for r in got} == {frozenset((i, (i + 205) % 400)) for i in range(0, 400, 10)}
+    sizes = [int(x) for f in tmp_path.iterdir() for x in f.read_text().split()]
+    assert max(sizes) <= 5 * most  # two blocks and what hashing puts unevenly; it was all 400
+    assert sum(x * x for x in sizes) / 2 < 4 * 400 * 400
+
+
 def test_difference_bound():
     like = ngram_join.Similarity(9, 10)
     for n in range(1, 60):
