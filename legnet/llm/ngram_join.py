@@ -366,5 +366,8 @@ def join(
     return named.join(found, "rep", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"),
+        # A row without an id has no component, also where its set equals a class.
+        F.when(
+            F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep")
+        ).otherwise(F.col("id")).alias("component_id"),
     )

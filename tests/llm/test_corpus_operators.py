@@ -77,6 +77,14 @@ def test_jaccard_join_edges(spark):
     ) or len(got) == 5
 
 
+def test_jaccard_row_without_id_has_no_component(spark):
+    rows = [(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "A B  C d"), (3, None)]
+    got = ngram_join.join(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == [
+        ("1", 2, 1), ("1", 2, 1), ("2", 2, 1), ("3", 0, 3), ("None", 2, None)
+    ]
+
+
 def test_jaccard_cells_are_bounded(spark, tmp_path, monkeypatch):
     """A bucket of documents that are mostly not linked: no task holds the whole bucket."""
     import numpy as np
