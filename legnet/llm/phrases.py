@@ -8,9 +8,11 @@ are removed.
    so equal windows share it. Only windows whose anchor lies in two documents or more are
    counted; those found in two documents are the recurring phrases, each owned by the
    document where it comes first.
-2. Compile: owners emit their phrases as passages. They are dealt by anchor into shards of
-   bounded size, a very frequent anchor into several, and each shard becomes one
-   Aho-Corasick automaton over word numbers.
+2. Compile: owners emit their phrases as passages. They are dealt by anchor into shards,
+   and each shard becomes one Aho-Corasick automaton over word numbers. The windows of a
+   very frequent anchor are dealt one by one, by their content, so a window and its phrase
+   meet in one shard; only a phrase that itself lies in very many documents is copied, once
+   for every SHARD_DOCS of them.
 3. Stream: all other stretches of text with such an anchor go to the automata of their
    shard, which find every occurrence word by word; the ranges found go back to their
    documents.
@@ -42,7 +44,8 @@ from legnet.llm.words import gram_hashes, mix, split_words, word_hashes
 from legnet.plans.store import Stored, cut, store, work_folder
 
 SIZE, ANCHOR = 20, 8
-#: Phrases of one automaton, and documents of an anchor that one shard takes.
+#: Phrases of one automaton on average, and documents whose windows of one anchor (or, of
+#: a frequent anchor, whose equal windows) go to one shard.
 SHARD_PHRASES, SHARD_DOCS = 20_000, 1_000
 
 
@@ -128,13 +131,18 @@ def _describe(batches):
 
 
 def _anchors(batches):
-    """(h, n): distinct anchors of every text, counted once per text and added up per batch."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+    """(h, n, k): distinct anchors, the texts and the windows they lie in, added up per batch."""
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("k", pa.int64())])
     for batch in batches:
         w = Windows(batch.to_pydict()["text"])
-        own = [np.unique(w.of(i)[0]) for i in range(len(w))]
-        h, n = np.unique(np.concatenate(own), return_counts=True)
-        yield _batch({"h": h.view(np.int64), "n": n}, schema)
+        own = []
+        for i in range(len(w)):
+            h, _, again = w.of(i)
+            own.append(np.unique(h[~again], return_counts=True))
+        h, at, n = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True, return_counts=True)
+        k = np.zeros(len(h), np.int64)
+        np.add.at(k, at, np.concatenate([x for _, x in own]))
+        yield _batch({"h": h.view(np.int64), "n": n, "k": k}, schema)
 
 
 def _anchors_of(batches):
@@ -171,33 +179,39 @@ def _candidates(batches):
         yield _batch(out, schema)
 
 
-def _stretches(batches):
+def _stretches(batches, wide: int):
     """Passages that a document owns (kind 0) and stretches to look up (kind 1).
 
-    Both are runs of windows with one anchor; `text` holds their words.
+    Both are runs of windows with one anchor; `text` holds their words. An anchor of more
+    than `wide` windows gives single windows with their content hash `w` instead; `docs`
+    is the number of documents that such a phrase lies in, where it exceeds SHARD_DOCS.
     """
     schema = pa.schema(
-        [("h", pa.int64()), ("docs", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("start", pa.int32()), ("text", pa.binary())]
+        [("h", pa.int64()), ("w", pa.int64()), ("docs", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("start", pa.int32()), ("text", pa.binary())]
     )
     for batch in batches:
         cols = batch.to_pydict()
         w = Windows(cols["text"])
         out = {n: [] for n in schema.names}
         for i in range(len(w)):
-            h, _, again = w.of(i)
+            h, content, again = w.of(i)
             known = np.array(cols["hs"][i], dtype=np.int64).view(np.uint64)
-            counts = dict(zip(known.tolist(), cols["ns"][i]))
+            frequent = known[np.array(cols["ks"][i], dtype=np.int64) > wide]
             live = np.isin(h, known) & ~again
+            single = np.isin(h, frequent)
             owned = np.zeros(len(h), bool)
             owned[cols["starts"][i] or []] = True
+            common = {x["start"]: x["n"] for x in cols["common"][i] or []}
+            signed, contents = h.view(np.int64), content.view(np.int64)
             words = w.listed(i)
             for lo, hi in runs(live):
-                cuts = np.flatnonzero((h[lo + 1 : hi] != h[lo : hi - 1]) | (owned[lo + 1 : hi] != owned[lo : hi - 1]))
+                here, nxt = slice(lo, hi - 1), slice(lo + 1, hi)
+                cuts = np.flatnonzero((h[nxt] != h[here]) | (owned[nxt] != owned[here]) | single[here])
                 edges = [lo, *(cuts + lo + 1).tolist(), hi]
                 for a, b in zip(edges, edges[1:]):
-                    anchor = int(h[a])
+                    one = bool(single[a])
                     row = (
-                        anchor - (1 << 64) if anchor >> 63 else anchor, counts[anchor],
+                        int(signed[a]), int(contents[a]) if one else None, common.get(a) if one else None,
                         0 if owned[a] else 1, cols["id"][i], a, b" ".join(words[a : b + SIZE - 1]),
                     )
                     for c, v in zip(schema.names, row):
@@ -284,6 +298,27 @@ class Bucketed:
         Stored(self.df, self.path, {}).drop()
 
 
+def dealt_rows(rows: DataFrame, common: DataFrame, n_common: int) -> DataFrame:
+    """rows of `_stretches` with the `salt` that, with h and w, chooses their shard.
+
+    common: (h, w, seen) of the phrases in more than SHARD_DOCS documents. Such a phrase
+    goes to a salt for every SHARD_DOCS documents, its stretches to one of them; all
+    other rows have salt 0.
+    """
+    def salts(docs: str):
+        return F.ceil(F.coalesce(F.col(docs), F.lit(1)) / F.lit(SHARD_DOCS)).cast("int")
+
+    if n_common:
+        known = F.broadcast(common) if n_common <= BROADCAST_IDS else common
+        rows = rows.join(known, ["h", "w"], "left")
+    else:
+        rows = rows.withColumn("seen", F.lit(None).cast("long"))
+    spots = F.when(F.col("kind") == 0, F.sequence(F.lit(0), salts("docs") - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("id", "start"), salts("seen")).cast("int"))
+    )
+    return rows.withColumn("salt", F.explode(spots))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_words, n_removed and kept_sha256 of every document."""
     spark = docs.sparkSession
@@ -303,12 +338,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
     # 1. Recurring anchors, then recurring windows and their owners.
     shared = store(
-        sources.mapInArrow(_anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+        sources.mapInArrow(_anchors, "h long, n long, k long").groupBy("h")
+        .agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("n > 1").select("h", "k")
     )
     anchors = shared.df if shared.stats["rows"] > BROADCAST_IDS else F.broadcast(shared.df)
     hits = store(
         sources.mapInArrow(_anchors_of, "id long, h long").join(anchors, "h").groupBy("id")
-        .agg(F.collect_list("h").alias("hs"), F.collect_list("n").alias("ns"))
+        .agg(F.collect_list("h").alias("hs"), F.collect_list("k").alias("ks"))
     )
     texts = Bucketed(only_ids(docs, "id", hits.df.select("id"), hits.stats["rows"]).join(hits.df, "id"))
     first = (
@@ -316,24 +352,28 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         .groupBy("h", "w").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
+    # Phrases of very many documents, with their numbers of documents.
+    often = F.when(F.col("n") > SHARD_DOCS, F.struct("h", "w", F.col("first.start").alias("start"), "n"))
     owned = store(
-        first.groupBy("first.id").agg(F.collect_list("first.start").alias("starts")),
+        first.groupBy("first.id").agg(
+            F.collect_list("first.start").alias("starts"), F.collect_list(often).alias("common")
+        ),
         phrases=F.sum(F.size("starts")),
     )
+    common = store(owned.df.select(F.explode("common").alias("c")).select("c.h", "c.w", F.col("c.n").alias("seen")))
 
-    # 2. and 3. Passages and stretches, dealt into shards by anchor.
-    given = texts.df.join(owned.df, "id", "left").select("id", "text", "hs", "ns", "starts")
+    # 2. and 3. Passages and stretches, dealt into shards by anchor or by window.
+    given = texts.df.join(owned.df, "id", "left").select("id", "text", "hs", "ks", "starts", "common")
+    wide = SHARD_DOCS * (SIZE - ANCHOR + 1)
     rows = given.mapInArrow(
-        _stretches, "h long, docs long, kind int, id long, start int, text binary"
-    )
-    salts = F.ceil(F.col("docs") / F.lit(SHARD_DOCS)).cast("int")
-    spots = F.when(F.col("kind") == 0, F.sequence(F.lit(0), salts - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("id", "start"), salts).cast("int"))
+        lambda batches: _stretches(batches, wide),
+        "h long, w long, docs long, kind int, id long, start int, text binary",
     )
+    dealt = dealt_rows(rows, common.df, common.stats["rows"])
     tasks = shuffle_partitions(spark)
     shards = max(4 * tasks, -(-(owned.stats["phrases"] or 0) // SHARD_PHRASES))
-    dealt = rows.withColumn("salt", F.explode(spots)).select(
-        F.pmod(F.xxhash64("h", "salt"), F.lit(shards)).alias("shard"), "kind", "id", "start", "text"
+    dealt = dealt.select(
+        F.pmod(F.xxhash64("h", "w", "salt"), F.lit(shards)).alias("shard"), "kind", "id", "start", "text"
     )
     dealt = dealt.repartition(max(tasks, shards // 4), "shard").sortWithinPartitions("shard", "kind")
     found = cut(

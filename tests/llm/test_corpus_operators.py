@@ -137,6 +137,36 @@ def test_phrases(spark, sf, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_phrases_of_a_frequent_anchor_are_dealt_once(spark, tmp_path, monkeypatch):
+    """One run of words with different surroundings, which recur in pairs of documents."""
+    real, folder = phrases.automaton, str(tmp_path)
+
+    def spy(passages, size=phrases.SIZE):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(max(0, len(p) - size + 1) for p in passages)))
+        return real(passages, size)
+
+    def locate(batches, plain=phrases._locate):
+        plain.__globals__["automaton"] = spy
+        yield from plain(batches)
+
+    monkeypatch.setattr(phrases, "_locate", locate)
+    monkeypatch.setattr(phrases, "SHARD_DOCS", 5)
+    line = prose(41, 19)  # every window over it has one of few anchors
+    rows = []
+    for i in range(60):
+        own = f"{prose(i, 15)} {line} {prose(i + 700, 15)}"
+        rows += [(2 * i, f"{own} {prose(i + 2000, 5)}"), (2 * i + 1, f"{own} {prose(i + 3000, 5)}")]
+    got = phrases.dedup(documents(spark, rows)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == windows_removed(rows)
+    compiled = [int(f.read_text()) for f in tmp_path.iterdir()]
+    phrases_owned = 60 * 30
+    assert compiled and sum(compiled) <= 1.2 * phrases_owned  # each automaton held all of its anchor's
+    assert max(compiled) < phrases_owned / 4
+
+
 def test_phrases_edges(spark):
     assert phrases.dedup(documents(spark, [])).count() == 0
     text = prose(5, 25)
