@@ -3,8 +3,10 @@
 Tokens are summed per cell of (source, language, topic). Iterative proportional
 fitting rakes a rate onto every cell until the weighted tokens of each source, language
 and topic meet their targets; documents are then sampled, each with a probability in
-proportion to its cell's rate. The largest rate gets probability 1 unless a smaller
-budget is asked for, so the sample is as large as exact proportions allow.
+proportion to its cell's rate, up to 1, such that a share `keep` of all tokens is expected.
+A cell whose rate asks for more than all its documents keeps them all and reports the rest
+as `shortfall`, so a rare cell does not decide how much of the others is kept. Without
+`keep` the largest rate gets probability 1: the largest sample with exact proportions.
 
 Targets are shares of a marginal, by default its own shares raised to a power below 1
 (`temper`): small sources gain, the largest one gives.
@@ -27,9 +29,10 @@ from legnet.plans.skew import lookup
 from legnet.plans.store import cut, store
 
 DIMS = ("source", "lang", "topic")
-#: Milder powers keep more: the sample shrinks by the largest rate of any cell.
 TEMPER = {"source": 0.7, "lang": 0.85, "topic": 0.95}
 SWEEPS, TOLERANCE = 40, 1e-12
+#: Share of all tokens that a sample is expected to have.
+KEEP = 0.7
 #: A table of cells up to this many rows is sent to every task; a larger one is joined.
 BROADCAST_ROWS = 100_000
 #: Probabilities are compared with this many bits of a hash.
@@ -109,6 +112,28 @@ def rake(
     return state.df.select(*DIMS, "share", "rate"), gap, n
 
 
+def scale_for(raked: DataFrame, budget: float) -> float:
+    """The c for which the sum of share * min(1, c * rate) is the budget (a share).
+
+    The sum is concave in c, so each round comes nearer from below, and the last one is
+    exact; a round is one aggregate, and only one that fills more cells has a next.
+    """
+    if budget >= 1:
+        least = raked.where((F.col("share") > 0) & (F.col("rate") > 0)).agg(F.min("rate")).first()[0]
+        return 1 / least if least else 1.0
+    c, filled = budget, -1
+    while True:
+        full = F.col("rate") * F.lit(c) >= 1
+        now = raked.where("share > 0").agg(
+            F.count(F.when(full, 1)).alias("n"),
+            F.coalesce(F.sum(F.when(full, F.col("share"))), F.lit(0.0)).alias("full"),
+            F.sum(F.when(~full, F.col("share") * F.col("rate"))).alias("rest"),
+        ).first()
+        if now["n"] == filled or not now["rest"]:
+            return c
+        c, filled = max(c, (budget - now["full"]) / now["rest"]), now["n"]
+
+
 def measured(docs: DataFrame, id_col: str, text: str, topic: str | None) -> DataFrame:
     """id, source, lang, topic and n_tokens of every document, as a written table."""
     n = F.size(words_of(F.coalesce(docs[text], F.lit("")))).cast("long")
@@ -134,11 +159,13 @@ def weights(
     targets: dict[str, DataFrame] | None = None,
     fraction: float = 1.0,
     seed: int = 7,
+    keep: float | None = KEEP,
 ) -> DataFrame:
-    """id, source, lang, topic, n_tokens, rate, probability, sampled and gap.
+    """id, source, lang, topic, n_tokens, rate, probability, shortfall, sampled and gap.
 
-    `fraction` scales the largest exact sample down. Without a topic column topics are
-    taken from the text's form.
+    `keep` is the share of all tokens to expect; None takes the largest exact sample.
+    `fraction` scales either down. `shortfall` is the part of its due tokens that a cell
+    lacks. Without a topic column topics are taken from the text's form.
     """
     rows = measured(docs, id_col, text, topic)
     cells = cut(cells_of(rows))
@@ -146,11 +173,18 @@ def weights(
     goals = {d: (targets or {}).get(d) for d in DIMS}
     goals = {d: tempered(cells, d, powers[d]) if g is None else g for d, g in goals.items()}
     raked, gap, n_cells = rake(cells, goals)
-    top = raked.agg(F.max(F.when(F.col("share") > 0, F.col("rate"))).alias("top"))
-    rates = raked.crossJoin(top).select(
+    if keep is None:
+        top = raked.agg(F.max(F.when(F.col("share") > 0, F.col("rate"))).alias("top"))
+        due = fraction * F.col("rate") / F.coalesce("top", F.lit(1.0))
+        scaled = raked.crossJoin(top)
+    else:
+        due = F.lit(scale_for(raked, fraction * keep)) * F.col("rate")
+        scaled = raked
+    rates = scaled.withColumn("due", due).select(
         *DIMS,
         "rate",
-        F.least(F.lit(1.0), fraction * F.col("rate") / F.coalesce("top", F.lit(1.0))).alias("probability"),
+        F.least(F.lit(1.0), "due").alias("probability"),
+        F.when(F.col("due") > 1, 1 - 1 / F.col("due")).otherwise(F.lit(0.0)).alias("shortfall"),
     )
     if n_cells <= BROADCAST_ROWS:
         joined = rows.join(F.broadcast(rates), list(DIMS), "left")
@@ -161,7 +195,7 @@ def weights(
         joined = lookup(
             rows.withColumn("_cell", cell()),
             "_cell",
-            rates.select(cell().alias("_cell"), "rate", "probability"),
+            rates.select(cell().alias("_cell"), "rate", "probability", "shortfall"),
             rows=rows.count(),
             how="left",
             floor=0,
@@ -172,6 +206,7 @@ def weights(
         "n_tokens",
         "rate",
         "probability",
+        "shortfall",
         (draw(F.col("id"), seed) < F.col("probability")).alias("sampled"),
         F.lit(float(gap)).alias("gap"),
     )

@@ -59,8 +59,9 @@ SQL["op4_distribution_rules"] = quality_sql.SQL
 
 @query
 def op1_raked_mixture(spark, sf):
-    rows = mixing.weights(read_table(spark, sf, "documents"))
-    return rows.withColumns({c: F.round(c, 9) for c in ("rate", "probability")}).drop("gap")
+    # Its SQL takes the largest exact sample and has no column for shortfall and gap.
+    rows = mixing.weights(read_table(spark, sf, "documents"), keep=None)
+    return rows.withColumns({c: F.round(c, 9) for c in ("rate", "probability")}).drop("shortfall", "gap")
 
 
 SQL["op1_raked_mixture"] = f"""WITH {mixing.sql()}

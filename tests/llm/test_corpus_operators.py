@@ -211,6 +211,17 @@ def test_raking(spark):
     assert {r.doc_id for r in drawn.collect()} == set(got[got.sampled].doc_id)
 
 
+def test_rare_cell_does_not_shrink_the_sample(spark):
+    rows = [(i, prose(i, 40), "en", f"s{i % 2}") for i in range(2000)] + [(9999, prose(1, 2), "en", "rare")]
+    got = mixing.weights(documents(spark, rows), topic="id").toPandas()
+    due = got.n_tokens.sum() * mixing.KEEP
+    assert (got.n_tokens * got.probability).sum() == pytest.approx(due)
+    assert 0.6 < got.sampled.mean() < 0.8
+    rare = got[got.doc_id == 9999].iloc[0]
+    assert rare.probability == 1 and rare.sampled and rare.shortfall > 0.5
+    assert got[got.doc_id != 9999].shortfall.max() == 0
+
+
 def test_pipeline_by_stages(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer
