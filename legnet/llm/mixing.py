@@ -15,11 +15,16 @@ Defined results: missing source, language or topic is the value ''; a missing or
 text has no tokens and is sampled like its cell; a value without tokens keeps rate 1;
 repeated rows of one id are drawn together; an empty table gives no rows; other columns
 are ignored (`weights`) or kept (`sample`). Targets that no rates can meet leave a `gap`
-above 0 (the largest relative distance of a marginal from its target).
+above 0 (the largest relative distance of a marginal from its target). Default targets
+contradict each other where a source has one language, say; if the sweeps leave them
+unmet, rates come from one tempered joint table instead, `gap` is their distance from the
+separate targets, and a warning tells it. Given targets that stay unmet raise an error.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ from legnet.plans.store import cut, store
 DIMS = ("source", "lang", "topic")
 TEMPER = {"source": 0.7, "lang": 0.85, "topic": 0.95}
 SWEEPS, TOLERANCE = 40, 1e-12
+#: Targets count as met up to this gap.
+MET = 1e-6
 #: Share of all tokens that a sample is expected to have.
 KEEP = 0.7
 #: A table of cells up to this many rows is sent to every task; a larger one is joined.
@@ -112,6 +119,30 @@ def rake(
     return state.df.select(*DIMS, "share", "rate"), gap, n
 
 
+def tempered_jointly(
+    raked: DataFrame, targets: dict[str, DataFrame], powers: dict[str, float]
+) -> tuple[DataFrame, float]:
+    """(cells with `rate`, gap to the targets) of a joint table tempered cell by cell.
+
+    A cell's share is multiplied by its marginals' shares to their powers less 1, so the
+    new marginals belong to one table and can be met together.
+    """
+    now = raked.select(*DIMS, "share").withColumn("_f", F.lit(1.0))
+    for dim in DIMS:
+        sums = raked.groupBy(dim).agg(F.sum("share").alias("_s"))
+        factor = F.when(F.col("_s") > 0, F.pow("_s", F.lit(float(powers[dim] - 1)))).otherwise(F.lit(1.0))
+        now = now.join(sums.hint("shuffle_hash"), dim, "left").withColumn("_f", F.col("_f") * factor).drop("_s")
+    now = cut(now)
+    whole = now.agg(F.sum(F.col("share") * F.col("_f"))).first()[0]
+    rate = F.when(F.col("share") > 0, F.col("_f") / F.lit(whole)).otherwise(F.lit(1.0))
+    rates, gap = now.select(*DIMS, "share", rate.alias("rate")), 0.0
+    for dim, goal in targets.items():
+        mass = rates.groupBy(dim).agg(F.sum(F.col("share") * F.col("rate")).alias("_mass")).where("_mass > 0")
+        off = mass.join(goal, dim).agg(F.max(F.abs(F.col("target") / F.col("_mass") - 1))).first()[0]
+        gap = max(gap, off or 0.0)
+    return rates, gap
+
+
 def scale_for(raked: DataFrame, budget: float) -> float:
     """The c for which the sum of share * min(1, c * rate) is the budget (a share).
 
@@ -160,19 +191,29 @@ def weights(
     fraction: float = 1.0,
     seed: int = 7,
     keep: float | None = KEEP,
+    joint: bool = True,
 ) -> DataFrame:
     """id, source, lang, topic, n_tokens, rate, probability, shortfall, sampled and gap.
 
     `keep` is the share of all tokens to expect; None takes the largest exact sample.
     `fraction` scales either down. `shortfall` is the part of its due tokens that a cell
-    lacks. Without a topic column topics are taken from the text's form.
+    lacks. Without a topic column topics are taken from the text's form. Without `joint`
+    unmet default targets keep the rates of the last sweep, with a warning.
     """
     rows = measured(docs, id_col, text, topic)
     cells = cut(cells_of(rows))
     powers = TEMPER | (temper or {})
     goals = {d: (targets or {}).get(d) for d in DIMS}
     goals = {d: tempered(cells, d, powers[d]) if g is None else g for d, g in goals.items()}
-    raked, gap, n_cells = rake(cells, goals)
+    raked, gap, n_cells = rake(cells, goals, SWEEPS)
+    if gap > MET:
+        unmet = f"mixture targets cannot be met together: after {SWEEPS} sweeps a marginal is off by {gap:.3g}"
+        if targets:
+            raise ValueError(unmet)
+        if joint:
+            raked, gap = tempered_jointly(raked, goals, powers)
+            unmet += f"; rates are of the joint table, {gap:.3g} from the separate targets"
+        warnings.warn(unmet, stacklevel=2)
     if keep is None:
         top = raked.agg(F.max(F.when(F.col("share") > 0, F.col("rate"))).alias("top"))
         due = fraction * F.col("rate") / F.coalesce("top", F.lit(1.0))

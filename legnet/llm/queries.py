@@ -59,8 +59,9 @@ SQL["op4_distribution_rules"] = quality_sql.SQL
 
 @query
 def op1_raked_mixture(spark, sf):
-    # Its SQL takes the largest exact sample and has no column for shortfall and gap.
-    rows = mixing.weights(read_table(spark, sf, "documents"), keep=None)
+    # Its SQL takes the largest exact sample after all sweeps and has no column for shortfall
+    # and gap; a gap is told by a warning.
+    rows = mixing.weights(read_table(spark, sf, "documents"), keep=None, joint=False)
     return rows.withColumns({c: F.round(c, 9) for c in ("rate", "probability")}).drop("shortfall", "gap")
 
 

@@ -222,6 +222,26 @@ def test_rare_cell_does_not_shrink_the_sample(spark):
     assert got[got.doc_id != 9999].shortfall.max() == 0
 
 
+def test_contradicting_targets_are_told(spark, monkeypatch):
+    """Each source has one language: the separate targets cannot be met together."""
+    monkeypatch.setattr(mixing, "SWEEPS", 4)  # enough to show it; forty take long
+    rows = [(i, prose(i, 20), *(("en", "a"), ("en", "b"), ("en", "b"), ("de", "c"), ("de", "c"))[i % 5]) for i in range(100)]
+    docs = documents(spark, rows)
+    with pytest.warns(UserWarning, match="cannot be met together"):
+        got = mixing.weights(docs, topic="id").toPandas()
+    assert got.gap.max() > 1e-3
+    rate = 1.0
+    for dim, power in mixing.TEMPER.items():
+        share = got.groupby(dim).n_tokens.transform("sum") / got.n_tokens.sum()
+        rate = rate * share ** (power - 1)
+    want = rate / (got.n_tokens * rate).sum() * got.n_tokens.sum()
+    assert (got.rate - want).abs().max() < 1e-9
+    goal = mixing.tempered(mixing.cells_of(mixing.measured(docs, "doc_id", "text", "id")), "source", 0.5)
+    other = spark.createDataFrame([("en", 0.9), ("de", 0.1)], "lang string, target double")
+    with pytest.raises(ValueError, match="cannot be met together"):
+        mixing.weights(docs, topic="id", targets={"source": goal, "lang": other})
+
+
 def test_pipeline_by_stages(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer
