@@ -2,11 +2,13 @@
 
 A run of K code points is a closed syncmer when the smallest hash among its runs of S
 code points lies at its first or last place. Whether a run is chosen depends on the run
-alone, so a passage gives the same anchors wherever it stands. A fingerprint holds the
-SIZE anchors with the smallest hashes, with their positions, in text order.
+alone, so a passage gives the same anchors wherever it stands. A fingerprint holds all
+anchors, with their positions, in text order: it grows with the text, so a passage leaves
+its anchors in a long text too.
 
-Two fingerprints are compared over the SIZE smallest hashes of both together: the share
-of them that both hold and that stand in the same order (longest increasing chain).
+Two fingerprints are compared over the hashes of both together: the share of them that
+both hold and that stand in the same order (longest increasing chain). With a `size` only
+so many smallest hashes are held and compared.
 
 Defined results: a missing text counts as empty; texts are read whole, whatever their
 length; a text without a closed syncmer has one anchor, the hash of the whole text; an
@@ -31,7 +33,7 @@ from legnet.llm.batches import Order, shuffle_partitions, tie_hash
 from legnet.llm.words import BASE, mix
 from legnet.plans.store import cut
 
-K, S, SIZE = 10, 4, 64
+K, S = 10, 4
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -46,7 +48,7 @@ def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def anchors(texts: list[str], k: int = K, s: int = S, size: int = SIZE):
+def anchors(texts: list[str], k: int = K, s: int = S, size: int | None = None):
     """(hashes, positions) of every text's fingerprint, in text order.
 
     The texts of a batch are hashed together; a run that crosses two texts is left out.
@@ -92,7 +94,7 @@ def anchors(texts: list[str], k: int = K, s: int = S, size: int = SIZE):
 
 
 def written(print_: tuple[list[int], list[int]]) -> str:
-    return ",".join([f"{h:08x}@{p}" for h, p in zip(*print_)])
+    return ",".join(["%08x@%d" % pair for pair in zip(*print_)])
 
 
 def read(text: str) -> tuple[list[int], list[int]]:
@@ -100,21 +102,24 @@ def read(text: str) -> tuple[list[int], list[int]]:
     return [int(h, 16) for h, _ in pairs], [int(p) for _, p in pairs]
 
 
-def likeness(a, b, size: int = SIZE) -> float:
+def likeness(a, b, size: int | None = None) -> float:
     """0 to 1; 1 for equal fingerprints."""
     if a[0] == b[0]:
         return 1.0
     if not a[0] or not b[0]:
         return 0.0
-    rank = {h: i for i, h in enumerate(b[0])}
-    kept = sorted({*a[0], *b[0]})[:size]
-    top = kept[-1]
+    both = np.union1d(a[0], b[0])[:size]
+    top = both[-1]
+    common, at, rank = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    held = common <= top
     tails: list[int] = []
-    for h in a[0]:  # in a's order: the longest chain that b holds in order too
-        if h <= top and (i := rank.get(h)) is not None:
-            j = bisect_left(tails, i)
-            tails[j : j + 1] = [i]
-    return len(tails) / len(kept)
+    # In a's order: the longest chain that b holds in order too.
+    for i in rank[held][np.argsort(at[held])].tolist():
+        if not tails or i > tails[-1]:
+            tails.append(i)
+        else:
+            tails[bisect_left(tails, i)] = i
+    return len(tails) / len(both)
 
 
 def fingerprints(

@@ -130,6 +130,14 @@ def test_syncmers_are_context_free():
     assert syncmers.read(syncmers.written(a)) == a
 
 
+def test_passages_of_long_texts_keep_their_anchors():
+    passage = prose(8, 50)
+    texts = [prose(9, 15000) + " " + passage, passage + " " + prose(10, 15000)]
+    a, b = (set(x[0]) for x in syncmers.anchors(texts))
+    own = set(syncmers.anchors([passage])[0][0])
+    assert len(own) > 30 and own <= a and own <= b
+
+
 def test_fingerprint_query(spark):
     rows = [r for r in awkward() if r[0] is not None] + [(100 + i, prose(i, 50)) for i in range(60)]
     got = {r.doc_id: r for r in syncmers.edited_likeness(documents(spark, rows)).collect()}
