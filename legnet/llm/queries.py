@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from legnet.llm import (
-    bpe, corpus_sql, html_extract, mixing, ngram_join, phrases, pii, quality, quality_sql, sharding,
+    bpe, byte_bpe, corpus_sql, html_extract, mixing, ngram_join, phrases, pii, quality, quality_sql, sharding,
     syncmers, warc,
 )
 from legnet.llm.batches import read_table
@@ -31,6 +31,13 @@ def op8_word_bpe(spark, sf):
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op13_byte_bpe(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+
+
 @query
 def op9_anchor_pii(spark, sf):
     return pii.find(read_table(spark, sf, "documents"))
