@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from legnet.llm import (
-    bpe, byte_bpe, corpus_sql, html_extract, mixing, ngram_join, phrases, pii, quality, quality_sql, sharding,
-    syncmers, warc,
+    bpe, byte_bpe, conversation_sql, corpus_sql, html_extract, mixing, ngram_join, phrases, pii,
+    prefix_trie, quality, quality_sql, repair, sharding, syncmers, warc,
 )
 from legnet.llm.batches import read_table
 
@@ -31,6 +31,17 @@ def op8_word_bpe(spark, sf):
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op11_prefix_trie(spark, sf):
+    return prefix_trie.conversation_trie(read_table(spark, sf, "conversations"))
+
+
+@query
+def op12_lightest_repair(spark, sf):
+    rows = repair.damage(read_table(spark, sf, "conversations"))
+    return repair.repair(rows, lost=rows["lost"])
+
+
 @query
 def op13_byte_bpe(spark, sf):
     docs = read_table(spark, sf, "documents")
@@ -96,3 +107,5 @@ def op10_phrase_automata(spark, sf):
 SQL["op3_parity_sketch_join"] = corpus_sql.JACCARD
 SQL["op7_warc_index"] = corpus_sql.ARCHIVE
 SQL["op10_phrase_automata"] = corpus_sql.PHRASES
+SQL["op11_prefix_trie"] = conversation_sql.TRIE
+SQL["op12_lightest_repair"] = conversation_sql.REPAIR
