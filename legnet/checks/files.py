@@ -220,12 +220,12 @@ def s4b(spark, sf):
     with_views(
         """SELECT concat('S', CAST(cust AS VARCHAR)) AS survey, concat('f', CAST(seq AS VARCHAR)) AS from_stn, concat('t', CAST(seq AS VARCHAR)) AS to_stn, abs(round(dx, 2)) AS tape,
  CASE WHEN seq % 3 = 0 THEN NULL ELSE 1e2 END AS compass, round(dz, 2) AS clino, CASE WHEN cust % 2 = 0 THEN 28e1 END AS backcompass, CASE WHEN seq % 2 = 0 THEN NULL ELSE 1e0 END AS l,
- CAST(CASE WHEN seq % 4 = 0 THEN 3 ELSE 0 END AS INTEGER) AS flags, 15e-1 AS declination, 2e0 AS corr_compass, CAST(29218 AS INTEGER) AS days1 FROM tv2 WHERE leg_id >= 0""",
+ CAST(CASE WHEN seq % 4 = 0 THEN 3 ELSE 0 END AS INTEGER) AS flags, 15e-1 AS declination, 2e0 AS corr_compass, CAST(29218 AS INTEGER) AS days1 FROM tv2""",
         "tv2",
     ),
 )
 def s5(spark, sf):
-    df = view(spark, sf, "tv2").where(F.col("leg_id") >= 0)
+    df = view(spark, sf, "tv2")
     cust, seq = F.col("cust"), F.col("seq")
     two = cust % 2 == 0
     # A record holds at most a thousand shots, however long the chain.

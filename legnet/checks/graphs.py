@@ -435,12 +435,12 @@ def _unknowns(out, rows):
 
 @query("g9_adjust_theta", with_views(_theta_sql(), "tv4"))
 def g9_theta(spark, sf):
-    return _unknowns(*_solved(spark, sf, "tv4", "t", "P", AD.adjust, tol=1e-10))
+    return _unknowns(*_solved(spark, sf, "tv4", "t", "P", AD.adjust, tol=1e-10, iterate=True))
 
 
 @query("g9_adjust_mesh", with_views(_mesh_sql(), "tv5"))
 def g9_mesh(spark, sf):
-    return _unknowns(*_solved(spark, sf, "tv5", "m", "O", AD.adjust, tol=1e-10))
+    return _solved(spark, sf, "tv5", "m", "O", AD.adjust)[1]
 
 
 @query("g10_blocks_theta", with_views(_theta_sql(), "tv4"))

@@ -463,7 +463,7 @@ def j11(spark, sf):
 
 
 # Traverse figures of TV2: a closed chain is one traverse from the fixed
-# station back to it, with a misclosure of (0.3, -0.2, 0.1).
+# station back to it, with a misclosure of views.GAP.
 CLOSED = "closed AS (SELECT cust FROM tv2 WHERE leg_id < 0)"
 TRAV = f"""{CLOSED}, trav AS (SELECT cust AS trav_id, CAST(count(*) AS BIGINT) AS n_legs, sum(sqrt(dx * dx + dy * dy + dz * dz)) AS length,
  sqrt(pow(sum(dx), 2) + pow(sum(dy), 2) + pow(sum(dz), 2)) AS moved, sum(dx) AS sx, sum(dy) AS sy, sum(dz) AS sz,
@@ -871,10 +871,10 @@ def w2(spark, sf):
 
 @query(
     "w3_interleaved_to_legs",
-    with_views("SELECT cust, seq * 2 AS seq, from_stn, to_stn, dx AS tape FROM tv2 WHERE leg_id >= 0", "tv2"),
+    with_views("SELECT cust, seq * 2 AS seq, from_stn, to_stn, round(dx, 4) AS tape FROM tv2", "tv2"),
 )
 def w3(spark, sf):
-    legs = view(spark, sf, "tv2").where(F.col("leg_id") >= 0)
+    legs = view(spark, sf, "tv2").withColumn("dx", F.round("dx", 4))
     none = F.lit(None)
     stations = legs.select("cust", (F.col("seq") * 2 + 1).alias("seq"), F.col("to_stn").alias("station"), none.cast("double").alias("tape"))
     first = legs.where(F.col("seq") == 1).select("cust", F.lit(1).cast("long").alias("seq"), F.col("from_stn").alias("station"), none.cast("double").alias("tape"))

@@ -39,9 +39,13 @@ SELECT l_orderkey * 10 + l_linenumber AS reading_id,
 FROM lineitem
 """
 
+# Gap of a closed chain. Its digits keep adjusted coordinates, sums of whole hundredths
+# and shares of this gap, from ending on a half, where the order of a sum would decide.
+GAP = {"x": "3.1830988618379e-1", "y": "-2.0371832715763e-1", "z": "1.0610329539460e-1"}
+
 # Chains per customer in date order; even customers with three or more orders
-# close their chain with a misclosure of (0.3, -0.2, 0.1).
-TV2 = """
+# close their chain with a misclosure of GAP.
+TV2 = f"""
 WITH o AS (
   SELECT o_custkey AS cust, o_orderkey AS leg_id,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq,
@@ -58,7 +62,7 @@ open_legs AS (
   FROM o),
 closing AS (
   SELECT cust, -cust - 1 AS leg_id, n + 1 AS seq, n AS a, CAST(0 AS BIGINT) AS b,
-         3e-1 - sum(dx) AS dx, -2e-1 - sum(dy) AS dy, 1e-1 - sum(dz) AS dz,
+         {GAP['x']} - sum(dx) AS dx, {GAP['y']} - sum(dy) AS dy, {GAP['z']} - sum(dz) AS dz,
          2e-3 AS vx, 2e-3 AS vy, 4e-3 AS vz, max(date1) AS date1
   FROM o WHERE cust % 2 = 0 AND n >= 3 GROUP BY cust, n)
 SELECT cust, leg_id, seq, a, b, concat('c', CAST(cust AS STRING), '.', CAST(a AS STRING)) AS from_stn,
@@ -68,13 +72,9 @@ FROM (SELECT * FROM open_legs UNION ALL SELECT * FROM closing) u
 
 # Rings on a stick: as TV2, but a closed chain comes back to station 1, so leg 1
 # is a bridge to the fixed point.
-TV2B = TV2.replace("CAST(0 AS BIGINT) AS b", "CAST(1 AS BIGINT) AS b").replace(
-    "3e-1 - sum(dx)", "3e-1 - sum(CASE WHEN seq > 1 THEN dx ELSE 0e0 END)"
-).replace(
-    "-2e-1 - sum(dy)", "-2e-1 - sum(CASE WHEN seq > 1 THEN dy ELSE 0e0 END)"
-).replace(
-    "1e-1 - sum(dz)", "1e-1 - sum(CASE WHEN seq > 1 THEN dz ELSE 0e0 END)"
-)
+TV2B = TV2.replace("CAST(0 AS BIGINT) AS b", "CAST(1 AS BIGINT) AS b")
+for _axis in "xyz":
+    TV2B = TV2B.replace(f"sum(d{_axis})", f"sum(CASE WHEN seq > 1 THEN d{_axis} ELSE 0e0 END)")
 
 # One large consistent network on the station pairs of TV1: every station has a
 # position by formula and legs are exact differences of these.

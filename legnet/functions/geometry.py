@@ -34,6 +34,34 @@ def measure(a: Column, b: Column) -> Column:
     )
 
 
+def curve_place(axes: list[Column], corner: list[float], extent: float) -> Column:
+    """Place on a space-filling curve (Z-order) of a cube from `corner`, 21 bits an axis.
+
+    Points near each other mostly have near places, and a range of places is a box.
+    """
+    steps = F.lit((1 << 21) - 1)
+    place = F.lit(0).cast("long")
+    for i, (axis, low) in enumerate(zip(axes, corner)):
+        part = (axis - F.lit(low)) / F.lit(extent or 1.0)
+        bits = F.floor(F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0)) * steps).cast("long")
+        # Two free bits before every bit, by halving the distance moved.
+        for shift, mask in _SPREAD:
+            bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(F.lit(mask))
+        place = place.bitwiseOR(F.shiftleft(bits, i))
+    return place
+
+
+def _spread_masks() -> list[tuple[int, int]]:
+    masks, group = [], 32
+    while group > 1:
+        group //= 2
+        masks.append((group * 2, sum(1 << (3 * k + j) for k in range(0, 21, group) for j in range(min(group, 21 - k)))))
+    return masks
+
+
+_SPREAD = _spread_masks()
+
+
 def project_view(p: Column, pan: float, tilt: float) -> Column:
     """Point turned so that x is right, y is up the page, z towards the viewer."""
     a, t = math.radians(pan), math.radians(tilt)
