@@ -1,10 +1,12 @@
 """Unrolled elevation: the network laid out flat along its legs.
 
-Every station gets X = the sum of plan lengths along a spanning tree from the
+Every station gets X = the sum of plan lengths along a breadth-first tree from the
 start, added or taken away according to the direction in force, and keeps its
-height. Direction rules at stations and legs are functions of the direction so
-far; functions compose, so pointer jumping towards the start evaluates all of
-them in a number of rounds that is the logarithm of the depth.
+height: it is reached by as few legs as can be, of several such ways by the leg that
+comes first. Levels come from a sweep over nested ranges of stations. Direction rules
+at stations and legs are functions of the direction so far; functions compose, so
+pointer jumping towards the start evaluates all of them in a number of rounds that is
+the logarithm of the depth.
 """
 
 from __future__ import annotations
@@ -14,9 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legnet.operators.forest import Rooted
 from legnet.operators.graph import HOPS, legs_to_edges, node_ids
 from legnet.operators.joins import attach_splays
+from legnet.operators.paths import hop_levels
 from legnet.plans.skew import lookup
 from legnet.plans.store import Stored, store
 from legnet.schema import LEG_SPLAY, LEG_SURFACE
@@ -99,17 +101,19 @@ def extend_elevation(
 ) -> Elevation:
     """The start's component unrolled; other components are left out.
 
-    legs: from_stn, to_stn, flags; stations: name, x, y, z; rules: (kind, a, b) with
-    kind left, right, swap or break, at station a or, with b, at the leg a-b (a
-    leg is broken at its end a). A station with a break is an end for each of its
-    legs. Where a loop is cut, its last leg ends at a copy of the station.
+    legs: from_stn, to_stn, flags and maybe seq, their order; stations: name, x, y, z;
+    rules: (kind, a, b) with kind left, right, swap or break, at station a or, with b,
+    at the leg a-b (a leg is broken at its end a). A station with a break is an end for
+    each of its legs. A leg outside the tree closes a loop: it is drawn from the end
+    nearer to the start (as measured, where both are as near) to a copy of the other.
     """
     spark = legs.sparkSession
     if rules is None:
         rules = spark.createDataFrame([], "kind string, a string, b string")
     flags = F.col("flags")
     shown = legs.where(flags.bitwiseAND(F.lit(LEG_SURFACE)) == 0)
-    solid = shown.where(flags.bitwiseAND(F.lit(LEG_SPLAY)) == 0).select("from_stn", "to_stn")
+    order = F.col("seq").cast("long") if "seq" in legs.columns else F.lit(0).cast("long")
+    solid = shown.where(flags.bitwiseAND(F.lit(LEG_SPLAY)) == 0).select("from_stn", "to_stn", order.alias("seq"))
     at = stations.select("name", "x", "y", "z")
     ids = node_ids(at.select("name"))
     edges = legs_to_edges(solid, ids.df)
@@ -134,7 +138,7 @@ def extend_elevation(
     cut = {s: F.coalesce(F.col(f"cut_{s}"), F.lit(False)) | F.col(f"broken_{s}").isNotNull() for s in "uv"}
     graph = store(
         table.df.select(
-            "eid", "from_stn", "to_stn", F.coalesce("r2", F.lit(KEEP)).alias("r2"),
+            "eid", "seq", "from_stn", "to_stn", F.coalesce("r2", F.lit(KEEP)).alias("r2"),
             F.col("u").alias("real_u"), F.col("v").alias("real_v"),
             F.when(cut["u"], -F.col("eid") * 2 - 2).otherwise(F.col("u")).alias("u"),
             F.when(cut["v"], -F.col("eid") * 2 - 3).otherwise(F.col("v")).alias("v"),
@@ -145,7 +149,6 @@ def extend_elevation(
     if not known:
         raise ValueError(f"no station {start}")
     root = known[0].id
-    rooted = Rooted(graph.df.select("eid", "u", "v"), root)
     place = ids.df.join(at, "name").select(F.col("id").alias("real"), "name", "x", "y", "z")
 
     def with_places(df: DataFrame) -> DataFrame:
@@ -158,7 +161,7 @@ def extend_elevation(
         return df
 
     turns = _station_rules(rules, _RULES).select(F.col("a").alias("src_name"), F.col("rule").alias("r1"))
-    detail = graph.df.select("eid", F.col("u").alias("eu"), "real_u", "real_v", "r2")
+    detail = graph.df.select("eid", "seq", F.col("u").alias("eu"), "real_u", "real_v", "r2")
 
     def described(arcs: DataFrame) -> DataFrame:
         """Arcs (eid, src, dst) with names, places, rules and plan length."""
@@ -176,12 +179,23 @@ def extend_elevation(
             {"r1": F.coalesce("r1", F.lit(KEEP)), "run": F.hypot(*gap)}
         )
 
-    mine = rooted.roots.df.where(F.col("root") == root).select(F.col("node").alias("src"))
-    down = lookup(
-        rooted.tours.df.where("down").select("eid", "src", "dst", "pos"), "src", mine,
-        rooted.tours.stats["rows"],
+    ends = [graph.df.select(F.col(c).alias("node"), F.col(f"real_{c}").alias("real")) for c in "uv"]
+    start_row = ids.df.where(F.col("name") == start).select(F.col("id").alias("node"), F.col("id").alias("real"))
+    nodes = ends[0].unionByName(ends[1]).unionByName(start_row).distinct()
+    levels = hop_levels(graph.df.select("u", "v"), lookup(nodes, "real", place), root)
+    reached = graph.df.select("eid", "seq", "u", "v")
+    for side in "uv":
+        reached = lookup(reached, side, levels.select(F.col("node").alias(side), F.col("level").alias(f"level_{side}")))
+    reached = store(reached)
+    up, down = F.col("level_u"), F.col("level_v")
+    ahead = up <= down
+    arcs = reached.df.select(
+        "eid", "seq", F.when(ahead, F.col("u")).otherwise(F.col("v")).alias("src"),
+        F.when(ahead, F.col("v")).otherwise(F.col("u")).alias("dst"), (up != down).alias("steps"),
     )
-    tree = store(described(down))
+    first = arcs.where("steps").groupBy("dst").agg(F.min_by(F.struct("eid", "src"), F.struct("seq", "eid")).alias("e"))
+    first = store(first.select("e.eid", "e.src", "dst"))
+    tree = store(described(first.df))
     steps = tree.df.select(F.col("dst").alias("node"), F.col("src").alias("parent"), "r1", "r2", "run")
     found = _path_directions(steps, root)
     origin = spark.range(1).select(
@@ -191,9 +205,9 @@ def extend_elevation(
     here = state.df.select(F.col("node").alias("src"), F.col("direction").alias("d0"), F.col("x").alias("x1"))
     drawn = lookup(tree.df, "src", here, tree.stats["rows"])
 
-    # Legs left out of the tree run from their earlier end to a copy of the other.
-    extra = rooted.extra.select("eid", F.col("u").alias("src"), F.col("v").alias("dst"))
-    loose = lookup(described(lookup(extra, "src", mine)), "src", here)
+    # Legs left out of the tree run from their nearer end to a copy of the other.
+    extra = arcs.join(first.df.select("eid"), "eid", "left_anti").select("eid", "src", "dst")
+    loose = lookup(described(extra), "src", here, reached.stats["rows"])
     every = drawn.withColumn("copy", F.lit(False)).unionByName(
         loose.withColumn("copy", F.lit(True)), allowMissingColumns=True
     )
@@ -240,7 +254,7 @@ def _splays(legs: DataFrame, at: DataFrame, drawn: DataFrame, start: str) -> Dat
         F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"),
     )
     leave = arcs.groupBy(F.col("src_name").alias("station")).agg(
-        F.min_by(F.struct("vx", "vy", "heading"), "pos").alias("o")
+        F.min_by(F.struct("vx", "vy", "heading"), F.struct("seq", "eid")).alias("o")
     )
     frame = arrive.unionByName(begin).join(leave, "station", "left").select(
         "station", "x1", "z1", "sx", "sy", "sz",
