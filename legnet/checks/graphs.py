@@ -20,6 +20,7 @@ from legnet.operators import graph as GR
 from legnet.operators import joins as J
 from legnet.operators import quality as Q
 from legnet.operators import windows as W
+from legnet.operators.reduce import Calibration, reduce_cartesian
 from legnet.plans.skew import lookup
 from legnet.plans.solve import solve_network
 
@@ -456,25 +457,103 @@ def g10_mesh(spark, sf):
 # ------------------------------------------------------------- the whole solution
 
 
+#: Settings of every tenth of the surveys, and those that some give themselves later:
+#: unit and standard deviation of the three offsets.
+_OUTER = {"dx": "0.0517", "dy": "0.0631", "dz": "0.0473"}
+_INNER = {"dx": "0.0819", "dy": "0.0727", "dz": "0.0911"}
+_GOAL = {"x": 100.0, "y": 0.0, "z": -5.0}
+
+
 def _network_sql() -> str:
-    """A chain from an exact fix to an uncertain one of variance 1e-2, as one traverse."""
-    goal = {"x": "1e2", "y": "0e0", "z": "-5e0"}
-    at = ", ".join(
-        f"{r(f'(sum(d{a}) OVER w) + (sum(v{a}) OVER w) * ({goal[a]} - (sum(d{a}) OVER p)) / ((sum(v{a}) OVER p) + 1e-2)', 3)} AS {a}"
-        for a in "xyz"
+    """Ring closure by inverse variances: the last station of a chain is tied to the exact
+    fix by the chain, by the closing leg of a ring, and to an uncertain fix."""
+    axes = "xyz"
+    inner = "cust % 4 = 0 AND seq >= 2"
+    raw = ", ".join(
+        f"d{a} * CASE WHEN {inner} THEN 1e0 WHEN cust % 10 % 2 = 1 THEN 125e-2 ELSE 1e0 END AS e{a}, "
+        f"pow(CASE WHEN {inner} THEN {_INNER['d' + a]}e0 ELSE {_OUTER['d' + a]}e0 * (1 + cust % 10) END, 2) AS w{a}"
+        for a in axes
+    )
+    run = ", ".join(f"sum(e{a}) OVER w AS s{a}, sum(w{a}) OVER w AS q{a}" for a in axes)
+    total = ", ".join(
+        f"sum(CASE WHEN leg_id >= 0 THEN e{a} END) AS t{a}, sum(CASE WHEN leg_id >= 0 THEN w{a} END) AS m{a}, "
+        f"max(CASE WHEN leg_id < 0 THEN e{a} END) AS c{a}, max(CASE WHEN leg_id < 0 THEN w{a} END) AS u{a}"
+        for a in axes
+    )
+    last = ", ".join(
+        f"(t{a} / m{a} - coalesce(c{a} / u{a}, 0e0) + {_GOAL[a]!r}e0 / 1e-2) / (1e0 / m{a} + coalesce(1e0 / u{a}, 0e0) + 1e0 / 1e-2) AS p{a}"
+        for a in axes
+    )
+    at = ", ".join(f"{r(f's{a} + q{a} / m{a} * (p{a} - t{a})', 3)} AS {a}" for a in axes)
+    none = "CAST(NULL AS DOUBLE)"
+
+    def errors(n, length, gap, var, where, name):
+        g, v = ([f"({x.format(a=a)})" for a in axes] for x in (gap, var))
+        flat, up = f"({g[0]} * {g[0]} + {g[1]} * {g[1]})", f"({g[2]} * {g[2]})"
+        return f"""SELECT 'traverse', {name}, CAST({n} AS BIGINT), {r(length, 3)}, {r(f'sqrt({flat} + {up})', 4)}, {none},
+ {r(f'sqrt(({flat} + {up}) / ({v[0]} + {v[1]} + {v[2]}))', 4)}, {r(f'sqrt({flat} / ({v[0]} + {v[1]}))', 4)}, {r(f'sqrt({up} / {v[2]})', 4)}
+ FROM e WHERE {where}"""
+
+    first, end = "concat('c', CAST(cust AS VARCHAR), '.0')", "concat('c', CAST(cust AS VARCHAR), '.', CAST(n AS VARCHAR))"
+    goal = [f"{v!r}e0" for v in _GOAL.values()]
+    closing = "sqrt(cx * cx + cy * cy + cz * cz)"
+    to_goal = "CASE '{a}' WHEN 'x' THEN %s WHEN 'y' THEN %s ELSE %s END" % tuple(goal)
+    return f"""WITH l AS (SELECT *, {raw} FROM tv2),
+ t AS (SELECT cust, count(CASE WHEN leg_id >= 0 THEN 1 END) AS n, max(CASE WHEN leg_id < 0 THEN 1 ELSE 0 END) AS closed,
+   sum(CASE WHEN leg_id >= 0 THEN sqrt(ex * ex + ey * ey + ez * ez) END) AS long, {total} FROM l GROUP BY cust),
+ e AS (SELECT *, {last} FROM t),
+ k AS (SELECT *, {run} FROM l WHERE leg_id >= 0 WINDOW w AS (PARTITION BY cust ORDER BY seq))
+ SELECT 'station' AS kind, to_stn AS name, CAST(NULL AS BIGINT) AS n_legs, {at}, {none} AS "E", {none} AS "H", {none} AS "V" FROM k JOIN e USING (cust)
+ UNION ALL SELECT 'station', {first}, NULL, 0e0, 0e0, 0e0, NULL, NULL, NULL FROM e
+ UNION ALL SELECT 'station', concat('e', CAST(cust AS VARCHAR)), NULL, 0e0, 0e0, 0e0, NULL, NULL, NULL FROM e
+ UNION ALL {errors('n', 'long', 'p{a} - t{a}', 'm{a}', 'closed = 1', f'greatest({first}, {end})')}
+ UNION ALL {errors('1', closing, 'p{a} + c{a}', 'u{a}', 'closed = 1', f'greatest({first}, {end})')}
+ UNION ALL {errors('1', '0e0', 'p{a} - ' + to_goal, '1e-2', 'closed = 1', end)}
+ UNION ALL {errors('n + 1', 'long', to_goal + ' - t{a}', '(m{a} + 1e-2)', 'closed = 0', first)}"""
+
+
+def _readings(spark, sf):
+    """TV2 with its rings as readings of offsets, and the settings of their surveys."""
+    legs = view(spark, sf, "tv2")
+    cust, seq = F.col("cust"), F.col("seq")
+    outer = F.concat(F.lit("g"), (cust % 10).cast("string"))
+    scope = F.concat(outer, F.lit(".c"), cust.cast("string"))
+    place = (cust * 1000 + seq).alias("seq")
+    readings = legs.select(
+        F.col("leg_id").alias("reading_id"), scope.alias("scope"), place, "from_stn", "to_stn",
+        "dx", "dy", "dz", F.lit(0).alias("flags"),
     )
-    return f"""WITH c AS (SELECT * FROM tv2 WHERE leg_id >= 0)
- SELECT to_stn AS name, {at} FROM c WINDOW w AS (PARTITION BY cust ORDER BY seq), p AS (PARTITION BY cust)
- UNION ALL SELECT DISTINCT concat('c', CAST(cust AS VARCHAR), '.0'), 0e0, 0e0, 0e0 FROM c
- UNION ALL SELECT DISTINCT concat('e', CAST(cust AS VARCHAR)), 0e0, 0e0, 0e0 FROM c"""
+
+    def given(rows, scope, place, unit, sds, factor):
+        return [
+            rows.select(
+                scope.alias("scope"), place.cast("long").alias("seq"), F.lit(q).alias("quantity"), unit.alias("unit"),
+                F.lit(0.0).alias("zero"), F.lit(1.0).alias("scale"), (F.lit(float(sd)) * factor).alias("sd"),
+            )
+            for q, sd in sds.items()
+        ]
+
+    tenth = legs.select(cust).distinct()
+    unit = F.when(cust % 10 % 2 == 1, 1.25).otherwise(1.0)
+    parts = given(tenth, outer, F.lit(0), unit, _OUTER, (1 + cust % 10).cast("double"))
+    parts += given(tenth.where(cust % 4 == 0), scope, cust * 1000 + 2, F.lit(1.0), _INNER, F.lit(1.0))
+    settings = parts[0]
+    for part in parts[1:]:
+        settings = settings.unionByName(part)
+    return legs, readings, settings.distinct()
 
 
 @query("z1_solve_network", with_views(_network_sql(), "tv2"))
 def z1(spark, sf):
-    """Legs, equates, an exact fix given twice and an uncertain one, to positions."""
-    legs = tv2_legs(spark, sf).where(F.col("leg_id") >= 0).withColumn("flags", F.lit(0))
+    """Readings, settings, equates, an exact fix given twice and an uncertain one, to
+    positions and traverse errors, with the loops that the rings close."""
+    legs, readings, settings = _readings(spark, sf)
+    resolved = J.resolve_settings(readings, settings, list(_OUTER))
+    cal = Calibration({q: {c: F.col(f"cal_{q}.{c}") for c in ("unit", "zero", "scale", "sd")} for q in _OUTER})
+    reduced = reduce_cartesian(resolved, cal).where(F.col("reject").isNull())
+    reduced = reduced.select("from_stn", "to_stn", "d", "v", "flags", "seq")
     cust = F.col("cust").cast("string")
-    ends = legs.groupBy("cust").agg(F.max_by("to_stn", "seq").alias("station"))
+    ends = legs.where(F.col("leg_id") >= 0).groupBy("cust").agg(F.max_by("to_stn", "seq").alias("station"))
     none, zero = F.lit(None).cast("double"), F.lit(0.0)
 
     def fix(df, seq, place, sd):
@@ -488,11 +567,25 @@ def z1(spark, sf):
     fixes = (
         fix(starts, 1, (0.0, 0.0, 0.0), None)
         .unionByName(fix(starts, 2, (7.0, 7.0, 7.0), None))
-        .unionByName(fix(ends.select("station"), 3, (100.0, 0.0, -5.0), 0.1))
+        .unionByName(fix(ends.select("station"), 3, tuple(_GOAL.values()), 0.1))
     )
     equates = ends.select(F.concat(F.lit("e"), cust).alias("a"), F.concat(F.lit("c"), cust, F.lit(".0")).alias("b"))
-    out = solve_network(legs.drop("cust", "date1"), fixes, equates)
-    return out.stations.select("name", *[F.round(F.round(a, 3) + zero, 3).alias(a) for a in "xyz"])
+    out = solve_network(reduced, fixes, equates)
+    errors = A.traverse_errors(AD.traverse_walk(out.adjustment), out.adjustment.positions)
+
+    def rounded(digits, **columns):
+        return [F.round(F.round(c, digits) + zero, digits).alias(n) for n, c in columns.items()]
+
+    stations = out.stations.select(
+        F.lit("station").alias("kind"), "name", F.lit(None).cast("long").alias("n_legs"),
+        *rounded(3, **{a: F.col(a) for a in "xyz"}), *[none.alias(c) for c in "EHV"],
+    )
+    figures = errors.select(
+        F.lit("traverse").alias("kind"), F.greatest("from_stn", "to_stn").alias("name"), "n_legs",
+        *rounded(3, x=F.col("length")), *rounded(4, y=F.col("moved")), none.alias("z"),
+        *rounded(4, **{c: F.col(c) for c in "EHV"}),
+    )
+    return stations.unionByName(figures)
 
 
 @query(
