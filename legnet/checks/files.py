@@ -324,20 +324,62 @@ def k4(spark, sf):
     return _written(spark, K.render_gpx(view(spark, sf, "tvs"), _polylines(spark, sf), "all & more", _flat_lonlat, _poly_order()))
 
 
-@query(
-    "k5_to_kml",
-    with_views(
-        f"""SELECT concat('<Placemark><Point><coordinates>', printf('%.8f,%.8f,%.2f', x / 1000, y / 1000, z), '</coordinates></Point>', CASE WHEN k % 13 = 0 THEN '' ELSE concat('<name>', name, '</name>', {_CLASS.format('<styleUrl>#ent</styleUrl>', '<styleUrl>#fix</styleUrl>', '<styleUrl>#exp</styleUrl>')}) END, '</Placemark>') AS value FROM tvs""",
-        "tvs",
-    ),
-)
+_ABSOLUTE = "<altitudeMode>absolute</altitudeMode>"
+
+
+def _at(x: str, y: str, z: str) -> str:
+    return f"printf('%.8f,%.8f,%.2f', {_z(f'({x}) / 1000', 8)}, {_z(f'({y}) / 1000', 8)}, {_z(z)})"
+
+
+def _kml_sql() -> str:
+    """Every line of the file: head, passages, sections, walls, legs, stations and foot."""
+    head = K._KML_HEAD.format(title="all") + "\n</Document></kml>"
+    left, right = _at("x - rx * l", "y - ry * l", "z"), _at("x + rx * r", "y + ry * r", "z")
+    one = f"<Placemark><name></name><LineString>{_ABSOLUTE}<coordinates>"
+    end = "</coordinates></LineString></Placemark>"
+    ring = [
+        "'<Placemark><name></name><MultiGeometry>'",
+        f"'<Polygon>{_ABSOLUTE}<outerBoundaryIs><LinearRing><coordinates>'",
+        "pr", "pl", "lf", "rg", "pr",
+        "'</coordinates></LinearRing></outerBoundaryIs></Polygon>'", "'</MultiGeometry></Placemark>'",
+    ]
+    legs = "</coordinates></LineString></MultiGeometry></Placemark>"
+    style = "CASE WHEN fl = 1 THEN '<styleUrl>#surf</styleUrl>' ELSE '' END"
+    sides = " UNION ALL ".join(
+        f"SELECT list_concat(list_concat(['{one}'], list({side} ORDER BY seq)), ['{end}']) AS v FROM edges GROUP BY tube_id"
+        for side in ("lf", "rg")
+    )
+    return f"""WITH {FRAMES}, {_LINES},
+ edges AS (SELECT tube_id, seq, {left} AS lf, {right} AS rg FROM fr),
+ quads AS (SELECT *, lag(lf) OVER w AS pl, lag(rg) OVER w AS pr FROM edges WINDOW w AS (PARTITION BY tube_id ORDER BY seq)),
+ lines AS (
+  SELECT [{', '.join(ring)}] AS v FROM quads WHERE pl IS NOT NULL
+  UNION ALL SELECT list_concat(['{one}'], list_concat(list_concat(list(lf), list(rg)), ['{end}'])) FROM edges GROUP BY tube_id, seq
+  UNION ALL {sides}
+  UNION ALL SELECT list_concat(list_concat(
+    [concat('<Placemark>', {style}, '<MultiGeometry><LineString>{_ABSOLUTE}<coordinates>')],
+    list({_at('x', 'y', 'z')} ORDER BY seq)), ['{legs}']) FROM pp GROUP BY cust, p, fl
+  UNION ALL SELECT [concat('<Placemark><Point><coordinates>', printf('%.8f,%.8f,%.2f', x / 1000, y / 1000, z), '</coordinates></Point>',
+    CASE WHEN k % 13 = 0 THEN '' ELSE concat('<name>', name, '</name>', {_CLASS.format('<styleUrl>#ent</styleUrl>', '<styleUrl>#fix</styleUrl>', '<styleUrl>#exp</styleUrl>')}) END, '</Placemark>')] FROM tvs
+  UNION ALL SELECT string_split('{head}', chr(10)))
+ SELECT unnest(v) AS value FROM lines"""
+
+
+@query("k5_to_kml", with_views(_kml_sql(), "tvs", "tv2"))
 def k5(spark, sf):
     frames = PS.tube_frames(placed_xsects(spark, sf))
+    sides = PS.wall_points(frames)
+    point = F.struct("seq", F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"))
+    walls = sides.groupBy("tube_id", "side").agg(F.sort_array(F.collect_list(point)).alias("points"))
+    both = F.sort_array(F.collect_list(F.struct("side", point.alias("p"))))
+    across = sides.groupBy("tube_id", "seq").agg(F.transform(both, lambda e: e["p"]).alias("points"))
     lines = K.render_kml(
         view(spark, sf, "tvs"), _polylines(spark, sf), "all", _flat_lonlat, _poly_order(),
         quads=PS.passage_quads(frames),
+        walls=walls.withColumn("key", K._order(F.col("tube_id"), F.col("side"))),
+        xsects=across.withColumn("key", K._order(F.col("tube_id"), F.col("seq"))),
     )
-    return _written(spark, lines).where(F.col("value").startswith("<Placemark><Point>"))
+    return _written(spark, lines)
 
 
 @query(
