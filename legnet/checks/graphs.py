@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ from legnet.operators import quality as Q
 from legnet.operators import windows as W
 from legnet.operators.reduce import Calibration, reduce_cartesian
 from legnet.plans.skew import lookup
+from legnet.plans.resolve import solve_change, solve_first
 from legnet.plans.solve import solve_network
+from legnet.plans.store import work_folder
 
 QUERIES, SQL = {}, {}
 
@@ -588,6 +591,34 @@ def z1(spark, sf):
     return stations.unionByName(figures)
 
 
+_CHANGED = "tv2c AS (SELECT * REPLACE (dx + CASE WHEN cust % 100 = 0 AND seq = 2 THEN 13e-1 ELSE 0e0 END AS dx) FROM tv2)"
+
+
+@query(
+    "s8_resolve_change",
+    with_views(
+        f"WITH {_CHANGED}, {RINGS.replace('FROM tv2)', 'FROM tv2c)')} SELECT name, x, y, z FROM ({ring_sql('leg_id >= 0')}) q UNION ALL {_ORIGINS.format(v='tv2')}",
+        "tv2",
+    ),
+)
+def s8_change(spark, sf):
+    """The network is solved and stored, then one leg in every hundredth survey is
+    measured anew: only their components are solved again."""
+    legs = tv2_legs(spark, sf)
+    plain = legs.select("leg_id", "from_stn", "to_stn", "d", "v")
+    none = F.lit(None).cast("double")
+    fixes = _origin(legs).withColumnRenamed("name", "station").withColumns(
+        {c: none for c in ("sdx", "sdy", "sdz", "cxy", "cyz", "czx")}
+    )
+    path = f"{work_folder(spark)}/network-{uuid.uuid4().hex}"
+    solve_first(spark, path, plain, fixes)
+    again = legs.where((F.col("cust") % 100 == 0) & (F.col("seq") == 2)).withColumn(
+        "d", V.vec(F.col("d.x") + 1.3, F.col("d.y"), F.col("d.z"))
+    )
+    out = solve_change(spark, path, changed=again).read(spark, "stations")
+    return out.select("name", *[F.round(a, 4).alias(a) for a in "xyz"])
+
+
 @query(
     "g9_exact_leg",
     with_views(
