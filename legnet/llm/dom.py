@@ -26,14 +26,88 @@ ENDS = {
 }
 SCOPE = frozenset("ul ol dl table td th div section article main body".split())
 
-_token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
 _attribute = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _space = re.compile(r"\s+")
-_raw_end = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+_raw_end = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
+_name_end = re.compile(r"[\s/>]")
+_special = re.compile(r"[>\"']")
+
+
+class _Tags:
+    """Comments, declarations and tags of a page, in one pass.
+
+    A tag is `<`, maybe `/`, a name (a letter and all up to white space, `/` or `>`), and
+    all up to the first `>` outside quotes; a name may end before a quote if only so the
+    quotes close. What does not end is text. Every place is looked at a bounded number of
+    times, as what follows from a place is remembered.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.next = {_name_end: (0, -1), _special: (0, -1)}  # place asked, place found
+        self.ends: dict[int, int] = {}  # of a special sign outside quotes: the tag's end, or -1
+        self.cuts: dict[int, int] = {}  # of a name's end: the last quote before it to end at
+
+    def _following(self, what: re.Pattern, at: int) -> int:
+        """First place from `at` on with one of the signs, the page's length without any."""
+        asked, found = self.next[what]
+        if not asked <= at <= found:
+            m = what.search(self.html, at)
+            found = m.start() if m else len(self.html)
+            self.next[what] = at, found
+        return found
+
+    def _end(self, place: int) -> int:
+        """The end of a tag that goes on outside quotes at a special sign, -1 if it has none."""
+        passed = []
+        while place not in self.ends:
+            passed.append(place)
+            sign = self.html[place : place + 1]
+            if sign == ">":
+                self.ends[place] = place + 1
+                break
+            close = self.html.find(sign, place + 1) if sign else -1
+            if close < 0:
+                self.ends[place] = -1
+                break
+            place = self._following(_special, close + 1)
+        out = self.ends[place]
+        for p in passed:
+            self.ends[p] = out
+        return out
+
+    def _tag(self, at: int):
+        """(end, closing, name, attributes) of the tag at a `<`, or None."""
+        html = self.html
+        first = at + 2 if html.startswith("/", at + 1) else at + 1
+        if not ("a" <= html[first : first + 1].lower() <= "z" and html[first].isascii()):
+            return None
+        stop = self._following(_name_end, first + 1)
+        end = self._end(self._following(_special, stop))
+        if end < 0:
+            if stop not in self.cuts:
+                places = (i for i in range(stop - 1, first, -1) if html[i] in "\"'" and self._end(i) >= 0)
+                self.cuts[stop] = next(places, -1)
+            stop = self.cuts[stop]
+            if stop <= first:
+                return None
+            end = self._end(stop)
+        return end, first == at + 2, html[first:stop], html[stop : end - 1]
+
+    def search(self, at: int):
+        """(start, end, closing, name, attributes) of what stands next; name None for no tag."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), False, None, ""
+            if html.startswith(("<!", "<?"), start):
+                end = html.find(">", start + 2)
+                return start, end + 1 if end >= 0 else len(html), False, None, ""
+            if (tag := self._tag(start)) is not None:
+                return (start, *tag)
+            at = start + 1
+        return None
 
 
 class Node:
@@ -77,19 +151,19 @@ def parse(html: str) -> list[Node]:
             if nodes[stack[i]].name in scope:
                 return
 
-    at, end = 0, len(html)
+    at, end, tags = 0, len(html), _Tags(html)
     while at < end:
-        m = _token.search(html, at)
+        m = tags.search(at)
         if m is None:
             say(html[at:])
             break
-        say(html[at : m.start()])
-        at = m.end()
-        name = m[2]
+        start, stop, closing, name, rest = m
+        say(html[at:start])
+        at = stop
         if name is None:
             continue
         name = name.lower()
-        if m[1]:
+        if closing:
             if name in BLOCK:
                 inline.clear()
                 close(name, ())
@@ -97,9 +171,10 @@ def parse(html: str) -> list[Node]:
                 del inline[len(inline) - 1 - inline[::-1].index(name) :]
             continue
         if name in _raw_end:
-            stop = _raw_end[name].search(html, at)
             if name not in ("noscript", "object"):
-                at = stop.end() if stop else end
+                raw = _raw_end[name].search(html, at)
+                close_at = html.find(">", raw.end()) if raw else -1
+                at = close_at + 1 if close_at >= 0 else end
             if name == "select" or name == "textarea":
                 say(" ")
             continue
@@ -112,7 +187,7 @@ def parse(html: str) -> list[Node]:
         if name not in BLOCK:
             if name == "a" and "a" in inline:
                 inline.remove("a")
-            if not m[3].rstrip().endswith("/"):
+            if not rest.rstrip().endswith("/"):
                 inline.append(name)
             continue
         flush()
@@ -125,8 +200,8 @@ def parse(html: str) -> list[Node]:
             flush()
             stack.pop()
         marks, data = "", None
-        if m[3] and not m[3].isspace():
-            for a in _attribute.finditer(m[3]):
+        if rest and not rest.isspace():
+            for a in _attribute.finditer(rest):
                 key = a[1].lower()
                 if key in ("class", "id", "role", "itemprop", "aria-label"):
                     marks += " " + (a[2] or a[3] or a[4] or "").lower()

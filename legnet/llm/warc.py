@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from hashlib import sha256
 from urllib.parse import quote, urlsplit
 
@@ -253,42 +254,43 @@ class _Shard:
         self.places = [(int(a), int(n)) for _, _, a, n in rows]
         self.at, self.lines, self.keys = -1, [], []
 
-    def find(self, key: str, page) -> tuple[str, int, int] | None:
-        """File, offset and length of a capture."""
+    def find(self, key: str, page) -> Iterator[tuple[str, int, int]]:
+        """File, offset and length of every capture of a page at a URL, over block edges too."""
         turn = _turn(key, page)
-        block = bisect_right(self.heads, turn) - 1
-        if block < 0:
-            return None
-        if block != self.at:
-            self.file.seek(self.places[block][0])
-            raw = zlib.decompress(self.file.read(self.places[block][1])).decode()
-            self.lines = [line.split("\t") for line in raw.split("\n")]
-            self.keys = [_turn(x[0], int(x[1]) if x[1] else None) for x in self.lines]
-            self.at = block
-        line = bisect_right(self.keys, turn) - 1
-        if line < 0 or self.keys[line] != turn:
-            return None
-        return self.lines[line][2], int(self.lines[line][3]), int(self.lines[line][4])
+        block = max(0, bisect_left(self.heads, turn) - 1)
+        while block < len(self.heads) and self.heads[block] <= turn:
+            if block != self.at:
+                self.file.seek(self.places[block][0])
+                raw = zlib.decompress(self.file.read(self.places[block][1])).decode()
+                self.lines = [line.split("\t") for line in raw.split("\n")]
+                self.keys = [_turn(x[0], int(x[1]) if x[1] else None) for x in self.lines]
+                self.at = block
+            for line in self.lines[bisect_left(self.keys, turn) : bisect_right(self.keys, turn)]:
+                yield line[2], int(line[3]), int(line[4])
+            block += 1
 
 
 def lookup(index: Index, wanted: DataFrame, id_col: str = "page_id", url: str = "url") -> DataFrame:
-    """page_id, file, offset, length of the capture of every wanted (url, page)."""
+    """page_id, file, offset, length of every capture of the wanted (url, page).
+
+    Rows wanted several times are looked up once; captures that share a URL and a page,
+    or a URL and no page, all come back, from every shard that may hold them.
+    """
     ddl = "page_id long, file string, offset long, length long"
     firsts, files, folder = index.firsts, index.files, index.folder
     arrow = _arrow(ddl)
+
+    def route(rows):
+        keys = [surt(u) for u in rows["url"]]
+        turns = [_turn(k, p) for k, p in zip(keys, rows["page_id"])]
+        near = [(max(0, bisect_left(firsts, t) - 1), max(0, bisect_right(firsts, t) - 1)) for t in turns]
+        return {"page_id": rows["page_id"], "key": keys, "shards": [list(range(a, b + 1)) for a, b in near]}
+
     routed = map_batches(
         wanted.select(wanted[id_col].cast("long").alias("page_id"), wanted[url].alias("url")),
-        lambda rows: (
-            lambda keys: {
-                "page_id": rows["page_id"],
-                "key": keys,
-                "shard": [
-                    max(0, bisect_right(firsts, _turn(k, p)) - 1) for k, p in zip(keys, rows["page_id"])
-                ],
-            }
-        )([surt(u) for u in rows["url"]]),
-        StructType.fromDDL("page_id long, key string, shard int"),
+        route, StructType.fromDDL("page_id long, key string, shards array<int>"),
     )
+    routed = routed.distinct().select("page_id", "key", F.explode("shards").alias("shard"))
     routed = routed.repartitionByRange(max(1, len(files)), "shard", "key", "page_id")
     routed = routed.sortWithinPartitions("shard", "key", "page_id")
 
@@ -301,7 +303,7 @@ def lookup(index: Index, wanted: DataFrame, id_col: str = "page_id", url: str =
             for page, key, n in zip(cols["page_id"], cols["key"], cols["shard"]):
                 if n != at:
                     at, shard = n, _Shard(fs, base, files[n])
-                if (hit := shard.find(key, page)) is not None:
+                for hit in shard.find(key, page):
                     for c, v in zip(out, (page, *hit)):
                         out[c].append(v)
             if out["page_id"]:
