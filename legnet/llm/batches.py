@@ -57,8 +57,9 @@ class Order:
     """A total order by (id, tie) cut into buckets of bounded size.
 
     `edges` come from approximate quantiles, so buckets are near equal whatever the
-    ids are; any edges give right results. An id that fills a whole bucket (and the
-    missing ids) gets a bucket of its own, cut again by the tie hash.
+    ids are; any edges give right results, and ids are compared as integers. An id that
+    fills a whole bucket (and the missing ids) gets a bucket of its own, cut again by the
+    tie hash.
     """
 
     SUBS = 256
@@ -73,31 +74,40 @@ class Order:
                 "k", [i / n for i in range(1, n)], 0.2 / n
             )
         seen, heavy = set(), set()
-        for x in found:
+        for x in map(int, found):
             (heavy if x in seen else seen).add(x)
+        # Beyond 2 ** 53 several ids share a quantile: those that fill a bucket are counted.
+        if rough := [x for x in heavy if abs(x) >= 1 << 53]:
+            ids = df.select(F.col(key).cast("long").alias("k"))
+            held = ids.where(F.col("k").cast("double").isin([float(x) for x in rough]))
+            full = held.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * n > rows)
+            heavy = (heavy - set(rough)) | {r["k"] for r in full.collect()}
+        least, most = -(1 << 63), (1 << 63) - 1
         self.heavy = sorted(heavy)
-        self.edges = sorted(seen | {float(np.nextafter(h, np.inf)) for h in heavy})
+        edges = seen | heavy | {h + 1 for h in heavy}
+        self.edges = sorted({min(max(e, least), most) for e in edges})
 
     def bucket(self, key: Column, tie: Column) -> Column:
         """Number of the bucket: increasing in (key, tie), missing keys first.
 
         `tie` is a number below 2**63 that never is NULL.
         """
-        edges, heavy, subs = np.array(self.edges), np.array(self.heavy), self.SUBS
+        edges, heavy, subs = np.array(self.edges, np.int64), np.array(self.heavy, np.int64), self.SUBS
 
         @F.pandas_udf("long")
-        def find(k, t):
+        def find(k, missing, t):
             import pandas as pd
 
-            none = k.isna().to_numpy()
-            x = k.to_numpy(dtype="float64", na_value=0)
+            none, x = missing.to_numpy(dtype=bool), k.to_numpy(dtype="int64")
             place = np.searchsorted(edges, x, side="right").astype(np.int64) + 1
             place[none] = 0
             split = none | np.isin(x, heavy)
             sub = np.where(split, t.to_numpy(dtype="int64") >> 55, 0)
             return pd.Series(place * subs + sub)
 
-        return find(key.cast("double"), tie)
+        # A column with missing numbers would reach Python as doubles.
+        whole = F.coalesce(key.cast("long"), F.lit(0).cast("long"))
+        return find(whole, key.isNull(), tie)
 
 
 def tie_hash(*columns: Column) -> Column:
