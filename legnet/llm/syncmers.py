@@ -49,7 +49,12 @@ def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[str], k: int = K, s: int = S, size: int | None = None):
-    """(hashes, positions) of every text's fingerprint, in text order.
+    """(hashes, positions) of every text's fingerprint, in text order, as lists."""
+    return [(h.tolist(), p.tolist()) for h, p in _anchors(texts, k, s, size)]
+
+
+def _anchors(texts: list[str], k: int = K, s: int = S, size: int | None = None):
+    """As `anchors`, as arrays.
 
     The texts of a batch are hashed together; a run that crosses two texts is left out.
     """
@@ -84,17 +89,19 @@ def anchors(texts: list[str], k: int = K, s: int = S, size: int | None = None):
             found, first = found[:size], first[:size]
             turn = np.argsort(first)
             at = places[lo[i] : hi[i]][first[turn]] - starts[i]
-            out.append((found[turn].tolist(), at.tolist()))
+            out.append((found[turn].astype(np.int64), at))
         elif t:
             digest = sha256(t.encode("utf-8", "surrogatepass")).digest()
-            out.append(([int.from_bytes(digest[:4], "big")], [0]))
+            out.append((np.array([int.from_bytes(digest[:4], "big")]), np.zeros(1, np.int64)))
         else:
-            out.append(([], []))
+            out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
     return out
 
 
-def written(print_: tuple[list[int], list[int]]) -> str:
-    return ",".join(["%08x@%d" % pair for pair in zip(*print_)])
+def written(print_) -> str:
+    # One format of all pairs, in place of one for each.
+    pairs = np.column_stack(print_).astype(np.int64).ravel().tolist()
+    return ",".join(["%08x@%d"] * (len(pairs) // 2)) % tuple(pairs)
 
 
 def read(text: str) -> tuple[list[int], list[int]]:
@@ -104,22 +111,28 @@ def read(text: str) -> tuple[list[int], list[int]]:
 
 def likeness(a, b, size: int | None = None) -> float:
     """0 to 1; 1 for equal fingerprints."""
-    if a[0] == b[0]:
+    a, b = [np.asarray(x[0], np.int64) for x in (a, b)]
+    if np.array_equal(a, b):
         return 1.0
-    if not a[0] or not b[0]:
+    if not len(a) or not len(b):
         return 0.0
-    both = np.union1d(a[0], b[0])[:size]
-    top = both[-1]
-    common, at, rank = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    held = common <= top
-    tails: list[int] = []
+    common, at, rank = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    both = len(a) + len(b) - len(common)
+    if size is not None and both > size:
+        both = size
+        held = common <= np.union1d(a, b)[size - 1]
+        at, rank = at[held], rank[held]
     # In a's order: the longest chain that b holds in order too.
-    for i in rank[held][np.argsort(at[held])].tolist():
+    order = rank[np.argsort(at)]
+    if (order[1:] > order[:-1]).all():
+        return len(order) / both
+    tails: list[int] = []
+    for i in order.tolist():
         if not tails or i > tails[-1]:
             tails.append(i)
         else:
             tails[bisect_left(tails, i)] = i
-    return len(tails) / len(both)
+    return len(tails) / both
 
 
 def fingerprints(
@@ -133,7 +146,7 @@ def fingerprints(
     names = [f"_{i}" for i in range(len(keep))]
 
     def run(rows):
-        found = anchors([t or "" for t in rows["_text"]])
+        found = _anchors([t or "" for t in rows["_text"]])
         return {c: rows[c] for c in names} | {"_print": [written(x) for x in found]}
 
     schema = StructType()
@@ -206,7 +219,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
                 continue
             cols = batch.to_pydict()
             texts = cols["text"]
-            prints = anchors(texts)
+            prints = _anchors(texts)
             rows = list(zip(cols["bucket"], cols["ghost"], cols["id"], texts, prints))
             if last is not None:
                 rows.insert(0, last)
@@ -217,7 +230,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
             if not pairs:
                 continue
             changed = [a[3][: len(a[3]) - len(a[3]) // 3] + b[3][: len(a[3]) // 3] for a, b in pairs]
-            second = anchors(changed)
+            second = _anchors(changed)
             out = {
                 "id": [a[2] for a, _ in pairs],
                 "n_chars": [len(a[3]) for a, _ in pairs],
