@@ -260,7 +260,11 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **option
 
 
 def sql(source: str = "documents", sweeps: int = SWEEPS, seed: int = 7) -> str:
-    """CTEs up to `mixed`: the same weights as DuckDB SQL, all sweeps run."""
+    """CTEs up to `mixed`: the same weights as DuckDB SQL, all sweeps run.
+
+    The scale is the greatest (budget - full tokens) / (rate of the rest) over the cells
+    filled in order of their rates, as the sum it solves is concave.
+    """
     steps = [
         f"""
 rows_ AS MATERIALIZED (
@@ -290,11 +294,38 @@ goal_{d} AS MATERIALIZED (
   LEFT JOIN (SELECT {d}, sum(share * rate) AS mass FROM {last} GROUP BY {d} HAVING sum(share * rate) > 0) m
     ON m.{d} = c.{d} LEFT JOIN goal_{d} g ON g.{d} = m.{d})""")
             last = name
+    # How far the last sweep moved a marginal: of every dimension the masses before its turn.
+    before = [f"s{sweeps - 2}_{DIMS[-1]}" if sweeps > 1 else "s0", *[f"s{sweeps - 1}_{d}" for d in DIMS[:-1]]]
+    offs = " UNION ALL ".join(
+        f"SELECT max(abs(target / mass - 1)) AS off FROM (SELECT {d}, sum(share * rate) AS mass FROM {name} "
+        f"GROUP BY {d} HAVING sum(share * rate) > 0) JOIN goal_{d} USING ({d})"
+        for d, name in zip(DIMS, before)
+    )
+    sums = ", ".join(f"sum(share) OVER (PARTITION BY {d}) AS t_{d}" for d in DIMS)
+    raised = " * ".join(f"pow(t_{d}, {TEMPER[d] - 1})" for d in DIMS)
+    far = " UNION ALL ".join(
+        f"SELECT max(abs(target / mass - 1)) AS off FROM (SELECT {d}, sum(share * rate) AS mass FROM joint "
+        f"GROUP BY {d} HAVING sum(share * rate) > 0) JOIN goal_{d} USING ({d})"
+        for d in DIMS
+    )
     steps.append(f"""
+unmet AS MATERIALIZED (SELECT coalesce(max(off), 0) AS off FROM ({offs})),
+joint AS MATERIALIZED (
+  SELECT source, lang, topic, share, CASE WHEN share > 0 THEN f / sum(share * f) OVER () ELSE 1 END AS rate
+  FROM (SELECT *, CASE WHEN share > 0 THEN {raised} ELSE 1 END AS f FROM (SELECT *, {sums} FROM s0))),
+raked AS MATERIALIZED (
+  SELECT source, lang, topic, share, rate, off AS gap FROM {last}, unmet WHERE off <= {MET}
+  UNION ALL SELECT source, lang, topic, share, rate, (SELECT max(off) FROM ({far})) FROM joint, unmet WHERE off > {MET}),
+scale AS MATERIALIZED (
+  SELECT max(({KEEP} - filled) / rest) AS c FROM (
+    SELECT coalesce(sum(share) OVER before, 0) AS filled,
+      sum(share * rate) OVER (ORDER BY rate DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+    FROM raked WHERE share > 0
+    WINDOW before AS (ORDER BY rate DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
 mixed AS MATERIALIZED (
-  SELECT doc_id, source, lang, topic, n_tokens, rate, least(1e0, rate / top) AS probability,
+  SELECT doc_id, source, lang, topic, n_tokens, rate, least(1e0, c * rate) AS probability,
+    CASE WHEN c * rate > 1 THEN 1 - 1 / (c * rate) ELSE 0 END AS shortfall,
     ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, {BITS // 4}))::BIGINT
-      / {float(1 << BITS)} < least(1e0, rate / top) AS sampled
-  FROM rows_ JOIN {last} USING (source, lang, topic),
-    (SELECT coalesce(max(rate) FILTER (share > 0), 1) AS top FROM {last}))""")
+      / {float(1 << BITS)} < least(1e0, c * rate) AS sampled, gap
+  FROM rows_ JOIN raked USING (source, lang, topic), scale)""")
     return ",".join(steps)

@@ -77,15 +77,13 @@ SQL["op4_distribution_rules"] = quality_sql.SQL
 
 @query
 def op1_raked_mixture(spark, sf):
-    # Its SQL takes the largest exact sample after all sweeps and has no column for shortfall
-    # and gap; a gap is told by a warning.
-    rows = mixing.weights(read_table(spark, sf, "documents"), keep=None, joint=False)
-    return rows.withColumns({c: F.round(c, 9) for c in ("rate", "probability")}).drop("shortfall", "gap")
+    rows = mixing.weights(read_table(spark, sf, "documents"))
+    return rows.withColumns({c: F.round(c, 9) for c in ("rate", "probability", "shortfall", "gap")})
 
 
 SQL["op1_raked_mixture"] = f"""WITH {mixing.sql()}
 SELECT doc_id, source, lang, topic, n_tokens, round(rate, 9) AS rate,
-  round(probability, 9) AS probability, sampled
+  round(probability, 9) AS probability, round(shortfall, 9) AS shortfall, sampled, round(gap, 9) AS gap
 FROM mixed"""
 
 
