@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legnet.llm.quality import words_of
@@ -36,11 +36,14 @@ from legnet.plans.store import cut, store
 DIMS = ("source", "lang", "topic")
 TEMPER = {"source": 0.7, "lang": 0.85, "topic": 0.95}
 SWEEPS, TOLERANCE = 40, 1e-12
+#: Sweeps over a small table of cells that are one plan.
+SWEEPS_A_TABLE = 5
 #: Targets count as met up to this gap.
 MET = 1e-6
 #: Share of all tokens that a sample is expected to have.
 KEEP = 0.7
-#: A table of cells up to this many rows is sent to every task; a larger one is joined.
+#: A table of cells up to this many rows is raked in one task and sent to every task; a
+#: larger one is summed and joined.
 BROADCAST_ROWS = 100_000
 #: Probabilities are compared with this many bits of a hash.
 BITS = 52
@@ -85,7 +88,9 @@ def rake(
     """(cells with `rate`, gap, number of cells).
 
     cells: the dimensions and `tokens`; targets: per dimension its values and `target`
-    shares. Each sweep scales every dimension to its targets; it is one written table.
+    shares. Each sweep scales every dimension to its targets. Up to BROADCAST_ROWS cells are
+    one partition and take SWEEPS_A_TABLE sweeps a written table, without a shuffle; more
+    cells are summed and joined, one sweep a table.
     """
     # Sums of shares, so that targets and weights have the same total.
     whole = cells.agg(F.sum("tokens").alias("whole"))
@@ -95,30 +100,40 @@ def rake(
     for dim, goal in targets.items():
         start = start.join(goal.select(dim, F.col("target").alias(f"_t_{dim}")), dim, "left")
     state = store(start)
-    n, gap = state.stats["rows"], 0.0
-    for _ in range(sweeps if n else 0):
-        now, factors = state.df, []
-        for dim in targets:
-            mass = now.groupBy(dim).agg(F.sum(F.col("share") * F.col("rate")).alias("_mass"))
-            # Hashed on the executors: a broadcast a sweep would pile up on the driver.
-            now = now.join(mass.hint("shuffle_hash"), dim, "left").withColumn(
-                f"_f_{dim}",
-                F.when((F.col("_mass") > 0) & F.col(f"_t_{dim}").isNotNull(), F.col(f"_t_{dim}") / F.col("_mass"))
-                .otherwise(F.lit(1.0)),
-            )
-            now = now.withColumn("rate", F.col("rate") * F.col(f"_f_{dim}")).drop("_mass")
-            factors.append(F.abs(F.col(f"_f_{dim}") - 1))
-        step = now.select(
-            *DIMS, "share", "rate", *[f"_t_{dim}" for dim in targets], F.greatest(*factors).alias("off")
-        )
-        new = store(step, off=F.max("off"))
+    n, gap, done = state.stats["rows"], 0.0, 0
+    few = n <= BROADCAST_ROWS
+    while n and done < sweeps:
+        now = state.df.coalesce(1) if few else state.df
+        turns = min(SWEEPS_A_TABLE, sweeps - done) if few else 1
+        for _ in range(turns):
+            now = swept(now, list(targets), few)
+        new = store(now, off=F.max("off"))
         state.drop()
-        state, gap = new, new.stats["off"]
+        state, gap, done = new, new.stats["off"], done + turns
         if gap < tolerance:
             break
     return state.df.select(*DIMS, "share", "rate"), gap, n
 
 
+def swept(now: DataFrame, dims: list[str], few: bool) -> DataFrame:
+    """Every dimension scaled to its targets once; `off` is how far one was from them."""
+    off = F.lit(0.0)
+    kept = [c for c in now.columns if c not in ("rate", "off")]
+    now = now.select(*kept, "rate")
+    for dim in dims:
+        mass = F.sum(F.col("share") * F.col("rate"))
+        if few:  # the cells are one partition, which windows read without a shuffle
+            now = now.withColumn("_mass", mass.over(Window.partitionBy(dim)))
+        else:  # hashed on the executors: a broadcast a sweep would pile up on the driver
+            sums = now.groupBy(dim).agg(mass.alias("_mass"))
+            now = now.join(sums.hint("shuffle_hash"), dim, "left")
+        met = (F.col("_mass") > 0) & F.col(f"_t_{dim}").isNotNull()
+        now = now.withColumn(f"_f_{dim}", F.when(met, F.col(f"_t_{dim}") / F.col("_mass")).otherwise(F.lit(1.0)))
+        now = now.withColumn("rate", F.col("rate") * F.col(f"_f_{dim}")).drop("_mass")
+        off = F.greatest(off, F.abs(F.col(f"_f_{dim}") - 1))
+    return now.select(*kept, "rate", off.alias("off"))
+
+
 def tempered_jointly(
     raked: DataFrame, targets: dict[str, DataFrame], powers: dict[str, float]
 ) -> tuple[DataFrame, float]:
@@ -231,7 +246,7 @@ def weights(
         joined = rows.join(F.broadcast(rates), list(DIMS), "left")
     else:  # a cell may hold a third of the documents: heavy ones are salted
         def cell() -> Column:
-            return F.concat_ws("\u0000", *DIMS)
+            return F.struct(*DIMS)
 
         joined = lookup(
             rows.withColumn("_cell", cell()),

@@ -206,6 +206,17 @@ def test_raking(spark):
     assert {r.doc_id for r in drawn.collect()} == set(got[got.sampled].doc_id)
 
 
+def test_many_cells_are_joined(spark, monkeypatch):
+    """Cells beyond the table that one task rakes: the same rates, also of values with U+0000."""
+    rows = [(i, prose(i, 5 + i % 7), ("en", "c", "b\0c")[i % 3], ("a\0b", "a", "d")[i * i % 7 % 3]) for i in range(60)]
+    docs = documents(spark, rows)
+    few = mixing.weights(docs).toPandas().set_index("doc_id").sort_index()
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    many = mixing.weights(docs).toPandas().set_index("doc_id").sort_index()
+    assert len(many) == len(rows) and (many.sampled == few.sampled).all()
+    assert (many.rate - few.rate).abs().max() < 1e-9
+
+
 def test_rare_cell_does_not_shrink_the_sample(spark):
     rows = [(i, prose(i, 40), "en", f"s{i % 2}") for i in range(2000)] + [(9999, prose(1, 2), "en", "rare")]
     got = mixing.weights(documents(spark, rows), topic="id").toPandas()
