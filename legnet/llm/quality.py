@@ -35,7 +35,8 @@ COMMON = {
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"),
 }
 #: Character classes in the order of the histogram; what is left is the last bin.
-CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"\x20\x09-\x0D", r".,;:!?'\"()\-")
+SPACES = r"\x20\x09-\x0D"
+CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", SPACES, r".,;:!?'\"()\-")
 N_CLASSES = len(CLASSES) + 1
 N_COMMON = 17  # sixteen words and all others
 #: Weighted means after the first one; a weight is 1 / (distance + SOFTEN) squared.
@@ -61,10 +62,10 @@ def words_of(body: Column) -> Column:
 def repeat_words(words: Column, size: int = 5) -> Column:
     """Words covered by windows of `size` words that the array holds twice or more."""
 
-    def window(ws: Column) -> Column:
+    def window(hs: Column) -> Column:
         return F.transform(
-            F.slice(ws, 1, F.size(ws) - (size - 1)),
-            lambda w, i: F.xxhash64(w, *[F.get(ws, i + j) for j in range(1, size)]),
+            F.slice(hs, 1, F.size(hs) - (size - 1)),
+            lambda h, i: F.xxhash64(h, *[F.get(hs, i + j) for j in range(1, size)]),
         )
 
     def covered(hashes: Column) -> Column:
@@ -91,37 +92,53 @@ def repeat_words(words: Column, size: int = 5) -> Column:
     def of_hashes(hs: Column) -> Column:
         return F.when(F.size(F.array_distinct(hs)) < F.size(hs), covered(hs)).otherwise(F.lit(0).cast("long"))
 
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
     return F.when(
-        F.size(words) > size, bound(words, lambda ws: bound(window(ws), of_hashes))
+        F.size(words) > size, bound(hashed, lambda hs: bound(window(hs), of_hashes))
     ).otherwise(F.lit(0).cast("long"))
 
 
 def features(docs: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
     """One small row per document: base counts and both histograms."""
-    body = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(
         docs[id_col].alias("id"),
         F.when(docs[lang].isin(*COMMON), docs[lang]).otherwise(F.lit("")).alias("lang"),
-        body.alias("body"),
-        words_of(body).alias("words"),
-        F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        # Two spaces between words, so neighbours do not share one.
-        F.concat(F.lit(" "), F.lower(F.regexp_replace(body, r"[^\p{L}]+", "  ")), F.lit(" ")).alias("letters"),
+        F.coalesce(docs[text], F.lit("")).alias("body"),
     )
-    chars = F.char_length("body").cast("long")
-    without = [
-        chars - F.char_length(F.regexp_replace("body", f"[{c}]+", "")) for c in CLASSES
-    ]
-    taken = without[0]
-    for c in without[1:]:
-        taken = taken + c
+    # Every class is taken out of what the classes before it left.
+    rows = rows.select("*", F.col("body").alias("left0"), F.char_length("body").cast("long").alias("chars0"))
+    for i, c in enumerate(CLASSES):
+        rest = rows.withColumn(f"left{i + 1}", F.regexp_replace(f"left{i}", f"[{c}]+", ""))
+        rows = rest.withColumn(f"chars{i + 1}", F.char_length(f"left{i + 1}").cast("long")).drop(f"left{i}")
+    last = len(CLASSES)
+    taken = [F.col(f"chars{i}") - F.col(f"chars{i + 1}") for i in range(last)]
+    rows = rows.select(
+        "id", "lang",
+        F.array(*taken, F.col(f"chars{last}")).alias("classes"),
+        F.col("chars0").alias("n_chars"),
+        (F.col("chars0") - taken[CLASSES.index(SPACES)]).alias("word_chars"),
+        # No class holds a symbol, so all of them are still there.
+        (F.octet_length(f"left{last}") - F.octet_length(F.regexp_replace(f"left{last}", r"[#*$%&|<>]+", "")))
+        .cast("long").alias("n_symbols"),
+        words_of(F.col("body")).alias("words"),
+        F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        F.filter(F.split("body", r"[^\p{L}]+"), lambda w: w != "").alias("letters"),
+    )
+
+    # The common words alone, with two spaces between them, so neighbours do not share one.
+    def only(words: tuple[str, ...]) -> Column:
+        found = F.filter("letters", lambda w: F.lower(w).isin(*words))
+        return F.concat(F.lit(" "), F.lower(F.array_join(found, "  ")), F.lit(" "))
+
+    few = F.lit(None).cast("string")
+    for code, words in COMMON.items():
+        few = F.when(F.col("lang") == code, only(words)).otherwise(few)
+    rows = rows.withColumn("few", few)
 
     def counted(w: str) -> Column:
-        lost = F.octet_length("letters") - F.octet_length(F.replace("letters", F.lit(f" {w} "), F.lit("")))
+        lost = F.octet_length("few") - F.octet_length(F.replace("few", F.lit(f" {w} "), F.lit("")))
         return (lost / (len(w.encode()) + 2)).cast("long")
 
-    # Words of letters: blanks come in pairs, but for the outermost two.
-    n_letters = F.size(F.filter(F.split("letters", " +"), lambda w: w != "")).cast("long")
     common = F.lit(None).cast("array<long>")
     for code, words in COMMON.items():
         common = F.when(F.col("lang") == code, F.array(*[counted(w) for w in words])).otherwise(common)
@@ -129,14 +146,13 @@ def features(docs: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
         "id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace("body", _SPACE, "")).cast("long").alias("word_chars"),
-        (F.octet_length("body") - F.octet_length(F.regexp_replace("body", r"[#*$%&|<>]+", "")))
-        .cast("long").alias("n_symbols"),
+        "word_chars",
+        "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
-        chars.alias("n_chars"),
-        F.array(*without, chars - taken).alias("classes"),
-        n_letters.alias("n_letters"),
+        "n_chars",
+        "classes",
+        F.size("letters").cast("long").alias("n_letters"),
         common.alias("common"),
     )
 
