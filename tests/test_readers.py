@@ -5,22 +5,43 @@ from pyspark.sql import functions as F
 
 from legnet.sources import readers as S
 
+FOOT = 0.3048
+
+
+def block(survey, date, fmt, settings, shots):
+    """One record of a survey-block file, by the layout of the format."""
+    head = ["Quarry", f"SURVEY NAME: {survey}", f"SURVEY DATE: {date}", "SURVEY TEAM:", "nobody"]
+    head += [f"DECLINATION: {settings[0]} FORMAT: {fmt} {settings[1]}", "", "FROM TO LEN", ""]
+    return "\n".join([*head, *(" ".join(map(str, x)) for x in shots)]) + "\n\f"
+
+
+def polygon(n, length):
+    """Legs of a regular polygon: (tape, bearing) each."""
+    return [(length + i / 4, (360 // n) * i) for i in range(n)]
+
+
+#: No back readings; then back readings of which one angle is about -999; then a diving format.
+LEGS = polygon(5, 30)
 BLOCKS = (
-    "Elm Hole\nSURVEY NAME: NORTH\nSURVEY DATE: 4 9 1991  COMMENT:upper series\nSURVEY TEAM: \nA and B\n"
-    "DECLINATION: 0 FORMAT: DDDDLRUDLADB CORRECTIONS: 1.50 2.25 0.30\n\n FROM TO\n\n"
-    " n1 n2 7.41 -999 -5 2 3 2 3 184 -999\n n1 n3 6.12 341 -999 2 3 2 3 -999 -6\n n3 n4 long 12 3 1 1 1 1 0 0\n"
-    "\fElm Hole\nSURVEY NAME: SOUTH\nSURVEY DATE: 1 1 1  COMMENT:lower series\nSURVEY TEAM: \nC\n"
-    "DECLINATION: 0.00  FORMAT: DDDDLRUDLADadBF  CORRECTIONS:  2.50 4.75 0.60  CORRECTIONS2:  1.25 -3.50\n\n"
-    " FROM TO\n\n s2 s9 5.26 48.00 -999.00 2 -1 3 1 228.00 -17.00 #|LP#\n\f"
+    block("WEIR", "11 30 2004", "DMMDUDRLLADN", (2.5, ""),
+          [(f"W{i}", f"W{i + 1}", t, c, 3 * i - 6, 4, 4, 4, -9) for i, (t, c) in enumerate(LEGS)])
+    + block("ADIT", "0 0 0", "DMMDUDRLLAaDdBT", (0, "CORRECTIONS: 0.5 -0.75 1 CORRECTIONS2: 3 4"),
+            [("A0", "A1", 12.5, 75, -999.25, 1, 1, 1, 1, 256, 8, "#|S#"), ("A1", "A2", "?", 0, 0, 0, 0, 0, 0, 0, 0),
+             ("A1", "A3", 20, -998.9, 2, 0, 0, 0, 0, 15, -2)])
+    + block("POOL", "2 29 2008", "DMMWUDRLLADN", (-1, "CORRECTIONS: 1 2 3"), [("P1", "P2", 9, 180, 0, 5, 6, 7, 8, "#|L#")])
 )
 
-PLOT = (
-    "Z 0 0 0 0 0 0\nSnone\nNUP D 1 1 1901 Cfirst\n"
-    "M   210.0  -150.0   -40.0  Su1  P    2.0    1.0    0.5    0.5  I    0.0\n"
-    "D   214.0  -145.0   -41.0  Su2  P    0.0    3.0    1.0    3.0  I    6.5\n"
-    "D   here  -145.0   -41.0  Su3  P    0.0    3.0    1.0    3.0  I    6.5\n"
-    "X 1 2\nD 1 2 3 Slost P -9 -9 -9 -9\nNLOW D 3 4 99 Csecond\n"
-    "d 4.0 5.0 6.0 Sw P -9 999 1 1 FLS\n"
+
+def plot_line(kind, north, east, up, name, size):
+    return " ".join([kind, str(north), str(east), str(up), f"S{name}", "P", *map(str, size)])
+
+
+#: A square in two surveys; the second starts with a leg that cannot be read.
+SQUARE = [(0, 0), (40, 0), (40, 40), (0, 40)]
+PLOT = "\n".join(
+    ["NRIM D 7 14 2010"]
+    + [plot_line("D" if i else "M", n, e, 5 * i, f"r{i}", (i, 1, 2, -9)) for i, (n, e) in enumerate(SQUARE)]
+    + ["NDEN D 12 31 2011", plot_line("M", "?", 0, 0, "d0", (1, 1, 1, 1)), plot_line("D", 8, 9, 10, "d1", (1, 2, 3, 4)), ""]
 )
 
 
@@ -36,32 +57,36 @@ def put(tmp_path):
 
 def test_survey_blocks(spark, put):
     path = put(BLOCKS)
-    rows = {(r.survey, r.to_stn): r for r in S.read_survey_blocks(spark, path).collect()}
-    assert set(rows) == {("NORTH", "n2"), ("NORTH", "n3"), ("SOUTH", "s9")}
-    a, b, c = rows[("NORTH", "n2")], rows[("NORTH", "n3")], rows[("SOUTH", "s9")]
-    assert (a.compass, a.clino, a.backcompass, a.backclino) == (None, -5.0, 184.0, None)
-    assert (b.compass, b.clino, b.backcompass, b.backclino) == (341.0, None, None, -6.0)
-    assert (a.corr_compass, a.corr_backcompass, a.corr_clino, a.corr_tape) == (1.5, 1.5, 2.25, 0.3)
-    assert (c.corr_compass, c.corr_backcompass, c.corr_backclino) == (2.5, 1.25, -3.5)
-    assert a.days1 is not None and c.days1 is None
-    assert (c.flags, c.u, c.l) == (3, None, 2.0)
-    assert [r.value.split()[:3] for r in S.read_survey_blocks(spark, path, bad=True).collect()] == [["n3", "n4", "long"]]
-    assert {r.to_stn for r in S.read_survey_blocks(spark, path, survey="SOUTH").collect()} == {"s9"}
+    rows = S.read_survey_blocks(spark, path).collect()
+    weir = sorted((r for r in rows if r.survey == "WEIR"), key=lambda r: r.from_stn)
+    assert [(r.tape, r.compass) for r in weir] == LEGS
+    assert [r.clino for r in weir] == [-6, -3, 0, 3, 6]
+    assert {(r.declination, r.corr_compass, r.corr_tape, r.backcompass, r.r) for r in weir} == {(2.5, 0, 0, None, None)}
+    one, two = sorted((r for r in rows if r.survey == "ADIT"), key=lambda r: r.to_stn)
+    assert (one.compass, one.clino, one.backcompass, one.backclino) == (75, None, 256, 8)
+    assert (two.compass, two.clino, two.backcompass, two.backclino) == (None, 2, 15, -2)
+    assert (one.corr_compass, one.corr_clino, one.corr_tape) == (0.5, -0.75, 1)
+    assert (one.corr_backcompass, one.corr_backclino) == (3, 4)
+    assert one.days1 is None and weir[0].days1 is not None
+    (pool,) = (r for r in rows if r.survey == "POOL")
+    assert pool.recorded_style == "DIVING" and weir[0].recorded_style == "NORMAL"
+    assert (pool.l, pool.u, pool.d, pool.r) == (5, 6, 7, 8)
+    assert pool.flags != 0 and one.flags != pool.flags and two.flags == 0
+    plain = S.read_survey_blocks(spark, path, corrected=True).where("survey = 'POOL'").first()
+    assert (plain.corr_compass, plain.corr_clino, plain.corr_tape) == (0, 0, 0)
+    assert [r.value.split()[1] for r in S.read_survey_blocks(spark, path, bad=True).collect()] == ["A2"]
+    assert S.read_survey_blocks(spark, path, survey="WEIR").count() == len(LEGS)
 
 
 def test_plot_lines(spark, put):
     path = put(PLOT)
     rows = S.read_plot_lines(spark, path).orderBy("seq").collect()
-    assert [(r.station, r.move, r.flags) for r in rows] == [("UP u1", True, 0), ("UP u2", False, 0), ("LOW w", False, 7)]
-    one, two, three = rows
-    foot = 0.3048
-    assert [one.x, one.y, one.z] == pytest.approx([-150 * foot, 210 * foot, -40 * foot])
-    assert [two.l, two.r, two.u, two.d] == pytest.approx([0.0, 3 * foot, foot, 3 * foot])
-    assert (three.l, three.r, round(three.u, 2)) == (-1.0, -1.0, 0.30)
-    assert one.days1 is None and three.days1 == 36221
-    assert [r.value.split()[1] for r in S.read_plot_lines(spark, path, bad=True).collect()] == ["here"]
-    part = S.read_plot_lines(spark, path, survey="UP").orderBy("seq").collect()
-    assert [(r.station, r.move) for r in part] == [("u1", True), ("u2", False)]
+    assert [(r.station, r.move) for r in rows] == [*((f"RIM r{i}", i == 0) for i in range(4)), ("DEN d1", False)]
+    for i, ((north, east), r) in enumerate(zip(SQUARE, rows)):
+        assert (r.x, r.y, r.z) == pytest.approx((east * FOOT, north * FOOT, 5 * i * FOOT))
+    assert len({r.days1 for r in rows}) == 2
+    assert [r.value.split()[4] for r in S.read_plot_lines(spark, path, bad=True).collect()] == ["Sd0"]
+    assert [r.station for r in S.read_plot_lines(spark, path, survey="DEN").collect()] == ["d1"]
 
 
 def test_positions(spark, put):
