@@ -73,11 +73,19 @@ class Windows:
             none = np.zeros(0, np.uint64)
             return none, none, np.zeros(0, bool)
         h, a, b = (x[lo : lo + n] for x in (self.h, self.a, self.b))
-        _, first = np.unique(a ^ mix(b), return_index=True)
-        again = np.ones(n, bool)
-        again[first] = False
+        again = np.zeros(n, bool)
+        values = np.sort(a)
+        if (values[1:] == values[:-1]).any():
+            order = np.lexsort((b, a))  # stable: of equal windows the first comes first
+            same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+            again[order[1:][same]] = True
         return h, a, again
 
+    def anchors(self, i: int) -> np.ndarray:
+        """Anchors of the windows of text i."""
+        lo = int(self.words.first[i])
+        return self.h[lo : max(lo, int(self.words.first[i + 1]) - self.size + 1)]
+
     def listed(self, i: int) -> list[bytes]:
         """Words of text i."""
         lo, hi = int(self.words.first[i]), int(self.words.first[i + 1])
@@ -151,7 +159,7 @@ def _anchors_of(batches):
     for batch in batches:
         cols = batch.to_pydict()
         w = Windows(cols["text"])
-        own = [np.unique(w.of(i)[0]) for i in range(len(w))]
+        own = [np.unique(w.anchors(i)) for i in range(len(w))]
         ids = np.repeat(np.array(cols["id"], dtype=np.int64), [len(x) for x in own])
         yield _batch({"id": ids, "h": np.concatenate(own).view(np.int64)}, schema)
 

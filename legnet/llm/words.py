@@ -34,6 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Runs of up to this many hashes are added up one by one.
+LOOP_SIZE = 6
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -96,9 +99,14 @@ def gram_hashes(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
     base = np.uint64((int(BASE) * (2 * seed + 3)) % 2**64 | 1)
-    for j in range(size):
-        out *= base
-        out += hashes[j : j + n]
+    if size <= LOOP_SIZE:
+        out = np.zeros(n, np.uint64)
+        for j in range(size):
+            out *= base
+            out += hashes[j : j + n]
+    else:  # the same numbers as differences of one running sum, whatever the size
+        terms = hashes * powers(inverse(int(base)), len(hashes))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+        out = (total[size:] - total[:-size]) * powers(int(base), len(hashes))[size - 1 :]
     return mix(out + np.uint64(size))
