@@ -8,9 +8,12 @@ whole text.
 
 Kinds, in this order: `email`, `ip`, `card`, `phone` (the base kinds, leftmost and
 non-overlapping; a match that fails its check is dropped and not retried), then
-`iban` (cue IBAN or a country code and check digits, valid modulo 97), `secret` (a
-value of 16 or more characters after token, secret, password, passwd, api_key, apikey
-or access_key and = or :) and `login` (user and password in a scheme's authority).
+`iban` (cue IBAN or a country code and check digits, of the country's length, valid
+modulo 97; countries not listed here need the cue), `secret` (a value of 16 or more
+characters after token, secret, password, passwd, api_key, apikey or access_key and =
+or :, or after the word is, then with a letter and a digit), `login` (user and password
+in a scheme's authority) and `account` (6 to 17 digits after account or acct and number,
+no, num, nr, #, = or :).
 
 Defined results: a missing or empty text has no spans; texts of any length are read
 whole; spans are (kind, start, end) in code points, end exclusive, ordered by kind and
@@ -30,13 +33,23 @@ from pyspark.sql.types import StringType, StructField, StructType
 from legnet.llm.batches import map_batches
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "secret", "login")
+KINDS = (*BASE, "iban", "secret", "login", "account")
 
 # Letters and digits the kinds allow.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
+ALNUM = frozenset(LETTERS + DIGITS)
+UPPER_DIGITS = frozenset(LETTERS[:26] + DIGITS)
 LOCAL = frozenset(LETTERS + DIGITS + "._%+-")
 CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")
+ACCOUNTS = ("account", "acct")
+# Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
+    "IE": 22, "IT": 27, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28,
+    "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26,
+}
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _quad = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+").match
@@ -44,6 +57,12 @@ _digits = re.compile(r"[0-9](?:[ -]?[0-9])*").match
 _phone = re.compile(r"\+[0-9][ ().0-9-]+").match
 _value = re.compile(r"[\"']?[ ]?[=:][ ]?[\"']?([A-Za-z0-9_+/=.~-]{16,})").match
 _iban = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])").match
+_said = re.compile(r"[\"']?[ ]is[ ][\"']?([A-Za-z0-9_+/=.~-]{16,})").match
+_account = re.compile(
+    r"(?:[ _-]?(?:number|no\.?|num\.?|nr\.?)[\"']?(?: is(?= )| ?[#:=])?|[\"']? ?[#:=]) ?[\"']?"
+    r"([0-9](?:[ -]?[0-9]){5,})(?![A-Za-z0-9])",
+    re.IGNORECASE,
+).match
 _cue_gap = re.compile(r"[ :]{0,3}").match
 _login = re.compile(r"[^\s/@:]+:[^\s/@]+@").match
 
@@ -66,6 +85,34 @@ def mod97(account: str) -> bool:
     return rest == 1
 
 
+def _mixed(value: str) -> bool:
+    return any(c in DIGITS for c in value) and any(c in LETTERS for c in value)
+
+
+def iban_end(text: str, at: int) -> int:
+    """Where a valid account number that begins at a place ends; -1 if none does.
+
+    Single spaces may stand between its characters. Without a known length the longest
+    run of groups of four counts.
+    """
+    size = IBAN_LENGTHS.get(text[at : at + 2])
+    if size is None:
+        m = _iban(text, at)
+        return m.end() if m and mod97(m[0].replace(" ", "")) else -1
+    taken, i = [], at
+    while len(taken) < size:
+        c = text[i : i + 1]
+        if c == " " and taken and text[i - 1] != " ":
+            i += 1
+        elif c and c in UPPER_DIGITS:
+            taken.append(c)
+            i += 1
+        else:
+            return -1
+    whole = i == len(text) or text[i] not in ALNUM
+    return i if whole and taken[2] in DIGITS and taken[3] in DIGITS and mod97("".join(taken)) else -1
+
+
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     a.add_word("@", ("email", 1))
@@ -78,6 +125,9 @@ def _automaton() -> ahocorasick.Automaton:
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize()}:
             a.add_word(form, ("secret", len(form)))
+    for cue in ACCOUNTS:
+        for form in (cue, cue.upper(), cue.capitalize()):
+            a.add_word(form, ("account", len(form)))
     a.make_automaton()
     return a
 
@@ -97,6 +147,11 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     for at, (kind, width) in _FOUND[0].iter(text):
         i = at - width + 1  # the anchor's first character
         if kind == "card":
+            # Two letters of a known country before the first digit begin an account number.
+            if i >= max(2, past["iban"] + 2) and text[i - 2 : i] in IBAN_LENGTHS:
+                if (i == 2 or text[i - 3] not in ALNUM) and (end := iban_end(text, i - 2)) > 0:
+                    past["iban"] = end
+                    found["iban"].append((i - 2, end))
             if i < past["card"]:
                 continue
             end = _digits(text, i).end()
@@ -133,13 +188,21 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                     found["phone"].append((i, end))
         elif kind == "iban":
             j = _cue_gap(text, at + 1).end()
-            if j >= past["iban"] and (m := _iban(text, j)) and mod97(m[0].replace(" ", "")):
-                past["iban"] = m.end()
-                found["iban"].append(m.span())
+            if j >= past["iban"] and (end := iban_end(text, j)) > 0:
+                past["iban"] = end
+                found["iban"].append((j, end))
         elif kind == "secret":
             if at >= past["secret"] and (m := _value(text, at + 1)):
                 past["secret"] = m.end()
                 found["secret"].append(m.span(1))
+            elif at >= past["secret"] and (m := _said(text, at + 1)) and _mixed(m[1]):
+                past["secret"] = m.end()
+                found["secret"].append(m.span(1))
+        elif kind == "account":
+            if at >= past["account"] and (m := _account(text, at + 1)):
+                past["account"] = m.end()
+                if sum(c in DIGITS for c in m[1]) <= 17:
+                    found["account"].append(m.span(1))
         elif at + 1 < size and i >= past["login"] and (m := _login(text, at + 1)):
             past["login"] = m.end()
             found["login"].append((at + 1, m.end() - 1))

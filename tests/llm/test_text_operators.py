@@ -81,6 +81,43 @@ def test_pii_query(spark):
     assert pii.find(documents(spark, [])).count() == 0
 
 
+def account(country: str, size: int, seed: int) -> str:
+    """A valid account number: check digits by the rule, body from a seed."""
+    body = "".join("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[(seed * 7 + i * i * 5 + i) % 36] for i in range(size - 4))
+    rest = int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+    return f"{country}{98 - rest:02d}{body}"
+
+
+def test_pii_accounts_and_secrets():
+    planted, caught = 0, 0
+    for seed, (country, size) in enumerate(sorted(pii.IBAN_LENGTHS.items())):
+        whole = account(country, size, seed)
+        spaced = " ".join(whole[i : i + 4] for i in range(0, size, 4))
+        for form in (whole, spaced):
+            for text in (form, f"pay to {form}, thanks", f"({form})", f"IBAN: {form} 2024", f"{form} 2024 was"):
+                at = text.index(form)
+                planted += 1
+                caught += ("iban", at, at + len(form)) in pii.spans(text)
+        wrong = whole[:2] + f"{(int(whole[2:4]) + 1) % 100:02d}" + whole[4:]
+        for clean in (wrong, f"x{whole}", f"{whole}x", whole.lower()):
+            assert not [s for s in pii.spans(clean) if s[0] == "iban"], clean
+    assert caught == planted
+    value = "f33e61083db5dbdf"
+    for text in (f"token = {value}", f"token is {value}", f'API_KEY="{value}"', f"the password is '{value}'"):
+        assert [text[a:b] for k, a, b in pii.spans(text) if k == "secret"] == [value], text
+    for text in ("the secret is internationalisation", "a token is 12345678901234567890", "token is short1"):
+        assert not [s for s in pii.spans(text) if s[0] == "secret"], text
+    for text, number in (
+        ("account_number: 12345678", "12345678"), ("Account No. 1234-5678 9", "1234-5678 9"),
+        ("ACCT #123456", "123456"), ('"account": "00112233"', "00112233"), ("account number is 123456789", "123456789"),
+    ):
+        assert [text[a:b] for k, a, b in pii.spans(text) if k == "account"] == [number], text
+    for text in ("account 2024", "on account of 123456 things", "account: 12345", "account no. " + "1" * 18, "acct=12ab34cd"):
+        assert not [s for s in pii.spans(text) if s[0] == "account"], text
+    assert not pii.spans("account_number: " * 2000) and not pii.spans("GB82 " * 2000)
+    assert pii.redact(f"account no. 123456789, {account('GB', 22, 3)}") == "account no. <account>, <iban>"
+
+
 def test_jump_hash():
     keys = np.arange(50_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
