@@ -16,6 +16,7 @@ from legnet.plans.store import work_folder
 from legnet.sinks import render as K
 from legnet.sources import network as NW
 from legnet.sources import readers as S
+from legnet.sources import records as RC
 
 QUERIES, SQL = {}, {}
 
@@ -95,6 +96,20 @@ def s2(spark, sf):
     return S.read_pos(spark, path).select("name", "x", "y", "z", "sflags")
 
 
+@query(
+    "s2_pushed_survey",
+    with_views(
+        "SELECT name, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z FROM tvs WHERE k % 13 <> 0 AND k % 5 = 3",
+        "tvs",
+    ),
+)
+def s2b(spark, sf):
+    path = _path(spark)
+    below = F.concat(F.lit("r"), (F.col("k") % 5).cast("string"), F.lit("."), F.col("name"))
+    K.write_lines(K.render_pos(view(spark, sf, "tvs").withColumn("name", below)), path)
+    return RC.positions(spark, path, survey="r3").select("name", "x", "y", "z")
+
+
 @query(
     "k2_write_pos",
     with_views(

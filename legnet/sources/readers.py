@@ -74,12 +74,20 @@ def read_pos(spark: SparkSession, path: str, survey: str = "", bad=False) -> Dat
 
     The heading is skipped. A line without a name is an unnamed station.
     """
+    return positions_of(numbered_lines(spark, path), survey, bad)
+
+
+def positions_of(lines: DataFrame, survey: str = "", bad=False, name: Column | None = None) -> DataFrame:
+    """Stations of the lines (file, line_no, value) of position listings.
+
+    `name` is the station's name where it is known without parsing.
+    """
     number = r"\s*([-+]?[\d.]+(?:[eE][-+]?\d+)?)\s*"
     shape = rf"^\({number},{number},{number}\)[ \t]*(.*)$"
     heading = F.col("value").rlike(r"^\(\s*Easting\s*,\s*Northing\s*,\s*Altitude\s*\)")
-    lines = numbered_lines(spark, path).where(~heading & (F.trim("value") != ""))
+    lines = lines.where(~heading & (F.trim("value") != ""))
     part = [F.regexp_extract("value", shape, i) for i in range(1, 5)]
-    name = F.regexp_replace(part[3], r"^\\", "")
+    name = F.regexp_replace(part[3], r"^\\", "") if name is None else name
     out = lines.select(
         name.alias("name"),
         *[part[i].try_cast("double").alias(a) for i, a in enumerate("xyz")],
@@ -122,7 +130,12 @@ def read_plot_lines(
     section that is not open (after X, F or S until the next N) are skipped. A
     `survey` is the name of one section.
     """
-    lines = numbered_lines(spark, path, parts).where(F.col("value").rlike("^[NXFSMDd]"))
+    return points_of(numbered_lines(spark, path, parts), survey, bad)
+
+
+def points_of(lines: DataFrame, survey: str = "", bad=False) -> DataFrame:
+    """Points of the lines (file, line_no, value) of plot files."""
+    lines = lines.where(F.col("value").rlike("^[NXFSMDd]"))
     op, rest = F.substring("value", 1, 1), F.expr("substring(value, 2)")
     head = r"^(\S*)\s*(?:D\s*(\d+)\s+(\d+)\s+(\d+))?"
     part = [F.regexp_extract(rest, head, i) for i in range(1, 5)]
@@ -252,8 +265,15 @@ def read_survey_blocks(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
-        F.regexp_replace(F.regexp_replace("value", r"\r", ""), r"^\n+", "").alias("text"),
-    ).where(F.col("text").rlike(r"\S"))
+        "value",
+    )
+    return shots_of(blocks, corrected, survey, bad)
+
+
+def shots_of(blocks: DataFrame, corrected=False, survey: str = "", bad=False) -> DataFrame:
+    """Shots of survey records (file, block, row, value)."""
+    text = F.regexp_replace(F.regexp_replace("value", r"\r", ""), r"^\n+", "")
+    blocks = blocks.select("file", "block", "row", text.alias("text")).where(F.col("text").rlike(r"\S"))
     # The settings end at the first blank line, after a fixed heading of nine lines.
     lines = blocks.withColumn("_l", F.split("text", "\n"))
     head = F.lit(9)
