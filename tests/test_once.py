@@ -63,3 +63,17 @@ def test_tasks_of_a_scan_grow_in_number_not_in_size(spark, monkeypatch):
     parts = out.select("n", F.spark_partition_id().alias("p")).groupBy("p").agg(F.sum("n").alias("n")).collect()
     assert sum(r.n for r in parts) == 2000 and max(r.n for r in parts) < 400
     assert {(r.k, r.seq, r.n, r.d.x) for r in out.collect()} == {(k, 5 * k, 5, 5 * k + 2.0) for k in range(400)}
+
+
+def test_large_tables_are_not_broadcast_unasked(spark):
+    from legnet.plans.session import tune
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    try:
+        for given, want in (("10MB", 1 << 20), ("256k", 256 << 10), ("-1", -1)):
+            spark.conf.set(key, given)
+            tune(spark)
+            assert spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() == want
+    finally:
+        spark.conf.set(key, was)
