@@ -52,7 +52,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, token ids, their number, and the digest of the decoded text."""
     tune(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = bpe.encode(docs, path, keep=["doc_id", "source", "lang"])
+    # Written between the two, as a task with both would hold two Python workers.
+    ids = cut(bpe.encode(docs, path, keep=["doc_id", "source", "lang"]))
     text = bpe.decode(ids, path)
     return text.select(
         "doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids",

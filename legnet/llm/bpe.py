@@ -14,6 +14,7 @@ Unicode added after version 15.1 follow Python's tables, not the file's own engi
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -132,7 +133,7 @@ class Codec:
         return " ".join([strings[i] for i in ids]) if ids else ""
 
 
-_CODECS: dict[int, Codec] = {}
+_HELD: list = [None, None]
 
 
 class Shared:
@@ -143,13 +144,15 @@ class Shared:
 
     def __init__(self, spark, path: str):
         with open(path, encoding="utf-8") as f:
-            self.spec = spark.sparkContext.broadcast(f.read())
+            spec = f.read()
+        self.digest = hashlib.sha256(spec.encode()).hexdigest()
+        self.spec = spark.sparkContext.broadcast(spec)
 
     def codec(self) -> Codec:
-        key = self.spec.id if hasattr(self.spec, "id") else id(self.spec)
-        if key not in _CODECS:
-            _CODECS[key] = Codec(self.spec.value)
-        return _CODECS[key]
+        # One codec a worker, for all stages and runs of a file; another file takes its place.
+        if _HELD[0] != self.digest:
+            _HELD[:] = self.digest, Codec(self.spec.value)
+        return _HELD[1]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -36,6 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Runs of up to this many hashes are added up one by one.
 LOOP_SIZE = 6
+#: Bytes whose words are hashed at once.
+SLICE = 1 << 17
 
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -81,14 +83,25 @@ def split_words(texts, lower: bool = False) -> Words:
 
 
 def word_hashes(w: Words) -> np.ndarray:
-    """One 64-bit hash per word."""
-    codes = np.frombuffer(w.data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-    n = len(codes)
-    total = np.concatenate(
-        (np.zeros(1, np.uint64), np.cumsum(codes * powers(int(BASE), n), dtype=np.uint64))
-    )
-    down = powers(inverse(int(BASE)), n + 1)
-    return mix((total[w.end] - total[w.start]) * down[w.start])
+    """One 64-bit hash per word.
+
+    Words are taken in runs of about SLICE bytes, as a byte takes some 50 in the numbers here.
+    """
+    out = np.zeros(len(w.start), np.uint64)
+    data = np.frombuffer(w.data, dtype=np.uint8)
+    first = 0
+    while first < len(out):
+        begin = int(w.start[first])
+        last = max(first + 1, int(np.searchsorted(w.end, begin + SLICE, side="right")))
+        codes = data[begin : int(w.end[last - 1])].astype(np.uint64) + np.uint64(1)
+        n = len(codes)
+        total = np.concatenate(
+            (np.zeros(1, np.uint64), np.cumsum(codes * powers(int(BASE), n), dtype=np.uint64))
+        )
+        start, end = w.start[first:last] - begin, w.end[first:last] - begin
+        out[first:last] = mix((total[end] - total[start]) * powers(inverse(int(BASE)), n)[start])
+        first = last
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
