@@ -35,6 +35,12 @@ from legnet.plans.store import cut
 
 K, S = 10, 4
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
+# Digits of written fingerprints (RFC 1924); the last of a distance is below _ENDS.
+_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz!#$%&()*+-;<=>?@^_`{|}~"
+_DIGITS = np.frombuffer(_ALPHABET.encode(), np.uint8)
+_VALUES = {c: i for i, c in enumerate(_ALPHABET)}
+_POWERS = 85 ** np.arange(4, -1, -1)
+_ENDS, _MORE = 43, 42
 
 
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -99,14 +105,39 @@ def _anchors(texts: list[str], k: int = K, s: int = S, size: int | None = None):
 
 
 def written(print_) -> str:
-    # One format of all pairs, in place of one for each.
-    pairs = np.column_stack(print_).astype(np.int64).ravel().tolist()
-    return ",".join(["%08x@%d"] * (len(pairs) // 2)) % tuple(pairs)
+    """A fingerprint as text: for each anchor five digits of its hash, then its distance.
+
+    Digits have base 85. The distance from the anchor before (of the first, its place) is
+    one digit below `_ENDS`; a longer one has digits from there on before that, least first.
+    """
+    hashes, places = (np.asarray(x, np.int64) for x in print_)
+    columns = list((hashes[:, None] // _POWERS % 85).astype(np.int8).T)
+    rest = np.diff(places, prepend=0)
+    while (rest >= 0).any():
+        long = rest >= _ENDS
+        columns.append(np.where(long, _ENDS + rest % _MORE, rest).astype(np.int8))
+        rest = np.where(long, rest // _MORE, -1)
+    digits = np.column_stack(columns)
+    return _DIGITS[digits[digits >= 0]].tobytes().decode("ascii")
 
 
 def read(text: str) -> tuple[list[int], list[int]]:
-    pairs = [x.split("@") for x in text.split(",")] if text else []
-    return [int(h, 16) for h, _ in pairs], [int(p) for _, p in pairs]
+    """(hashes, positions) of a written fingerprint."""
+    digits, at, place = [_VALUES[c] for c in text], 0, 0
+    hashes, places = [], []
+    while at < len(digits):
+        code = 0
+        for d in digits[at : at + 5]:
+            code = code * 85 + d
+        at, unit = at + 5, 1
+        while digits[at] >= _ENDS:
+            place += (digits[at] - _ENDS) * unit
+            at, unit = at + 1, unit * _MORE
+        place += digits[at] * unit
+        at += 1
+        hashes.append(code)
+        places.append(place)
+    return hashes, places
 
 
 def likeness(a, b, size: int | None = None) -> float:
