@@ -12,6 +12,7 @@ from legnet.checks.views import r, table, view, with_views
 from legnet.operators import aggregates as A
 from legnet.operators import passages as PS
 from legnet.operators import windows as W
+from legnet.plans.scan import large_groups
 from legnet.plans.store import work_folder
 from legnet.sinks import render as K
 from legnet.sources import network as NW
@@ -48,7 +49,7 @@ def _path(spark) -> str:
 def _written(spark, lines):
     """Rendered lines after a round trip through text files."""
     path = _path(spark)
-    K.write_lines(lines, path)
+    K.write_lines(lines, path, "gzip")
     return spark.read.text(path).select("value")
 
 
@@ -382,7 +383,9 @@ def _kml_sql() -> str:
 
 @query("k5_to_kml", with_views(_kml_sql(), "tvs", "tv2"))
 def k5(spark, sf):
-    frames = PS.tube_frames(placed_xsects(spark, sf))
+    xsects = placed_xsects(spark, sf)
+    large = large_groups(xsects, ["tube_id"])
+    frames = PS.tube_frames(xsects, large=large)
     sides = PS.wall_points(frames)
     point = F.struct("seq", F.col("wx").alias("x"), F.col("wy").alias("y"), F.col("wz").alias("z"))
     walls = sides.groupBy("tube_id", "side").agg(F.sort_array(F.collect_list(point)).alias("points"))
@@ -390,7 +393,7 @@ def k5(spark, sf):
     across = sides.groupBy("tube_id", "seq").agg(F.transform(both, lambda e: e["p"]).alias("points"))
     lines = K.render_kml(
         view(spark, sf, "tvs"), _polylines(spark, sf), "all", _flat_lonlat, _poly_order(),
-        quads=PS.passage_quads(frames),
+        quads=PS.passage_quads(frames, large=large),
         walls=walls.withColumn("key", K._order(F.col("tube_id"), F.col("side"))),
         xsects=across.withColumn("key", K._order(F.col("tube_id"), F.col("seq"))),
     )

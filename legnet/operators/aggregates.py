@@ -359,15 +359,16 @@ def traverse_polylines(
 
 def ordered_items(items: DataFrame, keys: list[str], seq: str, chunk: int = CHUNK) -> DataFrame:
     """Leg items with the previous point and a polyline number."""
-    from legnet.plans.scan import ordered_scan
+    from legnet.plans.scan import large_groups, ordered_scan
 
     was = F.struct("x", "y", "z", "flags", "survey", "style", "move")
-    step = ordered_scan(items, keys, seq, lag={"_was": was}, chunk=chunk)
+    large = large_groups(items, keys, chunk)
+    step = ordered_scan(items, keys, seq, lag={"_was": was}, chunk=chunk, large=large)
     new = F.col("_was.move")
     for c in ("flags", "survey", "style"):
         new = new | ~F.col(c).eqNullSafe(F.col(f"_was.{c}"))
     legs = step.where(~F.col("move")).withColumn("_new", new.cast("long"))
-    return ordered_scan(legs, keys, seq, running={"polyline": F.col("_new")}, chunk=chunk).withColumn(
+    return ordered_scan(legs, keys, seq, running={"polyline": F.col("_new")}, chunk=chunk, large=large).withColumn(
         "prev", F.struct("_was.x", "_was.y", "_was.z")
     ).drop("_was", "_new")
 

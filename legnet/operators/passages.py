@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legnet.functions.vec import vec
-from legnet.plans.scan import CHUNK, large_groups, ordered_scan
+from legnet.plans.scan import _COUNT, CHUNK, large_groups, ordered_scan
 
 
 def _unit_right(a, b):
@@ -19,17 +19,19 @@ def _unit_right(a, b):
     )
 
 
-def tube_frames(xsects: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def tube_frames(xsects: DataFrame, chunk: int = CHUNK, large=_COUNT) -> DataFrame:
     """Cross-sections with the unit vector to their right and its bearing.
 
     xsects: tube_id, seq, x, y, z, l, r, u, d. At the ends of a tube the vector
     is square to the leg, at a bend it halves the angle of the two legs; where
     that is undefined (a vertical run) the last defined vector stays, and a tube
-    that starts vertical faces east. Tubes of one section have no frame.
+    that starts vertical faces east. Tubes of one section have no frame. `large` may
+    name the long tubes as `large_groups` gives them, where they are known already.
     """
     keys = ["tube_id"]
     here = F.struct("x", "y", "z")
-    large = large_groups(xsects, keys, chunk)
+    if large is _COUNT:
+        large = large_groups(xsects, keys, chunk)
     df = ordered_scan(
         xsects, keys, "seq", lag={"_prev": here}, lead={"_next": here}, chunk=chunk, large=large
     )
@@ -111,8 +113,11 @@ def wall_points(frames: DataFrame, elevation=False) -> DataFrame:
     return frames.select("tube_id", "seq", F.inline(points))
 
 
-def passage_quads(frames: DataFrame, keys=("tube_id",), chunk: int = CHUNK) -> DataFrame:
-    """One closed quadrilateral between every two consecutive sections, in plan."""
+def passage_quads(frames: DataFrame, keys=("tube_id",), chunk: int = CHUNK, large=_COUNT) -> DataFrame:
+    """One closed quadrilateral between every two consecutive sections, in plan.
+
+    `large` may name the long tubes, as for `tube_frames`.
+    """
     rx, ry = F.col("right.x"), F.col("right.y")
     z = F.col("z")
     df = frames.withColumns(
@@ -121,7 +126,7 @@ def passage_quads(frames: DataFrame, keys=("tube_id",), chunk: int = CHUNK) -> D
             "_r": vec(F.col("x") + rx * F.col("r"), F.col("y") + ry * F.col("r"), z),
         }
     )
-    df = ordered_scan(df, list(keys), "seq", lag={"_was": F.struct("_l", "_r")}, chunk=chunk)
+    df = ordered_scan(df, list(keys), "seq", lag={"_was": F.struct("_l", "_r")}, chunk=chunk, large=large)
     return df.where(F.col("_was").isNotNull()).select(
         *keys,
         "seq",

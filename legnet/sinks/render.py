@@ -18,9 +18,13 @@ from legnet.operators.joins import point_key
 from legnet.schema import LEG_DUPLICATE, LEG_SPLAY, LEG_SURFACE, METRES_PER_FOOT, STN_ANON
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Text files whose concatenation in name order is the rendered file."""
-    lines.orderBy("part", "place").select("value").write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:
+    """Text files whose concatenation in name order is the rendered file.
+
+    With "gzip" it is the rendered file in that format, as gzip files may be concatenated.
+    """
+    spread = lines.orderBy("part", "place").select("value")
+    spread.write.mode("overwrite").text(path, compression=compression)
 
 
 def _line(spark, part: int, value: str) -> DataFrame:
