@@ -113,7 +113,9 @@ def extend_elevation(
     flags = F.col("flags")
     shown = legs.where(flags.bitwiseAND(F.lit(LEG_SURFACE)) == 0)
     order = F.col("seq").cast("long") if "seq" in legs.columns else F.lit(0).cast("long")
-    solid = shown.where(flags.bitwiseAND(F.lit(LEG_SPLAY)) == 0).select("from_stn", "to_stn", order.alias("seq"))
+    solid = shown.where(flags.bitwiseAND(F.lit(LEG_SPLAY)) == 0).select(
+        "from_stn", "to_stn", order.alias("seq"), F.monotonically_increasing_id().alias("near")
+    )
     at = stations.select("name", "x", "y", "z")
     ids = node_ids(at.select("name"))
     edges = legs_to_edges(solid, ids.df)
@@ -138,7 +140,7 @@ def extend_elevation(
     cut = {s: F.coalesce(F.col(f"cut_{s}"), F.lit(False)) | F.col(f"broken_{s}").isNotNull() for s in "uv"}
     graph = store(
         table.df.select(
-            "eid", "seq", "from_stn", "to_stn", F.coalesce("r2", F.lit(KEEP)).alias("r2"),
+            "eid", "seq", "near", "from_stn", "to_stn", F.coalesce("r2", F.lit(KEEP)).alias("r2"),
             F.col("u").alias("real_u"), F.col("v").alias("real_v"),
             F.when(cut["u"], -F.col("eid") * 2 - 2).otherwise(F.col("u")).alias("u"),
             F.when(cut["v"], -F.col("eid") * 2 - 3).otherwise(F.col("v")).alias("v"),
@@ -182,7 +184,7 @@ def extend_elevation(
     ends = [graph.df.select(F.col(c).alias("node"), F.col(f"real_{c}").alias("real")) for c in "uv"]
     start_row = ids.df.where(F.col("name") == start).select(F.col("id").alias("node"), F.col("id").alias("real"))
     nodes = ends[0].unionByName(ends[1]).unionByName(start_row).distinct()
-    levels = hop_levels(graph.df.select("u", "v"), lookup(nodes, "real", place), root)
+    levels = hop_levels(graph.df.select("u", "v", "near"), lookup(nodes, "real", place), root, "near")
     reached = graph.df.select("eid", "seq", "u", "v")
     for side in "uv":
         reached = lookup(reached, side, levels.select(F.col("node").alias(side), F.col("level").alias(f"level_{side}")))

@@ -11,16 +11,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legnet.functions.geometry import curve_place
 from legnet.functions.vec import AXES
+from legnet.operators.graph import components_near
+from legnet.operators.pieces import by_blocks, levels_from, whole_blocks
 from legnet.plans.nested import NODE, PAIR, Front, sweep
 from legnet.plans.rank import ranked
 from legnet.plans.skew import lookup
 from legnet.plans.store import store
 
+#: Edges of a block that is walked inside a task; larger ones are swept.
+SMALL = 10_000
 #: Farther than any way; sums of two stay exact.
 FAR = float(1 << 50)
 
@@ -84,12 +89,56 @@ def _walk(now: DataFrame) -> DataFrame:
             return after.df.select("a", "level")
 
 
-def hop_levels(edges: DataFrame, places: DataFrame, root: int, **sizes) -> DataFrame:
+def _blocks_of_root(edges: DataFrame, root: int, near: str) -> tuple[DataFrame, DataFrame | None]:
+    """(levels of the nodes in small blocks, edges of the others or None).
+
+    Without the root the graph falls into blocks; ways to the root stay inside one.
+    """
+    start = F.lit(root)
+    rows = store(
+        edges.where(F.col("u") != F.col("v")).select("u", "v", near),
+        free=F.count_if((F.col("u") != start) & (F.col("v") != start)),
+    )
+    free = rows.df.where((F.col("u") != start) & (F.col("v") != start))
+    parts = components_near(free, near, rows.stats["free"]).df
+    node = F.when(F.col("u") == start, F.col("v")).otherwise(F.col("u"))
+    tagged = lookup(rows.df.select("u", "v", node.alias("node")), "node", parts, rows.stats["rows"], "left")
+    tagged = store(tagged.select("u", "v", F.coalesce("component", "node").alias("block")))
+    sizes = tagged.df.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    large = store(sizes.where(F.col("n") > SMALL).select("block"))
+    small, others = tagged.df, None
+    if large.stats["rows"]:
+        small = tagged.df.join(large.df, "block", "left_anti")
+        others = tagged.df.join(large.df, "block", "left_semi").select("u", "v")
+    dealt = by_blocks(small, rows.stats["rows"])
+    out = "node long, level long"
+
+    def run(batches):
+        for table in whole_blocks(batches):
+            real = np.stack([table["u"].to_numpy(), table["v"].to_numpy()])
+            nodes, levels = levels_from(real, real == root)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(levels)], names=["node", "level"])
+
+    return dealt.mapInArrow(run, out).unionByName(
+        edges.sparkSession.range(1).select(start.cast("long").alias("node"), F.lit(0).cast("long").alias("level"))
+    ), others
+
+
+def hop_levels(edges: DataFrame, places: DataFrame, root: int, near: str | None = None, **sizes) -> DataFrame:
     """(node, level): the least number of edges from root, of every node it is joined to.
 
-    edges: u, v; places: node, x, y, z of every node of the edges. sizes: leaf, fan and
-    front of the sweep.
+    edges: u, v; places: node, x, y, z of every node of the edges. With `near`, whole
+    numbers of which those of neighbouring edges tend to be near, small blocks around
+    the root are walked inside a task. sizes: leaf, fan and front of the sweep.
     """
+    if near is not None:
+        small, others = _blocks_of_root(edges, root, near)
+        if others is not None:
+            others = store(others).df
+            ends = others.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            swept = hop_levels(others, places.join(ends, "node", "left_semi"), root, **sizes)
+            small = small.unionByName(swept.where(F.col("node") != F.lit(root)))
+        return store(small).df
     at = store(places.select("node", *AXES))
     spans = at.df.agg(*[f(a).alias(f"{n}{a}") for n, f in (("l", F.min), ("h", F.max)) for a in AXES]).first()
     corner = [spans[f"l{a}"] or 0.0 for a in AXES]
