@@ -9,6 +9,7 @@ from legnet.checks.views import r, with_views
 from legnet.functions import vec as V
 from legnet.operators import extend as E
 from legnet.operators import windows as W
+from legnet.plans.store import cut
 from legnet.schema import LEG_SPLAY
 
 QUERIES, SQL = {}, {}
@@ -26,11 +27,11 @@ def unrolled(spark, sf):
     """
     legs = tv2_legs(spark, sf)
     closed = legs.where(F.col("leg_id") < 0).select("cust", F.lit(True).alias("closed"))
-    legs = legs.join(closed, "cust", "left").withColumn("closed", F.coalesce("closed", F.lit(False)))
+    legs = cut(legs.join(closed, "cust", "left").withColumn("closed", F.coalesce("closed", F.lit(False))))
     chains = legs.where(F.col("leg_id") >= 0).withColumn("trav_id", F.col("cust"))
     zero = F.lit(0.0)
     starts = chains.select("trav_id").distinct().select("trav_id", V.vec(zero, zero, zero).alias("start"))
-    walked = W.walk_from(chains, starts)
+    walked = cut(W.walk_from(chains, starts))
     at = walked.select("name", "x", "y", "z")
     hub = spark.range(1).select(F.lit("c").alias("name"), zero.alias("x"), zero.alias("y"), zero.alias("z"))
     wall = F.concat(F.lit("s"), F.col("trav_id").cast("string"))

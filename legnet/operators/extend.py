@@ -110,13 +110,15 @@ def extend_elevation(
     spark = legs.sparkSession
     if rules is None:
         rules = spark.createDataFrame([], "kind string, a string, b string")
+    # The inputs may be long plans and are needed several times.
+    rules, legs = store(rules.select("kind", "a", "b")).df, store(legs).df
     flags = F.col("flags")
     shown = legs.where(flags.bitwiseAND(F.lit(LEG_SURFACE)) == 0)
     order = F.col("seq").cast("long") if "seq" in legs.columns else F.lit(0).cast("long")
     solid = shown.where(flags.bitwiseAND(F.lit(LEG_SPLAY)) == 0).select(
         "from_stn", "to_stn", order.alias("seq"), F.monotonically_increasing_id().alias("near")
     )
-    at = stations.select("name", "x", "y", "z")
+    at = store(stations.select("name", "x", "y", "z")).df
     ids = node_ids(at.select("name"))
     edges = legs_to_edges(solid, ids.df)
 

@@ -77,3 +77,16 @@ def test_large_tables_are_not_broadcast_unasked(spark):
             assert spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() == want
     finally:
         spark.conf.set(key, was)
+
+
+def test_inputs_of_an_elevation_are_made_once(spark):
+    from legnet.operators.extend import extend_elevation
+    from test_extend import PLACES, TREE
+
+    places = spark.createDataFrame([(k, *map(float, v)) for k, v in PLACES.items()], "name string, x double, y double, z double")
+    legs = spark.createDataFrame(TREE + [("e", "a", 0), ("b", "w", 4)], "from_stn string, to_stn string, flags int")
+    rules = spark.createDataFrame([("left", "c", None), ("break", "e", "a")], "kind string, a string, b string")
+    inputs = [counted(df) for df in (legs, places, rules)]
+    out = extend_elevation(inputs[0][0], inputs[1][0], "a", inputs[2][0], show_breaks=True)
+    assert (out.stations.count(), out.legs.count(), out.splays.count(), out.breaks.count()) == (7, 6, 1, 1)
+    assert [made.value for _, made in inputs] == [7, 7, 2]
